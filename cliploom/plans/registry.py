@@ -42,6 +42,7 @@ def query(name: str, oracle: str | None = None):
             return fn(Tables(spark, sf_dir))
 
         run.__name__ = name
+        run.module = fn.__module__.rsplit('.', 1)[-1]
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
         if oracle:
