@@ -1,3 +1,3 @@
 """Queries bound to tables. Importing this package fills the registry."""
 
-from cliploom.plans import events, ingest, learning, reporting  # noqa: F401
+from cliploom.plans import events, ingest, learning, reporting, similarity  # noqa: F401

@@ -237,7 +237,7 @@ def pool(d):
         f"CAST((doc_id * {prime}) % 101 AS INTEGER) AS {name}" for name, prime in SCORES.items()
     )
     return f"""
-    SELECT doc_id AS short_id, doc_id % 7 AS owner_id, source AS source_hash, lang AS game,
+    SELECT doc_id AS short_id, doc_id % 7 AS owner_id, source || '-' || {d.div('doc_id', '480')} AS source_hash, lang AS game,
       {pick(["GOAL", "CLUTCH_SEQUENCE", "CHASE", "BUILD_ACTIVITY", "SAVE"], "doc_id % 5")} AS event_type,
       (doc_id * 37) % 600000 AS start_ms, (doc_id * 37) % 600000 + 6000 + n_chars % 54000 AS end_ms,
       (doc_id * 37) % 600000 + 3000 AS event_ms,
@@ -247,7 +247,10 @@ def pool(d):
       CAST(6000 + n_chars % 54000 AS DOUBLE) / 1000 AS duration_s,
       {pick(["CROP:CLEAN", "CROP:ZOOM", "BLUR:REPLAY"], "doc_id % 3")} AS template,
       {pick(["humor", "tension", "skill"], "doc_id % 3")} AS tone,
-      doc_id % 500 AS vec_id, n_chars,
+      CASE WHEN doc_id % 3 <> 0 THEN doc_id % 500 ELSE NULL END AS vec_id, n_chars,
+      CASE WHEN doc_id % 50 = 20 THEN 'REPLAY' ELSE NULL END AS reuse_kind,
+      CASE WHEN doc_id % 50 = 20 THEN doc_id - 20 ELSE NULL END AS reuse_of_id,
+      CASE WHEN doc_id % 100 = 20 THEN 'alternate angle of the play' WHEN doc_id % 50 = 20 THEN 'short' ELSE NULL END AS reuse_reason,
       {scores}
     FROM {{documents}}"""
 
