@@ -111,8 +111,8 @@ def _(t):
 
 
 @query("history_anti_join", f"""
-SELECT short_id FROM pool_t a WHERE short_id % 5 <> 0 AND NOT EXISTS (
-  SELECT 1 FROM pool_t b WHERE b.short_id % 5 = 0 AND b.owner_id = a.owner_id AND {q.duplicate('a', 'b')})""")
+SELECT short_id FROM pool_t a WHERE short_id // 20 % 5 <> 0 AND NOT EXISTS (
+  SELECT 1 FROM pool_t b WHERE b.short_id // 20 % 5 = 0 AND b.owner_id = a.owner_id AND {q.duplicate('a', 'b')})""")
 def _(t):
     r = ready(t)
-    return s.history_anti_join(r.filter("short_id % 5 <> 0"), r.filter("short_id % 5 = 0")).select("short_id")
+    return s.history_anti_join(r.filter("short_id div 20 % 5 <> 0"), r.filter("short_id div 20 % 5 = 0")).select("short_id")

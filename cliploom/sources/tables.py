@@ -237,10 +237,10 @@ def pool(d):
         f"CAST((doc_id * {prime}) % 101 AS INTEGER) AS {name}" for name, prime in SCORES.items()
     )
     return f"""
-    SELECT doc_id AS short_id, doc_id % 7 AS owner_id, source || '-' || {d.div('doc_id', '480')} AS source_hash, lang AS game,
+    SELECT doc_id AS short_id, doc_id % 20 % 7 AS owner_id, source || '-' || {d.div('doc_id', '480')} AS source_hash, lang AS game,
       {pick(["GOAL", "CLUTCH_SEQUENCE", "CHASE", "BUILD_ACTIVITY", "SAVE"], "doc_id % 5")} AS event_type,
-      (doc_id * 37) % 600000 AS start_ms, (doc_id * 37) % 600000 + 6000 + n_chars % 54000 AS end_ms,
-      (doc_id * 37) % 600000 + 3000 AS event_ms,
+      (doc_id * 3701) % 600000 AS start_ms, (doc_id * 3701) % 600000 + 6000 + n_chars % 54000 AS end_ms,
+      (doc_id * 3701) % 600000 + 3000 AS event_ms,
       lower({d.line('text', 1)}) AS title, lower({d.line('text', 2)}) AS hook, lower({d.line('text', 3)}) AS concept,
       text AS transcript, substring(md5(text), 1, 16) AS h0, substring(md5(lang || source), 1, 16) AS h1,
       CASE WHEN doc_id % 4 = 0 THEN md5(text) ELSE NULL END AS render_hash,
@@ -255,6 +255,18 @@ def pool(d):
     FROM {{documents}}"""
 
 
+@view("orders")
+def slot(d):
+    offset = f"{d.div('o_orderkey', '21')} % 720"
+    third = f"({d.div('o_orderkey', '7')} % 3)"
+    return f"""
+    SELECT o_orderkey AS slot_id, o_orderkey % 7 AS owner_id, DATE '2023-06-01' + CAST({offset} AS INTEGER) AS local_date,
+      {pick(["DISCOVERY", "ENGAGEMENT", "HERO"], third)} AS role, {pick(["12:00", "16:00", "20:00"], third)} AS local_time,
+      CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE o_orderkey END AS short_id,
+      {d.ts(f"1685577600000000 + ({offset}) * {DAY_US} + (12 + 4 * {third}) * {HOUR_US}")} AS planned_at
+    FROM {{orders}}"""
+
+
 @view("embeddings")
 def vector(d):
     return "SELECT vec_id, CAST(embedding AS " + ("ARRAY<DOUBLE>" if d is _Spark else "DOUBLE[]") + ") AS v FROM {embeddings}"
