@@ -40,17 +40,17 @@ def valid_date(text) -> Column:
 def slot_instant(date, time, zone) -> Column:
     """UTC instant of a local wall time, null when that wall time is skipped or happens twice.
 
-    Every quarter-hour offset within a day's reach is tried and kept if it maps
-    back to the wanted wall time; exactly one must remain.
+    The quarter hours within three hours of the nominal conversion (more than any
+    clock change) are mapped back to wall time; exactly one must hit the wanted one.
     """
-    wanted = F.concat(F.date_format(col(date), "yyyy-MM-dd"), F.lit("T"), col(time))
-    base = F.unix_micros(F.to_timestamp(wanted, "yyyy-MM-dd'T'HH:mm"))
-    tries = F.transform(
-        F.sequence(F.lit(-56), F.lit(56)), lambda q: base + q.cast("bigint") * F.lit(900_000_000).cast("bigint")
-    )
     zone_col = zone if isinstance(zone, Column) else F.lit(zone)
-    hits = F.filter(
-        tries,
-        lambda m: F.date_format(F.from_utc_timestamp(F.timestamp_micros(m), zone_col), "yyyy-MM-dd'T'HH:mm") == wanted,
+    wanted = F.to_timestamp(
+        F.concat(F.date_format(col(date), "yyyy-MM-dd"), F.lit(" "), col(time)), "yyyy-MM-dd HH:mm"
+    )
+    nominal = F.unix_micros(F.to_utc_timestamp(wanted, zone_col))
+    tries = F.transform(
+        F.sequence(F.lit(-12), F.lit(12)),
+        lambda q: F.timestamp_micros(nominal + q.cast("bigint") * F.lit(900_000_000).cast("bigint")),
     )
-    return F.when(F.size(hits) == 1, F.timestamp_micros(F.get(hits, F.lit(0))))
+    hits = F.filter(tries, lambda m: F.from_utc_timestamp(m, zone_col) == wanted)
+    return F.when(F.size(hits) == 1, F.get(hits, F.lit(0)))

@@ -167,30 +167,21 @@ def campaign_range_join(campaigns: DataFrame, publications: DataFrame) -> DataFr
     ).filter(F.col("local_date").between(F.col("start_date"), F.col("end_date")))
 
 
-def _verdict(df: DataFrame, left: str, right: str, threshold: float, name: str) -> DataFrame:
-    """Add ``name_dup``, ``name_ok`` (may stand side by side) and ``name_exc``; a missing side is always fine."""
-    done = sim.compared(df, left, right, "__v")
-    absent = F.col(f"{left}_short_id").isNull() | F.col(f"{right}_short_id").isNull()
-    return done.withColumns({
-        f"{name}_dup": F.when(absent, False).otherwise(F.col("__v.duplicate")),
-        f"{name}_ok": F.when(absent, True).otherwise(~F.col("__v.duplicate") & (F.col("__v.score") <= threshold)),
-        f"{name}_exc": F.when(absent, False).otherwise(F.col("__v.exception")),
-    }).drop("__v")
-
-
-def _fits(item: str, others: list[str], settings: dict) -> Column:
-    """Not the same, not a duplicate, source cap and cooldown respected against ``others``."""
-    out, count = F.lit(True), F.lit(0)
-    for other in others:
-        name = f"{other}{item}"
-        same = F.coalesce(F.col(f"{other}_source_hash") == F.col(f"{item}_source_hash"), F.lit(False))
-        near = F.coalesce(
-            F.abs(F.col(f"{other}_event_ms") - F.col(f"{item}_event_ms")) < settings["cooldown_ms"], F.lit(False)
-        )
-        differs = F.coalesce(F.col(f"{other}_short_id") != F.col(f"{item}_short_id"), F.lit(True))
-        out = out & differs & ~F.col(f"{name}_dup") & ~(same & near & ~F.col(f"{name}_exc"))
-        count = count + same.cast("int")
-    return out & (count < settings["max_source_per_day"])
+def _compare_ids(pairs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """Attach evidence to (l, r) id pairs and reduce each to dup, ok (may stand side by side) and exc."""
+    joined = pairs.join(sim.side(items, "a"), F.col("l") == F.col("a_short_id")).join(
+        sim.side(items, "b"), F.col("r") == F.col("b_short_id")
+    )
+    keep = [c for c in pairs.columns]
+    return sim.compared(joined, name="v").select(
+        *keep, F.col("v.duplicate").alias("dup"), F.col("v.exception").alias("exc"),
+        (~F.col("v.duplicate") & (F.col("v.score") <= threshold)).alias("ok"),
+    )
+
+
+def _blocked(dup: Column, exc: Column, same: Column, gap: Column, settings: dict) -> Column:
+    """A duplicate, or the same source within the cooldown without a reuse exception."""
+    return dup | (same & (gap < settings["cooldown_ms"]) & ~exc)
 
 
 def daily_slate(
@@ -201,91 +192,118 @@ def daily_slate(
     ``pool`` carries the comparison fields and role scores; ``previous`` and
     ``following`` hold at most one neighbouring item per owner. The pair search
     is over the best 100 of each role, the published search size, plus "none".
+    Pairs are formed on ids and compared in two passes: every safe item with its
+    neighbours (linear in the pool), then the role lists with HERO and each other.
+    The slim results of both passes are checkpointed: each is read several times,
+    and neither the conflict search nor the comparisons should run again for that.
     """
     settings = {**SETTINGS, **(settings or {})}
     threshold = settings["similarity_threshold"]
-    safe = sim.history_anti_join(pool, history)
-    owners = pool.select(F.col("owner_id").alias("o")).distinct()
+    yes = F.lit(True)
+    slim = ["owner_id", "short_id", "source_hash", "event_ms", *ROLE_COLUMNS]
+    safe = cut_lineage(sim.history_anti_join(pool, history).select(*slim))
 
-    def one(df: DataFrame, p: str) -> DataFrame:
-        return sim.side(df, p).withColumn("o", F.col(f"{p}_owner_id"))
-
-    around = owners.join(one(previous, "p"), "o", "left").join(one(following, "n"), "o", "left")
+    # Pass 1: neighbours. The item before the day is also held against the one after it.
+    around = previous.select("owner_id", F.col("short_id").alias("nb"), F.lit("P").alias("tag")).unionByName(
+        following.select("owner_id", F.col("short_id").alias("nb"), F.lit("N").alias("tag"))
+    )
+    subjects = safe.select("owner_id", "short_id").unionByName(previous.select("owner_id", "short_id"))
+    before = F.col("tag") == "P"
+    sides = subjects.join(around, "owner_id").filter("short_id <> nb").select(
+        "short_id", "tag", F.when(before, F.col("nb")).otherwise(F.col("short_id")).alias("l"),
+        F.when(before, F.col("short_id")).otherwise(F.col("nb")).alias("r"),
+    )
+    everyone = pool.unionByName(previous).unionByName(following).dropDuplicates(["short_id"])
+    near = _compare_ids(sides, everyone, threshold).groupBy("short_id").agg(
+        F.min(F.when(before, F.col("ok"))).alias("p_ok"), F.min(F.when(~before, F.col("ok"))).alias("n_ok")
+    )
+    near = cut_lineage(near)
+    known = safe.join(near, "short_id", "left").withColumns(
+        {"p_ok": F.coalesce("p_ok", yes), "n_ok": F.coalesce("n_ok", yes)}
+    )
+    gap_ok = previous.select("owner_id", "short_id").join(near, "short_id", "left").select(
+        "owner_id", F.coalesce("n_ok", yes).alias("pn_ok")
+    )
 
-    heroes = sim.side(safe, "h", ["hero"]).withColumn("o", F.col("h_owner_id"))
-    heroes = _verdict(heroes.join(around, "o"), "h", "n", threshold, "hn").filter("hn_ok")
-    best = heroes.groupBy("o").agg(
-        F.max_by("h_short_id", F.struct("h_hero", -F.col("h_short_id"))).alias("h_short_id")
+    hero = first_per_key(known.filter("n_ok"), ["owner_id"], [F.col("hero").desc(), F.col("short_id")]).select(
+        "owner_id", F.col("short_id").alias("h_id"), F.col("source_hash").alias("h_source"),
+        F.col("event_ms").alias("h_event"), F.col("p_ok").alias("ph_ok"),
     )
-    hero = sim.side(safe, "h", ["hero"]).join(best.withColumnRenamed("h_short_id", "__id"), F.col("h_short_id") == F.col("__id"))
-    frame = around.join(hero.drop("__id"), "o", "left")
-    frame = _verdict(_verdict(frame, "h", "n", threshold, "hn"), "p", "h", threshold, "ph")
-    frame = _verdict(frame, "p", "n", threshold, "pn")
-
-    def role(p: str, score: str) -> DataFrame:
-        top = first_per_key(
-            safe, ["owner_id"], [F.col(score).desc(), F.col("short_id")], SEARCH_LIMIT, rank="place"
-        )
-        rows = sim.side(top, p, [score, "place"]).withColumn("o", F.col(f"{p}_owner_id")).join(frame, "o")
-        for left, right in (("h", p), ("p", p), (p, "h"), (p, "n")):
-            rows = _verdict(rows, left, right, threshold, f"{left}{right}")
-        return rows.filter(_fits(p, ["h"], settings))
-
-    d = role("d", "discovery").filter("pd_ok")
-    e = role("e", "engagement")
-    has_hero = F.col("h_short_id").isNotNull()
-    counts = history.groupBy(F.col("owner_id").alias("o"), "source_hash").agg(F.count("*").alias("used"))
-
-    def used(df: DataFrame, p: str) -> DataFrame:
-        side = counts.select(F.col("o").alias(f"__{p}o"), F.col("source_hash").alias(f"__{p}s"), F.col("used").alias(f"{p}_used"))
-        cond = (F.col("o") == F.col(f"__{p}o")) & (F.col(f"{p}_source_hash") == F.col(f"__{p}s"))
-        return df.join(side, cond, "left").drop(f"__{p}o", f"__{p}s").withColumn(
-            f"{p}_used", F.coalesce(f"{p}_used", F.lit(0).cast("bigint"))
+    frame = pool.select("owner_id").distinct().join(hero, "owner_id", "left").join(gap_ok, "owner_id", "left").withColumns(
+        {"ph_ok": F.coalesce("ph_ok", yes), "pn_ok": F.coalesce("pn_ok", yes)}
+    )
+
+    used = history.groupBy("owner_id", "source_hash").agg(F.count("*").alias("used"))
+    listed = known.join(used, ["owner_id", "source_hash"], "left").withColumn("used", F.coalesce("used", F.lit(0).cast("bigint")))
+
+    def role(score: str) -> DataFrame:
+        return first_per_key(
+            listed, ["owner_id"], [F.col(score).desc(), F.col("short_id")], SEARCH_LIMIT, rank="place"
+        ).withColumn("score", F.col(score))
+
+    d, e = role("discovery"), role("engagement")
+
+    # Pass 2: each listed item before HERO, and DISCOVERY before ENGAGEMENT.
+    with_hero = d.select("owner_id", "short_id").unionByName(e.select("owner_id", "short_id")).distinct().join(
+        hero.select("owner_id", "h_id"), "owner_id").select(F.col("short_id").alias("l"), F.col("h_id").alias("r"))
+    together = d.select("owner_id", F.col("short_id").alias("l")).join(
+        e.select("owner_id", F.col("short_id").alias("r")), "owner_id").select("l", "r")
+    pairs = with_hero.unionByName(together).filter("l <> r").distinct()
+    verdicts = cut_lineage(_compare_ids(pairs, everyone, threshold))
+
+    def beside_hero(rows: DataFrame) -> DataFrame:
+        """Keep what fits HERO; ``tail_ok`` tells whether the item may come last before HERO or NEXT."""
+        v = verdicts.select(F.col("l").alias("short_id"), F.col("r").alias("h_id"), "dup", "exc", "ok")
+        joined = rows.join(frame, "owner_id").join(v, ["short_id", "h_id"], "left")
+        has = F.col("h_id").isNotNull()
+        same = F.coalesce(F.col("h_source") == F.col("source_hash"), F.lit(False))
+        clash = (F.col("h_id") == F.col("short_id")) | _blocked(
+            F.col("dup"), F.col("exc"), same, F.abs(F.col("h_event") - F.col("event_ms")), settings)
+        full = same & F.lit(settings["max_source_per_day"] <= 1)
+        return joined.filter(~has | ~(F.coalesce(clash, F.lit(False)) | full)).select(
+            "owner_id", "short_id", "source_hash", "event_ms", "place", "score", "used", "p_ok",
+            F.when(has, F.col("ok")).otherwise(F.col("n_ok")).alias("tail_ok"), same.alias("hero_source"),
         )
 
-    # The end of the sequence: the item before HERO must suit it, or NEXT when there is no HERO.
-    tail = lambda p: F.when(has_hero, F.col(f"{p}h_ok") & F.col("hn_ok")).otherwise(F.col(f"{p}n_ok"))
-    d, e = used(d, "d"), used(e, "e")
-    nothing = F.lit(None).cast("bigint")
-    none_place = F.lit(SEARCH_LIMIT + 1)
-    outcome = lambda d_id, e_id, d_place, e_place, score: [
-        F.col("o"), d_id.alias("d_id"), e_id.alias("e_id"), d_place.alias("d_place"), e_place.alias("e_place"),
-        score.alias("score"),
-    ]
-    keep_e = e.select(
-        "o", *[c for c in e.columns if c.startswith("e_")], "he_dup", "he_exc", tail("e").alias("e_tail")
-    )
-    both = d.select(
-        "o", *[c for c in d.columns if c.startswith("d_")], "h_short_id", "h_source_hash", "h_event_ms"
-    ).join(keep_e, "o")
-    both = _verdict(both, "d", "e", threshold, "de").filter(
-        _fits("e", ["h", "d"], settings) & F.col("de_ok") & F.col("e_tail")
+    d, e = beside_hero(d).filter("p_ok"), beside_hero(e)
+    left = d.select("owner_id", *[F.col(c).alias(f"d_{c}") for c in d.columns if c != "owner_id"])
+    right = e.select("owner_id", *[F.col(c).alias(f"e_{c}") for c in e.columns if c != "owner_id"])
+    joint = left.join(right, "owner_id").join(
+        verdicts.select(F.col("l").alias("d_short_id"), F.col("r").alias("e_short_id"), "dup", "exc", "ok"),
+        ["d_short_id", "e_short_id"],
     )
-    usage = F.col("d_used") + F.when(F.col("d_source_hash") == F.col("e_source_hash"), 0).otherwise(F.col("e_used"))
-    pairs = both.select(*outcome(
+    same = F.col("d_source_hash") == F.col("e_source_hash")
+    apart = ~_blocked(F.col("dup"), F.col("exc"), same, F.abs(F.col("d_event_ms") - F.col("e_event_ms")), settings)
+    filled = same.cast("int") + F.col("e_hero_source").cast("int")
+    usage = F.col("d_used") + F.when(same, 0).otherwise(F.col("e_used"))
+    nothing, none_place = F.lit(None).cast("bigint"), F.lit(SEARCH_LIMIT + 1)
+
+    def outcome(rows: DataFrame, d_id: Column, e_id: Column, d_place: Column, e_place: Column, score: Column) -> DataFrame:
+        return rows.select(
+            "owner_id", d_id.alias("d_id"), e_id.alias("e_id"), d_place.alias("d_place"), e_place.alias("e_place"),
+            score.alias("score"))
+
+    options = outcome(
+        joint.filter(apart & F.col("ok") & F.col("e_tail_ok") & (filled < settings["max_source_per_day"])),
         F.col("d_short_id"), F.col("e_short_id"), F.col("d_place"), F.col("e_place"),
-        F.lit(2000.0) + F.col("d_discovery") + F.col("e_engagement") - usage * 3,
-    ))
-    d_only = d.filter(tail("d")).select(*outcome(
-        F.col("d_short_id"), nothing, F.col("d_place"), none_place,
-        F.lit(1000.0) + F.col("d_discovery") - F.col("d_used") * 3,
-    ))
-    e_only = e.filter(tail("e") & F.col("pe_ok")).select(*outcome(
-        nothing, F.col("e_short_id"), none_place, F.col("e_place"),
-        F.lit(1000.0) + F.col("e_engagement") - F.col("e_used") * 3,
+        F.lit(2000.0) + F.col("d_score") + F.col("e_score") - usage * 3,
+    ).unionByName(outcome(
+        d.filter("tail_ok"), F.col("short_id"), nothing, F.col("place"), none_place,
+        F.lit(1000.0) + F.col("score") - F.col("used") * 3,
+    )).unionByName(outcome(
+        e.filter("tail_ok AND p_ok"), nothing, F.col("short_id"), none_place, F.col("place"),
+        F.lit(1000.0) + F.col("score") - F.col("used") * 3,
+    )).unionByName(outcome(
+        frame.filter(F.when(F.col("h_id").isNotNull(), F.col("ph_ok")).otherwise(F.col("pn_ok"))),
+        nothing, nothing, none_place, none_place, F.lit(0.0),
     ))
-    empty = frame.filter(
-        F.when(has_hero, F.col("ph_ok") & F.col("hn_ok")).otherwise(F.col("pn_ok"))
-    ).select(*outcome(nothing, nothing, none_place, none_place, F.lit(0.0)))
-    ranked = pairs.unionByName(d_only).unionByName(e_only).unionByName(empty)
     place = F.struct("score", -F.col("d_place"), -F.col("e_place"))
-    chosen = ranked.groupBy("o").agg(
+    chosen = options.groupBy("owner_id").agg(
         F.max_by("d_id", place).alias("d_id"), F.max_by("e_id", place).alias("e_id"), F.max("score").alias("score")
     )
-    final = frame.select("o", F.col("h_short_id").alias("h_id"), "ph_ok").join(chosen, "o", "left")
     alone = F.col("d_id").isNull() & F.col("e_id").isNull() & ~F.col("ph_ok")
-    return final.select(
-        F.col("o").alias("owner_id"), F.when(~alone, F.col("h_id")).alias("hero_id"), F.col("d_id").alias("discovery_id"),
+    return frame.join(chosen, "owner_id", "left").select(
+        "owner_id", F.when(~alone, F.col("h_id")).alias("hero_id"), F.col("d_id").alias("discovery_id"),
         F.col("e_id").alias("engagement_id"), "score",
     )
 
