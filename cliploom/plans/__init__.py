@@ -1,3 +1,3 @@
 """Queries bound to tables. Importing this package fills the registry."""
 
-from cliploom.plans import dedup, events, ingest, learning, planning, reporting, similarity  # noqa: F401
+from cliploom.plans import dedup, events, ingest, learning, planning, reporting, similarity, timeline  # noqa: F401

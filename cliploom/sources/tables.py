@@ -210,6 +210,29 @@ def signal(d):
     FROM {{events}}"""
 
 
+@view("events")
+def media_clip(d):
+    at = d.div(d.us('ts') + f' - {EPOCH_2024_US}', '14400000')
+    return f"""
+    SELECT event_id AS clip_id, user_id AS source_id, greatest(0, {at} - 5000) AS start_ms, {at} AS event_ms,
+      {at} + 25000 AS end_ms
+    FROM {{events}} WHERE event_type = 'signup'"""
+
+
+@view("conversations")
+def talk_clip(d):
+    return """
+    SELECT conv_id * 100 + turn AS clip_id, conv_id AS source_id, turn * 60000 AS start_ms, turn * 60000 + 6000 AS event_ms,
+      turn * 60000 + 20000 AS end_ms FROM {conversations}"""
+
+
+@view("conversations")
+def talk_silence(d):
+    return """
+    SELECT conv_id AS source_id, turn * 60000 + 3000 + (conv_id % 5) * 500 AS t_ms, 1000 + (conv_id + turn) % 4 * 300 AS dur_ms
+    FROM {conversations}"""
+
+
 @view("events")
 def media_source(d):
     return f"""
