@@ -1,3 +1,5 @@
 """Queries bound to tables. Importing this package fills the registry."""
 
-from cliploom.plans import dedup, events, health, ingest, learning, planning, reporting, similarity, timeline  # noqa: F401
+from cliploom.plans import (  # noqa: F401
+    dedup, events, health, ingest, learning, planning, reporting, similarity, streams, timeline,
+)
