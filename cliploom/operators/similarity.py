@@ -123,19 +123,34 @@ def with_time_blocks(df: DataFrame) -> DataFrame:
 
 
 def with_frame_bands(df: DataFrame) -> DataFrame:
-    """One row per frame and choice of three of its four 16-bit bands.
+    """One row per blocking key of the item's frame hashes (fingerprints of one length, as they are made).
 
-    A visual mean of at least .97 needs an aligned frame pair within one bit,
-    and that pair agrees on three whole bands, so no near-visual pair is missed.
+    A mean of at least .97 over n frames leaves at most D = floor(1.92 n)
+    differing bits. Some aligned frame then differs by at most one bit and agrees
+    on three of its four 16-bit bands, and the frame after it, cut into D + 1
+    parts, agrees on one part. The key joins both, so a frame shared by many
+    items (an intro, a black screen) does not make a hot block on its own.
     """
+    n = F.size("frames")
+    parts = F.floor((F.lit(1.0) - NEAR_VISUAL) * 64 * n + 1e-9).cast("int") + 1
+    digits = F.ceil(F.lit(16) / parts).cast("int")
     band = lambda h, i: F.substring(h, 1 + 4 * i, 4)
-    keys = F.transform(
-        "frames",
-        lambda h: F.array(*[
-            F.concat(F.lit(f"{skip}:"), *[band(h, i) for i in range(4) if i != skip]) for skip in range(4)
-        ]),
-    )
-    return df.withColumn("band", F.explode(F.array_distinct(F.flatten(keys))))
+    whole = lambda h: [
+        F.concat(F.lit(f"{skip}:"), *[band(h, i) for i in range(4) if i != skip]) for skip in range(4)
+    ]
+
+    def keys_of(h: Column, i: Column) -> Column:
+        after = F.get(F.col("frames"), (i + 1) % n)
+        pieces = F.transform(
+            F.sequence(F.lit(0), F.lit(15), digits),
+            lambda at: F.concat(at.cast("string"), F.lit("."), F.substr(after, at + 1, digits)),
+        )
+        return F.flatten(F.transform(
+            F.array(*whole(h)), lambda w: F.transform(pieces, lambda piece: F.xxhash64(n, i, w, piece))
+        ))
+
+    keys = F.flatten(F.transform("frames", keys_of))
+    return df.withColumn("band", F.explode(F.array_distinct(keys)))
 
 
 def visual_groups(df: DataFrame) -> DataFrame:
