@@ -48,7 +48,6 @@ def has_pictograph(text) -> Column:
 def identify_game(filename) -> Column:
     """struct(game, edition, confidence, method) by the first matching pattern."""
     text = F.regexp_replace(F.lower(col(filename)), r"[-_.]+", " ")
-    rank = F.lit(None).cast("int")
     picked = None
     for pattern, game, edition in config.GAME_PATTERNS:
         value = F.struct(
@@ -56,7 +55,6 @@ def identify_game(filename) -> Column:
             F.lit(config.GAME_CONFIDENCE).alias("confidence"), F.lit("FILENAME").alias("method"),
         )
         picked = F.when(text.rlike(pattern), value) if picked is None else picked.when(text.rlike(pattern), value)
-    del rank
     return picked.otherwise(
         F.struct(
             F.lit("Unknown gameplay").alias("game"), F.lit(None).cast("string").alias("edition"),

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cliploom import config
 from cliploom.functions.numeric import col
 from cliploom.functions.text import report_key
 from cliploom.operators.reporting import first_per_key
+from cliploom.operators.scans import neighbours
 
 RESULT_TABLE = (
     "kind string, columnHeaders array<struct<name:string,columnType:string,dataType:string>>, rows array<array<string>>"
 )
 SAFE_INTEGER = 9007199254740991
+VERSION_BLOCK = 10_000
 
 
 def parse_result_table(df: DataFrame, text: str = "body") -> DataFrame:
@@ -85,7 +88,7 @@ def append_once(df: DataFrame, path: str, key: str) -> None:
     spark = df.sparkSession
     try:
         existing = spark.read.parquet(path)
-    except Exception:  # the first append finds no table
+    except AnalysisException:  # the first append finds no table
         df.dropDuplicates([key]).write.mode("append").parquet(path)
         return
     idempotent_append(existing, df, key).write.mode("append").parquet(path)
@@ -220,12 +223,10 @@ def content_hash_key(**fields) -> Column:
 
 def supersede_active(versions: DataFrame, key: str = "owner_id") -> DataFrame:
     """Only the highest version of an owner stays ACTIVE; each row carries the config before it."""
-    w = Window.partitionBy(key).orderBy(F.col("version"))
-    newest = versions.groupBy(key).agg(F.max("version").alias("__newest"))
-    return (
-        versions.withColumn("previous_config", F.lag("config").over(w)).join(newest, key)
-        .withColumn("state", F.when(F.col("version") == F.col("__newest"), "ACTIVE").otherwise("SUPERSEDED"))
-        .drop("__newest")
+    near = neighbours(versions, [key], ["version"], ["version", "config"], VERSION_BLOCK)
+    return near.select(
+        *versions.columns, F.col("prev_config").alias("previous_config"),
+        F.when(F.col("next_version").isNull(), "ACTIVE").otherwise("SUPERSEDED").alias("state"),
     )
 
 
