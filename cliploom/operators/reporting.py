@@ -202,7 +202,7 @@ def campaign_progress(campaigns: DataFrame, publications: DataFrame, slots: Data
         F.count_if(F.col("pub_state") == "SCHEDULED").alias("scheduled"),
     )
     live = publications.filter("state <> 'CANCELLED'").select("short_id").distinct()
-    open_slots = slots.join(live, "short_id", "left_anti")
+    open_slots = slots.filter(F.col("short_id").isNotNull()).join(live, "short_id", "left_anti")
     held = (
         campaigns.join(open_slots.select("owner_id", "local_date"), "owner_id")
         .filter(F.col("local_date").between(F.col("start_date"), F.col("end_date")))

@@ -235,13 +235,13 @@ def _(t):
 
 
 ADJ = """SELECT owner_id, 'game' AS dimension, game AS segment, ((owner_id * 31 + CAST(replace(game, 'Brand#', '') AS BIGINT)) % 31 - 15) / 100.0 AS adjustment
-  FROM (SELECT DISTINCT owner_id, game FROM short) WHERE owner_id % 2 = 0"""
+  FROM (SELECT DISTINCT owner_id, game FROM short) WHERE game < 'Brand#2'"""
 DUCK_VIEWS["adjustment_sql"] = ADJ.replace("/ 100.0", "/ CAST(100 AS DOUBLE)")
 
 
 def adjustments(t):
     number = F.regexp_replace("game", "Brand#", "").cast("bigint")
-    return t.short.filter("owner_id % 2 = 0").select("owner_id", "game").distinct().select(
+    return t.short.filter("game < 'Brand#2'").select("owner_id", "game").distinct().select(
         "owner_id", F.lit("game").alias("dimension"), F.col("game").alias("segment"),
         (((F.col("owner_id") * 31 + number) % 31 - 15) / F.lit(100.0)).alias("adjustment"))
 

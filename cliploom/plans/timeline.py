@@ -85,15 +85,16 @@ def _(t):
 @query("chunk_word_assign", """
 SELECT source_id, chunk_index, w, greatest(core_start, chunk_start + ws) AS start_ms, least(core_end, chunk_start + we) AS end_ms FROM (
   SELECT transcript_id AS source_id, start_ms // 60000 AS chunk_index, w, start_ms - greatest(0, start_ms // 60000 * 60000 - 1000) - pos % 5 * 700 AS ws,
-    end_ms - greatest(0, start_ms // 60000 * 60000 - 1000) - pos % 5 * 700 AS we, start_ms // 60000 * 60000 AS core_start, start_ms // 60000 * 60000 + 60000 AS core_end,
-    greatest(0, start_ms // 60000 * 60000 - 1000) AS chunk_start FROM word WHERE start_ms < 480000)
+    end_ms - greatest(0, start_ms // 60000 * 60000 - 1000) - pos % 5 * 700 AS we, start_ms // 60000 * 60000 AS core_start,
+    least(max(end_ms) OVER (PARTITION BY transcript_id), start_ms // 60000 * 60000 + 60000) AS core_end,
+    greatest(0, start_ms // 60000 * 60000 - 1000) AS chunk_start FROM word)
 WHERE chunk_start + (ws + we) / 2 >= core_start AND chunk_start + (ws + we) / 2 < core_end AND least(core_end, chunk_start + we) > greatest(core_start, chunk_start + ws)""")
 def _(t):
-    talks = t.word.select(F.col("transcript_id").alias("source_id")).distinct().withColumn("duration_ms", F.lit(480000).cast("bigint"))
+    talks = t.word.groupBy(F.col("transcript_id").alias("source_id")).agg(F.max("end_ms").alias("duration_ms"))
     chunks = tr.chunk_plan(talks, 60000, 1000)
     index = F.floor(F.col("start_ms") / 60000)
     offset = F.greatest(F.lit(0).cast("bigint"), index * 60000 - 1000) + F.col("pos") % 5 * 700
-    words = t.word.filter("start_ms < 480000").select(
+    words = t.word.select(
         F.col("transcript_id").alias("source_id"), index.alias("chunk_index"), "w",
         (F.col("start_ms") - offset).alias("w_start"), (F.col("end_ms") - offset).alias("w_end"))
     return tr.chunk_word_assign(words, chunks)
