@@ -213,7 +213,8 @@ def daily_slate(
         "short_id", "tag", F.when(before, F.col("nb")).otherwise(F.col("short_id")).alias("l"),
         F.when(before, F.col("short_id")).otherwise(F.col("nb")).alias("r"),
     )
-    everyone = pool.unionByName(previous).unionByName(following).dropDuplicates(["short_id"])
+    outside = previous.unionByName(following).dropDuplicates(["short_id"]).join(pool.select("short_id"), "short_id", "left_anti")
+    everyone = pool.unionByName(outside)
     near = _compare_ids(sides, everyone, threshold).groupBy("short_id").agg(
         F.min(F.when(before, F.col("ok"))).alias("p_ok"), F.min(F.when(~before, F.col("ok"))).alias("n_ok")
     )
