@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliploom.llm import mixing, sharding, site_lines
+from cliploom.llm import (
+    fingerprints, language, lattice, mixing, pieces, secrets, setsketch, sharding, site_lines, training_order,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,3 +99,45 @@ SELECT d.doc_id, d.source, CASE WHEN n_dropped > 0 THEN coalesce(kept, '') ELSE
   coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped
 FROM documents d LEFT JOIN rebuilt r ON d.doc_id = r.doc_id
 """
+
+
+@_query
+def op1_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every token sequence of the documents with its slot, shard and byte offset, in training order."""
+    return training_order.training_order(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op3_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned from three quarters of them."""
+    return language.predict(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op6_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicate documents on two-word shingles."""
+    return setsketch.near_duplicates(_table(spark, sf_dir, "documents"), setsketch.Sketching(size=2))
+
+
+@_query
+def op8_piece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece numbers of every document, and whether they decode to its text."""
+    return pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_ids", "ids", "round_trip")
+
+
+@_query
+def op9_token_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: fixed patterns and strings that take many tokens."""
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op10_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicate vectors of one label."""
+    return lattice.near_vectors(_table(spark, sf_dir, "embeddings"))

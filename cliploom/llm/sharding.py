@@ -51,14 +51,15 @@ def _draw(rows: DataFrame, total: float, count: int, turn: int) -> list[tuple[in
     return sorted((r[0], r[1], r[2]) for r in drawn.collect())  # about ``count`` rows whatever the input
 
 
-def _quantiles(drawn: list[tuple[int, int, float]], ranges: int, ties: bool) -> set[Splitter]:
-    """Boundaries that share the drawn weight evenly."""
-    weight, step, out, passed = sum(w for *_, w in drawn), 0, set(), 0.0
+def _quantiles(drawn: list[tuple[int, int, float]], ranges: int) -> set[Splitter]:
+    """Boundaries that share the drawn weight evenly: at a whole key, and inside it where it fills more than one range."""
+    weight, step, out, passed, before = sum(w for *_, w in drawn), 0, set(), 0.0, None
     for key, tie, w in drawn:
         passed += w
         if passed >= weight * (step + 1) / ranges:
             step = int(passed * ranges / weight)
-            out.add(Splitter(key, tie if ties else None))
+            out.add(Splitter(key, tie if key == before else None))
+            before = key
     return out
 
 
@@ -69,29 +70,26 @@ def _ordered(splitters: set[Splitter]) -> list[Splitter]:
 def splitters_for(rows: DataFrame, shards: int) -> tuple[list[Splitter], dict[int, tuple[int, int]]]:
     """Splitters and the exact (size, rows) of each range; ``rows`` has _key, _tie and _size.
 
-    A range above twice its share besides its largest row is sampled again and subdivided, inside a key by the tie where one key fills it.
+    A range above twice its share besides its largest row is sampled again and subdivided.
     The driver holds splitters and range totals only: a number set by the shard count, not by the rows."""
     ranges = max(shards * RANGES_PER_SHARD, partitions(rows.sparkSession))
     total = float(rows.agg(F.sum("_size")).first()[0] or 0)
-    splitters = _quantiles(_draw(rows, total, ranges * SAMPLES_PER_RANGE, 0), ranges, False) if total else set()
+    splitters = _quantiles(_draw(rows, total, ranges * SAMPLES_PER_RANGE, 0), ranges) if total else set()
     for turn in range(1, PASSES + 1):
         ordered = _ordered(splitters)
         numbered = rows.withColumn("_range", range_number(ordered))
         totals = {
-            r["_range"]: (r["size"], r["rows"], r["low"] == r["high"], r["size"] - r["most"]) for r in numbered.groupBy("_range").agg(
-                F.sum("_size").alias("size"), F.count("*").alias("rows"), F.min("_key").alias("low"), F.max("_key").alias("high"),
-                F.max("_size").alias("most"),
+            r["_range"]: (r["size"], r["rows"], r["size"] - r["most"]) for r in numbered.groupBy("_range").agg(
+                F.sum("_size").alias("size"), F.count("*").alias("rows"), F.max("_size").alias("most")
             ).collect()
         }
-        over = {n: v for n, v in totals.items() if v[3] > 2 * total / ranges}
+        over = [n for n, v in totals.items() if v[2] > 2 * total / ranges]
         added: set[Splitter] = set()
-        for one_key in (False, True):
-            chosen = [n for n, v in over.items() if v[2] == one_key]
-            if chosen:
-                picked = numbered.filter(F.col("_range").isin(chosen))
-                share = float(sum(over[n][0] for n in chosen))
-                pieces = max(2, round(share * ranges / total))
-                added |= _quantiles(_draw(picked, share, pieces * SAMPLES_PER_RANGE, turn), pieces, one_key)
+        if over:
+            share = float(sum(totals[n][0] for n in over))
+            pieces = max(2, round(share * ranges / total))
+            picked = numbered.filter(F.col("_range").isin(over))
+            added = _quantiles(_draw(picked, share, pieces * SAMPLES_PER_RANGE, turn), pieces)
         if not added - splitters:
             break
         splitters |= added
@@ -125,7 +123,7 @@ def shard_by_ranges(docs: DataFrame, key: Column, tie: Column, size: Column, sha
     middle = F.when(group_size <= F.lit(snap * full), F.min("_from").over(group) + group_size / 2).otherwise(
         F.col("_from") + F.col("_size") / 2
     )
-    # a group cut by a splitter is over the limit in all its parts, so no group of a small size is ever cut
+    # only a key that fills more than one range is cut by a splitter, and such a key is above the limit anyway
     dealt = stored(
         placed.withColumn("shard", F.least(F.floor(middle / F.lit(full)), F.lit(shards - 1)).cast("int")).drop(
             "_from", "_bytes", "_rows", "_key", "_tie", "_size", "_range"
