@@ -59,9 +59,11 @@ def cosine_similarity(a, b) -> Column:
 
 
 def overlap_ms(a_start, a_end, b_start, b_end) -> Column:
-    return F.greatest(
+    """Shared length of two spans; null when a border is missing."""
+    known = col(a_start).isNotNull() & col(a_end).isNotNull() & col(b_start).isNotNull() & col(b_end).isNotNull()
+    return F.when(known, F.greatest(
         F.lit(0).cast("bigint"), F.least(col(a_end), col(b_end)) - F.greatest(col(a_start), col(b_start))
-    )
+    ))
 
 
 def overlap_of_shorter(a_start, a_end, b_start, b_end, floor_ms: int = 10) -> Column:

@@ -21,7 +21,9 @@ def half_up(value, digits: int = 0) -> Column:
 
 
 def bounded(value, low: float = 0.0, high: float = 100.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), col(value)))
+    """The value kept inside the bounds; null stays null (``least`` and ``greatest`` alone skip nulls)."""
+    v = col(value)
+    return F.when(v.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), v)))
 
 
 def ratio(numerator, denominator) -> Column:
@@ -76,13 +78,13 @@ def recommendation_direction(lift) -> Column:
 
 def score_components(views, engaged, avg_pct, shares, subs, age_hours) -> dict[str, Column]:
     v = col(views)
-    per_view = lambda c, k: F.when(v != 0, bounded(col(c) / v * k)).otherwise(0.0)
+    per_view = lambda c, k: F.when(v != 0, F.coalesce(bounded(col(c) / v * k), F.lit(0.0))).otherwise(0.0)
     return {
         "retention": F.coalesce(bounded(avg_pct), F.lit(0.0)),
         "engaged_views": per_view(engaged, 125.0),
         "shares": per_view(shares, 10_000.0),
         "subscribers": per_view(subs, 20_000.0),
-        "velocity": bounded(v / F.greatest(F.lit(1), col(age_hours)) * 2),
+        "velocity": F.coalesce(bounded(v / F.greatest(F.lit(1), col(age_hours)) * 2), F.lit(0.0)),
     }
 
 
@@ -130,7 +132,7 @@ def logprob_confidence(avg_logprob) -> Column:
 
 
 def deterministic_arm(seed, allocation) -> Column:
-    """FNV-1a 32 bit of the seed's UTF-16 units, as a share of 2**32, below the allocation."""
+    """FNV-1a 32 bit of the seed's characters (one unit each), as a share of 2**32, below the allocation; null is 0."""
     digits = F.transform(F.split(col(seed), ""), lambda ch: F.ascii(ch).cast("bigint"))
     hashed = F.aggregate(
         digits,
@@ -139,4 +141,4 @@ def deterministic_arm(seed, allocation) -> Column:
         lambda h, ch: ((h.bitwiseXOR(ch)) * F.lit(16777619).cast("bigint")).bitwiseAND(F.lit(4294967295).cast("bigint")),
     )
     share = hashed / F.lit(4294967296.0)
-    return F.when(share < bounded(allocation, 0.0, 0.5), "VARIANT").otherwise("CONTROL")
+    return F.when(share < F.coalesce(bounded(allocation, 0.0, 0.5), F.lit(0.0)), "VARIANT").otherwise("CONTROL")

@@ -80,8 +80,10 @@ def content_type(selected, filename, confidence) -> Column:
 def readable_event(event_type) -> Column:
     bare = F.regexp_replace(col(event_type), r"(?i)^(COD|FC|GTA|FORTNITE)[_-]+", "")
     spaced = F.trim(F.regexp_replace(F.regexp_replace(bare, r"[_-]+", " "), r"\s+", " "))
-    words = F.transform(F.split(spaced, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000)))
-    return F.array_join(words, " ")
+    # every ASCII word start is raised, also after a bracket or an apostrophe; the rest keeps its case
+    pieces = F.regexp_extract_all(spaced, F.lit(r"[A-Za-z0-9_]+|[^A-Za-z0-9_]+"), F.lit(0))
+    raised = F.transform(pieces, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2))))
+    return F.array_join(raised, "")
 
 
 def truthful_label(event_type) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cliploom import config
 from cliploom.functions.numeric import bounded, bucket, col, duration_class, half_up
-from cliploom.operators import series
+from cliploom.operators import scans, series
 from cliploom.operators.reporting import top_n
 
 MAX_GAP_MS = max(gap for _, _, _, gap, _ in config.CLUSTERING_PROFILES)
@@ -61,17 +61,16 @@ def event_clusters(evidence: DataFrame, sources: DataFrame) -> DataFrame:
 
     An event joins the open cluster when the types agree (or either is an
     ACTIVITY type) and it follows within the larger of the cluster's and its
-    own gap. Evidence is point-like, and ``signal_cap`` bounds it per source.
-    A silence longer than every profile's gap always separates clusters, so
-    the ordered fold runs on those short stretches, not on whole sources.
+    own gap. Evidence is point-like. A silence longer than every profile's gap
+    always separates clusters; stretches between such silences are numbered in
+    bucketed scans, so a long source is spread over tasks and the ordered fold
+    runs inside a stretch only.
     """
     profiled = evidence.join(sources.select("source_id", "game", "game_confidence"), "source_id").withColumn(
         "__p", clustering_profile("game", "event_type", F.least("game_confidence", "confidence"))
     )
-    w = Window.partitionBy("source_id").orderBy("t_ms", "signal_id")
-    away = F.col("t_ms") - F.lag("t_ms").over(w) > MAX_GAP_MS
-    stretched = profiled.withColumn("__away", F.coalesce(away, F.lit(True)).cast("bigint")).withColumn(
-        "__stretch", F.sum("__away").over(w)
+    stretched = scans.gap_groups(
+        profiled, ["source_id"], ["t_ms", "signal_id"], MAX_GAP_MS, "__stretch", series.SERIES_BUCKET
     )
     strength = weight_of("kind", config.STRENGTH_WEIGHTS) * F.greatest(F.lit(1.0), F.abs("value"))
     item = F.struct(
@@ -196,7 +195,7 @@ def content_bounds(events: DataFrame) -> DataFrame:
 def gameplay_candidates(signals: DataFrame, sources: DataFrame, limit: int = 24) -> DataFrame:
     """Detect, score, keep the best ``limit`` per source, then place the clip bounds."""
     profiled = sources.withColumn("profile", detector_profile("game", "game_confidence"))
-    events = detected_events(series.signal_cap(signals), sources).join(
+    events = detected_events(signals, sources).join(
         profiled.select("source_id", "profile", "duration_ms"), "source_id"
     )
     scored = profile_classify(events)
@@ -205,10 +204,8 @@ def gameplay_candidates(signals: DataFrame, sources: DataFrame, limit: int = 24)
 
 
 def gap_sessions(peaks: DataFrame, sources: DataFrame, gap_ms: int = 6000) -> DataFrame:
-    """Audio peaks at most ``gap_ms`` apart as one conversational stretch. Input is capped per source."""
-    w = Window.partitionBy("source_id").orderBy("t_ms", "signal_id")
-    opens = F.coalesce(F.col("t_ms") - F.lag("t_ms").over(w) > gap_ms, F.lit(True)).cast("bigint")
-    marked = peaks.withColumn("__open", opens).withColumn("session_no", F.sum("__open").over(w))
+    """Audio peaks at most ``gap_ms`` apart as one conversational stretch, numbered in bucketed scans."""
+    marked = scans.gap_groups(peaks, ["source_id"], ["t_ms", "signal_id"], gap_ms, "session_no", series.SERIES_BUCKET)
     grouped = marked.groupBy("source_id", "session_no").agg(
         F.count("*").alias("peaks"), F.sum("t_ms").alias("__sum"), F.min("t_ms").alias("__first"), F.max("t_ms").alias("__last")
     )
@@ -223,9 +220,9 @@ def gap_sessions(peaks: DataFrame, sources: DataFrame, gap_ms: int = 6000) -> Da
 
 
 def podcast_candidates(signals: DataFrame, sources: DataFrame, limit: int = 24) -> DataFrame:
-    capped = series.signal_cap(signals).filter("kind = 'AUDIO_PEAK'")
+    peaks = signals.filter("kind = 'AUDIO_PEAK'")
     score = F.least(F.lit(55).cast("bigint"), F.lit(18) + F.col("peaks") * 8).cast("int")
-    scored = gap_sessions(capped, sources).withColumn("signal_score", score)
+    scored = gap_sessions(peaks, sources).withColumn("signal_score", score)
     best = top_n(scored, ["source_id"], [F.col("signal_score").desc(), F.col("center_ms"), F.col("session_no")], limit)
     total = F.col("duration_ms").cast("double")
     placed = best.withColumn(

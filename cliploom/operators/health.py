@@ -170,15 +170,20 @@ def stale_jobs(jobs: DataFrame, owners: DataFrame, now: Column, minutes: int = c
 
 
 def merge_alerts(current: DataFrame, firing: DataFrame, now: Column) -> DataFrame:
-    """Upsert firing alerts by key: first seen is kept, last seen refreshed; the rest of the active ones resolve."""
+    """Upsert firing alerts by key: first seen is kept, last seen refreshed; the rest of the active ones resolve.
+
+    Title and message ride along; of several alerts of one key the greatest text stays, so reruns agree."""
     active = current.filter("state = 'ACTIVE'").select(*ALERT_KEYS, "first_seen", F.lit(True).alias("__was"))
-    fresh = firing.dropDuplicates(ALERT_KEYS).withColumn("__fires", F.lit(True))
+    told = [c for c in ("title", "message") if c in firing.columns]
+    fresh = firing.groupBy(*ALERT_KEYS).agg(
+        F.max(F.struct(*told) if told else F.lit(True)).alias("__told"), F.lit(True).alias("__fires")
+    )
     joined = active.join(fresh, ALERT_KEYS, "full_outer")
     fires = F.coalesce("__fires", F.lit(False))
     return joined.select(
         *ALERT_KEYS, F.when(fires, "ACTIVE").otherwise("RESOLVED").alias("state"),
         F.coalesce("first_seen", now).alias("first_seen"), F.when(fires, now).alias("last_seen"),
-        F.when(~fires, now).alias("resolved_at"),
+        F.when(~fires, now).alias("resolved_at"), *[F.col("__told")[c].alias(c) for c in told],
     )
 
 

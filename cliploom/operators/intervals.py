@@ -22,16 +22,24 @@ def interval_join(
         low, high = (F.floor(F.col(c) / width) for c in span)
         return df.withColumn(f"__{name}0", low).withColumn("__block", F.explode(F.sequence(low, F.greatest(low, high))))
 
+    if how == "left":
+        return _left_interval_join(left, right, keys, left_span, right_span, width)
     a, b = blocks(left, left_span, "a"), blocks(right, right_span, "b")
     hit = (F.col(right_span[1]) > F.col(left_span[0])) & (F.col(right_span[0]) < F.col(left_span[1]))
     joined = a.join(b, [*keys, "__block"]).filter(hit & (F.col("__block") == F.greatest("__a0", "__b0")))
-    out = joined.drop("__a0", "__b0", "__block")
-    if how == "inner":
-        return out
+    return joined.drop("__a0", "__b0", "__block")
+
+
+def _left_interval_join(left: DataFrame, right: DataFrame, keys: list[str], left_span, right_span, width: int) -> DataFrame:
+    """Every left row with its matches gathered per distinct row and exploded outer, so nulls in the left columns and repeated
+    rows neither lose nor repeat anything."""
     rest = [c for c in right.columns if c not in keys]
-    matched = out.select(*left.columns).distinct()
-    missing = left.join(matched, left.columns, "left_anti")
-    return out.unionByName(missing.select("*", *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in rest]))
+    name = F.xxhash64(*[F.struct(F.col(c)) for c in left.columns])
+    row = F.to_json(F.struct(*left.columns), {"ignoreNullFields": "false"})
+    marked = left.withColumn("__row", F.concat(name.cast("string"), F.lit(":"), row))
+    spans = marked.select("__row", *keys, *left_span).distinct()
+    hits = interval_join(spans, right, keys, left_span, right_span, width).select("__row", *rest)
+    return marked.join(hits, "__row", "left").select(*left.columns, *rest)
 
 
 def point_join(

@@ -361,3 +361,10 @@ def plan_days(
         kept = previous.join(fresh.select("owner_id"), "owner_id", "left_anti")
         previous = fresh.unionByName(kept)
     return out
+
+
+def evidence_objects(body: Column) -> Column:
+    """Names in the ``objects`` list of a JSON document: its string elements, told by JSON type; null without the list."""
+    listed = F.from_json(F.get_json_object(body, "$.objects"), "array<variant>")
+    texts = F.filter(listed, lambda v: F.schema_of_variant(v) == "STRING")
+    return F.transform(texts, lambda v: F.variant_get(v, "$", "string"))

@@ -7,6 +7,7 @@ from cliploom.functions import evidence as ev
 from cliploom.functions.text import content_type, identify_game
 from cliploom.operators import events as e
 from cliploom.operators import series as s
+from cliploom.operators.intervals import point_join
 from cliploom.operators.reporting import top_n
 from cliploom.plans.common import rounded
 from cliploom.plans.registry import query
@@ -229,13 +230,13 @@ CLUSTER_COLUMNS = ["source_id", "cluster_no", "event_type", "start_ms", "key_ms"
 
 @query("event_clusters", f"SELECT {', '.join(CLUSTER_COLUMNS)}, round(confidence, 9) AS confidence, array_to_string(kinds, ',') AS kinds FROM cluster_sql")
 def _(t):
-    out = e.event_clusters(e.event_evidence(s.signal_cap(t.signal)), t.media_source)
+    out = e.event_clusters(e.event_evidence(t.signal), t.media_source)
     return out.select(*CLUSTER_COLUMNS, F.round("confidence", 9).alias("confidence"), F.array_join("kinds", ",").alias("kinds"))
 
 
 def scored(t):
     sources = t.media_source
-    events = e.detected_events(s.signal_cap(t.signal), sources).join(
+    events = e.detected_events(t.signal, sources).join(
         sources.withColumn("profile", e.detector_profile("game", "game_confidence")).select("source_id", "profile", "duration_ms"), "source_id")
     return events
 
@@ -292,7 +293,7 @@ DUCK_VIEWS["session_sql"] = """
 SELECT source_id, session_no, peaks, round(center_ms, 6) AS center_ms, CAST(start_ms AS DOUBLE) AS start_ms, CAST(end_ms AS DOUBLE) AS end_ms,
   round(CAST(confidence AS DOUBLE), 9) AS confidence FROM session_sql""")
 def _(t):
-    peaks = s.signal_cap(t.signal).filter("kind = 'AUDIO_PEAK'")
+    peaks = t.signal.filter("kind = 'AUDIO_PEAK'")
     out = e.gap_sessions(peaks, t.media_source).drop("duration_ms")
     return rounded(rounded(out, "center_ms"), "confidence", digits=9)
 
@@ -315,8 +316,7 @@ SELECT c.source_id, c.cluster_no, count(*) FILTER (kind = 'AUDIO_PEAK') AS peak_
 FROM c JOIN signal g ON g.source_id = c.source_id AND t_ms BETWEEN clip_start_ms AND clip_end_ms GROUP BY ALL""")
 def _(t):
     clips = e.gameplay_candidates(t.signal, t.media_source).select("source_id", "cluster_no", "clip_start_ms", "clip_end_ms")
-    # Candidates (24) and signals (10 000) per source are both capped before they meet.
-    inside = s.signal_cap(t.signal).join(clips, "source_id").filter(F.col("t_ms").between(F.col("clip_start_ms"), F.col("clip_end_ms")))
+    inside = point_join(t.signal, clips, ["source_id"], "t_ms", ("clip_start_ms", "clip_end_ms"))
     audio = F.col("kind") == "AUDIO_PEAK"
     return inside.groupBy("source_id", "cluster_no").agg(
         F.count_if(audio).alias("peak_count"), F.coalesce(F.max(F.when(audio, F.abs("value"))), F.lit(0.0)).alias("maximum_peak"),

@@ -52,10 +52,10 @@ def sessions(t):
 
 @query("expired_sessions", f"""
 SELECT upload_id, state FROM session_row s WHERE (state = 'OPEN' AND expires_at < {NOW}) OR state = 'EXPIRED'
-  OR (state = 'COMPLETE' AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = upload_id AND l_linenumber = 7))""")
+  OR (state = 'COMPLETE' AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = upload_id AND l_linenumber > 3))""")
 def _(t):
-    parts = t.base("lineitem").filter("l_linenumber = 7").select(F.col("l_orderkey").alias("upload_id"))
-    return h.expired_sessions(sessions(t), parts, now()).select("upload_id", "state")
+    left = t.base("lineitem").withColumn("upload_id", F.when(F.col("l_linenumber") > 3, F.col("l_orderkey")))
+    return h.expired_sessions(sessions(t), left.select("upload_id"), now()).select("upload_id", "state")
 
 
 @query("active_upload_quota", f"""
@@ -100,11 +100,16 @@ def _(t):
 
 
 @query("cache_lookup_join", """
-SELECT short_id, c.k IS NOT NULL AS hit, input_tokens, output_tokens FROM short LEFT JOIN (
-  SELECT input_hash AS k, max(input_tokens) AS input_tokens, max(output_tokens) AS output_tokens FROM ai_cache WHERE model = 'R' GROUP BY 1) c ON c.k = short_id""")
+SELECT l_orderkey AS input_hash, l_linenumber AS line_no, c.k IS NOT NULL AS hit, input_tokens, output_tokens FROM lineitem r LEFT JOIN (
+  SELECT input_hash AS k, provider_no, model, prompt_version, max(input_tokens) AS input_tokens, max(output_tokens) AS output_tokens
+  FROM ai_cache GROUP BY ALL) c ON c.k = l_orderkey AND c.provider_no = l_partkey AND c.prompt_version = l_linestatus
+  AND c.model = CASE WHEN l_linenumber % 3 = 0 THEN 'N' ELSE l_returnflag END""")
 def _(t):
-    requests = t.short.select("short_id", F.col("short_id").alias("input_hash"))
-    return h.cache_lookup_join(requests, t.ai_cache.filter("model = 'R'"), ["input_hash"]).select("short_id", "hit", "input_tokens", "output_tokens")
+    requests = t.base("lineitem").selectExpr(
+        "l_orderkey AS input_hash", "l_linenumber AS line_no", "l_partkey AS provider_no",
+        "CASE WHEN l_linenumber % 3 = 0 THEN 'N' ELSE l_returnflag END AS model", "l_linestatus AS prompt_version")
+    keys = ["input_hash", "provider_no", "model", "prompt_version"]
+    return h.cache_lookup_join(requests, t.ai_cache, keys).select("input_hash", "line_no", "hit", "input_tokens", "output_tokens")
 
 
 @query("latest_child_lateral", """
@@ -158,11 +163,11 @@ def _(t):
 
 DUCK_VIEWS["alert_row"] = """
   SELECT s.owner_id, 'stale-job:' || job_id AS dedupe_key, split_part('CRITICAL|WARNING|INFO', '|', CAST(job_id % 3 AS INTEGER) + 1) AS severity,
-    CASE WHEN job_id % 5 = 0 THEN 'RESOLVED' ELSE 'ACTIVE' END AS state, j.created_at AS first_seen, updated_at AS last_seen FROM job j JOIN source s ON s.source_id = j.source_id WHERE attempt = 2"""
+    CASE WHEN job_id % 5 = 0 THEN 'RESOLVED' ELSE 'ACTIVE' END AS state, j.created_at AS first_seen, updated_at AS last_seen FROM job j JOIN source s ON s.source_id = j.source_id"""
 
 
 def alerts(t):
-    jobs = t.job.filter("attempt = 2").join(t.source.select("source_id", "owner_id"), "source_id")
+    jobs = t.job.join(t.source.select("source_id", "owner_id"), "source_id")
     return jobs.select(
         "owner_id", F.concat(F.lit("stale-job:"), F.col("job_id").cast("string")).alias("dedupe_key"),
         F.expr("split_part('CRITICAL|WARNING|INFO', '|', CAST(job_id % 3 AS INTEGER) + 1)").alias("severity"),
@@ -192,9 +197,7 @@ SELECT coalesce(a.owner_id, f.owner_id) AS owner_id, coalesce(a.dedupe_key, f.de
   strftime(coalesce(a.first_seen, TIMESTAMP '2024-01-31'), '%Y-%m-%d %H:%M:%S') AS first_seen, f.message
 FROM (SELECT * FROM alert_row WHERE state = 'ACTIVE') a FULL JOIN stale_row f ON f.owner_id = a.owner_id AND f.dedupe_key = a.dedupe_key""")
 def _(t):
-    fired = firing(t)
-    merged = h.merge_alerts(alerts(t), fired, now())
-    return merged.join(fired.select("owner_id", "dedupe_key", "message"), ["owner_id", "dedupe_key"], "left").select(
+    return h.merge_alerts(alerts(t), firing(t), now()).select(
         "owner_id", "dedupe_key", "state", stamp("first_seen").alias("first_seen"), "message")
 
 
@@ -280,17 +283,17 @@ def _(t):
 
 
 @query("logprob_confidence", """
-SELECT signal_id, round(greatest(0, least(1, exp(-value / 100))), 9) AS confidence FROM signal""")
+SELECT signal_id, CASE WHEN signal_id % 11 <> 0 THEN round(greatest(0, least(1, exp(-value / 100))), 9) END AS confidence FROM signal""")
 def _(t):
-    return rounded(t.signal.select("signal_id", logprob_confidence(-F.col("value") / 100).alias("confidence")), "confidence", digits=9)
+    return rounded(t.signal.select("signal_id", logprob_confidence(F.when(F.col("signal_id") % 11 != 0, -F.col("value") / 100)).alias("confidence")), "confidence", digits=9)
 
 
 @query("readable_event", r"""
-WITH x AS (SELECT short_id, split_part('COD_|FC-|GTA_|', '|', CAST(short_id % 4 AS INTEGER) + 1) || lower(event_type) || '_big__play' AS t, event_type FROM short)
-SELECT short_id, upper(substr(event_type, 1, 1)) || lower(substr(event_type, 2)) || ' Big Play' AS readable,
-  upper(replace(replace(split_part('COD_|FC-|GTA_|', '|', CAST(short_id % 4 AS INTEGER) + 1), '_', ' '), '-', ' ') || event_type || ' BIG PLAY') AS label FROM x""")
+WITH x AS (SELECT short_id, split_part('COD_|FC-|GTA_|', '|', CAST(short_id % 4 AS INTEGER) + 1) || lower(event_type) || '_(big)__o''neil' AS t, event_type FROM short)
+SELECT short_id, upper(substr(event_type, 1, 1)) || lower(substr(event_type, 2)) || ' (Big) O''Neil' AS readable,
+  upper(replace(replace(split_part('COD_|FC-|GTA_|', '|', CAST(short_id % 4 AS INTEGER) + 1), '_', ' '), '-', ' ') || event_type || ' (BIG) O''NEIL') AS label FROM x""")
 def _(t):
-    raw = F.concat(F.expr("split_part('COD_|FC-|GTA_|', '|', CAST(short_id % 4 AS INTEGER) + 1)"), F.lower("event_type"), F.lit("_big__play"))
+    raw = F.concat(F.expr("split_part('COD_|FC-|GTA_|', '|', CAST(short_id % 4 AS INTEGER) + 1)"), F.lower("event_type"), F.lit("_(big)__o'neil"))
     return t.short.select("short_id", text.readable_event(raw).alias("readable"), text.truthful_label(raw).alias("label"))
 
 

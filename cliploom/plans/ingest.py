@@ -8,6 +8,7 @@ from cliploom.plans.common import day, now
 from cliploom.plans.registry import query
 from cliploom.sources import ingest as i
 from cliploom.sources.tables import TODAY
+from cliploom.streaming.pipelines import work_dir
 
 
 def result_tables(t):
@@ -232,7 +233,10 @@ def _(t):
 @query("report_sink", """
 SELECT state, count(*) AS shorts, round(avg(quality), 6) AS mean_quality FROM short GROUP BY state""")
 def _(t):
-    return t.short.groupBy("state").agg(F.count("*").alias("shorts"), F.round(F.avg("quality"), 6).alias("mean_quality"))
+    report = t.short.groupBy("state").agg(F.count("*").alias("shorts"), F.round(F.avg("quality"), 6).alias("mean_quality"))
+    path = work_dir(t.spark, "report")
+    i.write_report(report, path)
+    return i.read_report(t.spark, path, report.schema)
 
 
 @query("backfill_columns", """

@@ -123,13 +123,13 @@ def _(t):
 
 
 @query("outcome_score", """
-SELECT short_id, floor((0.3 * CAST(c.quality AS DOUBLE) + 0.25 * least(100, e / v * 125) + 0.15 * least(100, s / v * 10000) + 0.15 * least(100, g / v * 20000)
+SELECT short_id, floor((0.3 * coalesce(CAST(c.quality AS DOUBLE), 0) + 0.25 * least(100, e / v * 125) + 0.15 * least(100, s / v * 10000) + 0.15 * least(100, g / v * 20000)
   + 0.15 * least(100, v / 24 * 2)) * 100 + 0.5) / 100 AS score
-FROM (SELECT short_id, quality, CAST(short_id % 900 + 100 AS DOUBLE) AS v, CAST(short_id % 90 AS DOUBLE) AS e, CAST(short_id % 5 AS DOUBLE) AS s,
+FROM (SELECT short_id, CASE WHEN short_id % 7 <> 0 THEN quality END AS quality, CAST(short_id % 900 + 100 AS DOUBLE) AS v, CAST(short_id % 90 AS DOUBLE) AS e, CAST(short_id % 5 AS DOUBLE) AS s,
   CAST(short_id % 3 AS DOUBLE) AS g FROM short) c""")
 def _(t):
     rows = t.short.selectExpr(
-        "short_id", "quality", "CAST(short_id % 900 + 100 AS DOUBLE) AS v", "CAST(short_id % 90 AS DOUBLE) AS e",
+        "short_id", "CASE WHEN short_id % 7 <> 0 THEN quality END AS quality", "CAST(short_id % 900 + 100 AS DOUBLE) AS v", "CAST(short_id % 90 AS DOUBLE) AS e",
         "CAST(short_id % 5 AS DOUBLE) AS s", "CAST(short_id % 3 AS DOUBLE) AS g")
     return rows.select("short_id", n.outcome_score(n.score_components("v", "e", "quality", "s", "g", F.lit(24))).alias("score"))
 
@@ -235,13 +235,13 @@ def _(t):
 
 
 ADJ = """SELECT owner_id, 'game' AS dimension, game AS segment, ((owner_id * 31 + CAST(replace(game, 'Brand#', '') AS BIGINT)) % 31 - 15) / 100.0 AS adjustment
-  FROM (SELECT DISTINCT owner_id, game FROM short) WHERE game < 'Brand#2'"""
+  FROM (SELECT DISTINCT owner_id, game FROM short)"""
 DUCK_VIEWS["adjustment_sql"] = ADJ.replace("/ 100.0", "/ CAST(100 AS DOUBLE)")
 
 
 def adjustments(t):
     number = F.regexp_replace("game", "Brand#", "").cast("bigint")
-    return t.short.filter("game < 'Brand#2'").select("owner_id", "game").distinct().select(
+    return t.short.select("owner_id", "game").distinct().select(
         "owner_id", F.lit("game").alias("dimension"), F.col("game").alias("segment"),
         (((F.col("owner_id") * 31 + number) % 31 - 15) / F.lit(100.0)).alias("adjustment"))
 
@@ -268,9 +268,9 @@ def _(t):
 @query("rank_predictions", """
 SELECT s.short_id, floor(greatest(0, least(100, highlight * (1 + coalesce(adjustment, 0)))) * 100 + 0.5) / 100 AS predicted_score, v.version AS strategy_version
 FROM short s LEFT JOIN adjustment_sql a ON a.owner_id = s.owner_id AND a.segment = s.game
-LEFT JOIN (SELECT owner_id, max(short_id) AS version FROM short WHERE owner_id <> 6 GROUP BY 1) v ON v.owner_id = s.owner_id""")
+LEFT JOIN (SELECT owner_id, max(short_id) AS version FROM short GROUP BY 1) v ON v.owner_id = s.owner_id""")
 def _(t):
-    active = t.short.filter("owner_id <> 6").groupBy("owner_id").agg(F.max("short_id").alias("strategy_version"))
+    active = t.short.groupBy("owner_id").agg(F.max("short_id").alias("strategy_version"))
     out = l.predict_performance(t.short, adjustments(t), "highlight", ["game", "event_type"])
     return out.join(active, "owner_id", "left").select("short_id", "predicted_score", "strategy_version")
 
@@ -290,10 +290,10 @@ FNV = """list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(ran
 
 
 @query("deterministic_arm", f"""
-SELECT short_id, CASE WHEN {FNV} / 4294967296.0 < 0.3 THEN 'VARIANT' ELSE 'CONTROL' END AS arm FROM (SELECT short_id, 'e1:s' || short_id AS seed FROM short)""")
+SELECT short_id, CASE WHEN short_id % 13 <> 0 AND {FNV} / 4294967296.0 < 0.3 THEN 'VARIANT' ELSE 'CONTROL' END AS arm FROM (SELECT short_id, 'e1:s' || short_id AS seed FROM short)""")
 def _(t):
     seed = F.concat(F.lit("e1:s"), F.col("short_id").cast("string"))
-    return t.short.select("short_id", n.deterministic_arm(seed, F.lit(0.3)).alias("arm"))
+    return t.short.select("short_id", n.deterministic_arm(seed, F.when(F.col("short_id") % 13 != 0, 0.3)).alias("arm"))
 
 
 def experiments(t):
@@ -347,9 +347,9 @@ def _(t):
 
 @query("retry_backoff", """
 SELECT job_id, CASE WHEN attempt >= 3 THEN 'FAILED' ELSE 'RETRYING' END AS next_state,
-  CASE WHEN attempt < 3 THEN CAST(pow(2, attempt) * 5000 AS BIGINT) END AS delay_ms FROM job WHERE state = 'RUNNING'""")
+  CASE WHEN attempt < 3 THEN CAST(pow(2, attempt) * 5000 AS BIGINT) END AS delay_ms FROM job""")
 def _(t):
-    return l.retry_backoff(t.job.filter("state = 'RUNNING'")).select("job_id", "next_state", "delay_ms")
+    return l.retry_backoff(t.job).select("job_id", "next_state", "delay_ms")
 
 
 @query("readiness", """

@@ -94,9 +94,9 @@ def _(t):
 
 @query("slot_state_join", """
 SELECT slot_id, k.short_id, coalesce(p.state, CASE WHEN k.short_id IS NULL THEN 'MISSING' ELSE 'RESERVED' END) AS slot_state
-FROM slot k LEFT JOIN (SELECT * FROM publication WHERE state <> 'PENDING') p ON p.short_id = k.short_id""")
+FROM slot k LEFT JOIN publication p ON p.short_id = k.short_id""")
 def _(t):
-    return r.slot_state(t.slot, t.publication.filter("state <> 'PENDING'")).select("slot_id", "short_id", "slot_state")
+    return r.slot_state(t.slot, t.publication).select("slot_id", "short_id", "slot_state")
 
 
 @query("adjacent_slots", """
@@ -319,10 +319,8 @@ def _(t):
 
 
 @query("evidence_objects", """
-SELECT short_id, CASE WHEN short_id % 3 = 0 THEN NULL ELSE array_to_string([game, title], ',') END AS objects FROM short""")
+SELECT short_id, CASE WHEN short_id % 3 = 0 THEN NULL ELSE array_to_string([game, '7', title], ',') END AS objects FROM short""")
 def _(t):
     body = F.when(F.col("short_id") % 3 == 0, F.lit('{"note": 1}')).otherwise(
-        F.concat(F.lit('{"objects": ["'), "game", F.lit('", 7, "'), "title", F.lit('"]}')))
-    raw = F.from_json(F.get_json_object(body, "$.objects"), "array<string>")
-    typed = F.filter(raw, lambda v: v.try_cast("double").isNull())
-    return t.short.select("short_id", F.array_join(typed, ",").alias("objects"))
+        F.concat(F.lit('{"objects": ["'), "game", F.lit('", 7, "7", null, {"a": 1}, "'), "title", F.lit('"]}')))
+    return t.short.select("short_id", F.array_join(p.evidence_objects(body), ",").alias("objects"))

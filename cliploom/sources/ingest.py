@@ -258,3 +258,12 @@ def write_report(df: DataFrame, path: str) -> None:
     """Report frame as JSON lines and CSV, written by the executors."""
     df.write.mode("overwrite").json(f"{path}/json")
     df.write.mode("overwrite").option("header", True).csv(f"{path}/csv")
+
+
+def read_report(spark, path: str, schema) -> DataFrame:
+    """A written report: the JSON rows, after the CSV form has been found to hold the same ones."""
+    rows = spark.read.schema(schema).json(f"{path}/json")
+    table = spark.read.schema(schema).option("header", True).csv(f"{path}/csv")
+    if not rows.exceptAll(table).isEmpty() or not table.exceptAll(rows).isEmpty():
+        raise ValueError(f"the two forms of the report under {path} differ")
+    return rows

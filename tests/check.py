@@ -16,7 +16,7 @@ def main() -> None:
     queries, oracles = entry.queries(), entry.oracle_sql()
     bad = 0
     for name in queries:
-        if not re.fullmatch(pattern, name) and pattern != "." and pattern != queries[name].module:
+        if not re.fullmatch(pattern, name) and pattern != "." and pattern != getattr(queries[name], "module", ""):
             continue
         started = time.time()
         try:
