@@ -2,32 +2,40 @@
 
 from pyspark.sql import functions as F
 
-from cliploom.plans.common import day, stamp
+from cliploom.plans.common import day, now, stamp
 from cliploom.plans.registry import query
 from cliploom.streaming import pipelines as p
 
 
-def stream(t):
-    raw = p.read_stream(t.spark, t.sf_dir, "events.parquet")
+def shaped(raw):
     return raw.selectExpr(
         "event_id AS observation_id", "user_id", "user_id % 7 AS owner_id", "CAST(ts AS TIMESTAMP) AS ts", "event_type",
         "CASE WHEN event_type = 'signup' THEN NULL ELSE user_id END AS video_id", "CAST(ts AS DATE) AS report_date",
         "CAST(floor(value * 100) AS BIGINT) AS views")
 
 
+def stream(t):
+    return shaped(p.read_stream(t.spark, t.sf_dir, "events.parquet"))
+
+
+def rows(t):
+    """The batch read of the same file."""
+    return shaped(t.base("events"))
+
+
 @query("stream_snapshot_ingest", """
 SELECT DISTINCT sha256(owner_id || chr(0) || coalesce(CAST(video_id AS VARCHAR), 'channel') || chr(0) || strftime(report_date, '%Y-%m-%d')) AS report_key FROM observation""")
 def _(t):
-    rows = stream(t).withColumnRenamed("ts", "collected_at")
-    return p.snapshot_ingest(rows, p.work_dir(t.spark, "snapshots")).select("report_key")
+    reports = stream(t).withColumnRenamed("ts", "collected_at")
+    return p.snapshot_ingest(reports, p.work_dir(t.spark, "snapshots")).select("report_key")
 
 
 @query("stream_latest_totals", """
 SELECT owner_id, count(*) AS observations, CAST(sum(views) AS BIGINT) AS views FROM (
   SELECT owner_id, views FROM observation QUALIFY row_number() OVER (PARTITION BY owner_id, video_id, report_date ORDER BY collected_at DESC, observation_id DESC) = 1) GROUP BY 1""")
 def _(t):
-    rows = stream(t).withColumnRenamed("ts", "collected_at")
-    latest = p.latest_totals(rows, p.work_dir(t.spark, "latest"), ["owner_id", "video_id", "report_date"])
+    reports = stream(t).withColumnRenamed("ts", "collected_at")
+    latest = p.latest_totals(reports, p.work_dir(t.spark, "latest"), ["owner_id", "video_id", "report_date"])
     return latest.groupBy("owner_id").agg(F.count("*").alias("observations"), F.sum("views").alias("views"))
 
 
@@ -39,35 +47,32 @@ g AS (SELECT k, s, count(*) AS c, min(ts) AS a, max(ts) AS b FROM n GROUP BY ALL
 
 
 @query("stream_gap_sessions", SESSIONS.format(gap=6, cond="event_type = 'purchase'") + """
-SELECT k AS source_id, c AS peaks, strftime(a, '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(b, '%Y-%m-%d %H:%M:%S') AS last_ts FROM g
-WHERE b + INTERVAL 6 HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM events WHERE event_type = 'purchase') - INTERVAL 1 DAY""")
+SELECT k AS source_id, c AS peaks, strftime(a, '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(b, '%Y-%m-%d %H:%M:%S') AS last_ts FROM g""")
 def _(t):
-    peaks = stream(t).filter("event_type = 'purchase'").withColumnRenamed("user_id", "source_id")
-    out = p.gap_sessions(peaks, p.work_dir(t.spark, "sessions"), "6 hours")
+    peaks = lambda df: df.filter("event_type = 'purchase'").withColumnRenamed("user_id", "source_id")
+    out = p.gap_sessions(peaks(stream(t)), p.work_dir(t.spark, "sessions"), "6 hours", peaks(rows(t)))
     return out.select("source_id", "peaks", stamp("first_ts").alias("first_ts"), stamp("last_ts").alias("last_ts"))
 
 
 @query("stream_daily_activity", """
-SELECT owner_id, strftime(CAST(collected_at AS DATE), '%Y-%m-%d') AS day, count(*) AS observations, CAST(sum(views) AS BIGINT) AS views FROM observation
-WHERE CAST(collected_at AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY ALL""")
+SELECT owner_id, strftime(CAST(collected_at AS DATE), '%Y-%m-%d') AS day, count(*) AS observations, CAST(sum(views) AS BIGINT) AS views FROM observation GROUP BY ALL""")
 def _(t):
     return p.daily_activity(stream(t), p.work_dir(t.spark, "days")).withColumn("day", day("day"))
 
 
 @query("stream_rolling_activity", """
 SELECT owner_id, strftime(d, '%Y-%m-%d') AS since, count(*) AS observations, CAST(sum(views) AS BIGINT) AS views
-FROM observation JOIN (SELECT CAST(unnest(generate_series(DATE '2023-12-20', DATE '2024-02-10', INTERVAL 1 DAY)) AS DATE) AS d) c ON collected_at >= d AND collected_at < d + INTERVAL 7 DAY
-WHERE d + INTERVAL 7 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY ALL""")
+FROM observation JOIN (SELECT CAST(unnest(generate_series((SELECT min(CAST(ts AS DATE)) - 7 FROM events), (SELECT max(CAST(ts AS DATE)) FROM events), INTERVAL 1 DAY)) AS DATE) AS d) c ON collected_at >= d AND collected_at < d + INTERVAL 7 DAY GROUP BY ALL""")
 def _(t):
     return p.rolling_activity(stream(t), p.work_dir(t.spark, "rolling")).withColumn("since", day("since"))
 
 
 @query("stream_stale_jobs", SESSIONS.format(gap=12, cond="true") + """
 SELECT k AS job_id, c AS beats, strftime(b, '%Y-%m-%d %H:%M:%S') AS last_beat, strftime(b + INTERVAL 12 HOUR, '%Y-%m-%d %H:%M:%S') AS stale_at FROM g
-WHERE b + INTERVAL 12 HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 1 DAY""")
+WHERE b + INTERVAL 12 HOUR <= TIMESTAMP '2024-01-31'""")
 def _(t):
-    beats = stream(t).withColumnRenamed("user_id", "job_id")
-    out = p.stale_jobs(beats, p.work_dir(t.spark, "stale"), "12 hours")
+    beats = lambda df: df.withColumnRenamed("user_id", "job_id")
+    out = p.stale_jobs(beats(stream(t)), p.work_dir(t.spark, "stale"), "12 hours", beats(rows(t)), now())
     return out.select("job_id", "beats", stamp("last_beat").alias("last_beat"), stamp("stale_at").alias("stale_at"))
 
 
@@ -75,7 +80,7 @@ def _(t):
 SELECT user_id % 7 AS owner_id, 'error:' || user_id AS dedupe_key, count(*) AS sightings, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen,
   strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen FROM events WHERE event_type = 'error' GROUP BY ALL""")
 def _(t):
-    rows = stream(t).filter("event_type = 'error'").select(
+    alerts = stream(t).filter("event_type = 'error'").select(
         "owner_id", F.concat(F.lit("error:"), F.col("user_id").cast("string")).alias("dedupe_key"), F.col("ts").alias("seen_at"))
-    out = p.alert_dedupe(rows, p.work_dir(t.spark, "alerts"))
+    out = p.alert_dedupe(alerts, p.work_dir(t.spark, "alerts"))
     return out.select("owner_id", "dedupe_key", "sightings", stamp("first_seen").alias("first_seen"), stamp("last_seen").alias("last_seen"))

@@ -2,7 +2,8 @@
 
 Every pipeline takes a streaming frame and a folder in shared storage, runs until
 the available input is done, and leaves parquet behind. Batch sinks write one
-folder per batch id, so a repeated batch overwrites itself.
+folder per batch id, so a repeated batch overwrites itself. Late rows and windows
+still open at the end are part of every result.
 """
 
 from __future__ import annotations
@@ -37,74 +38,122 @@ def finish(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{path}/out")
 
 
-def finish_batches(df: DataFrame, path: str, reduce_batch, mode: str = "append") -> DataFrame:
-    """Write ``reduce_batch`` of every micro-batch to its own folder and read the log back."""
+def finish_state(df: DataFrame, path: str, reduce_rows) -> DataFrame:
+    """Fold every micro-batch into one compacted table: ``reduce_rows(old rows and new ones)``.
+
+    A batch reads the table its predecessor wrote and writes the next one under its own number, so a repeated batch
+    overwrites itself and the cost follows the table, not the number of batches."""
+    spark = df.sparkSession
+
+    def table(batch_id: int) -> str:
+        return f"{path}/state/batch_id={batch_id}"
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        reduce_batch(batch).write.mode("overwrite").parquet(f"{path}/log/batch_id={batch_id}")
+        rows = batch
+        if batch_id:
+            rows = batch.unionByName(spark.read.schema(batch.schema).parquet(table(batch_id - 1)))
+        reduce_rows(rows).select(*batch.columns).write.mode("overwrite").parquet(table(batch_id))
 
     query = (
-        df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/progress")
-        .trigger(availableNow=True).start()
+        df.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return df.sparkSession.read.parquet(f"{path}/log")
+    written = spark.read.option("basePath", f"{path}/state").parquet(f"{path}/state")
+    last = written.agg(F.max("batch_id")).first()[0]
+    return spark.read.schema(df.schema).parquet(table(last))
+
+
+def with_report_key(observations: DataFrame) -> DataFrame:
+    return observations.withColumn("report_key", report_key(
+        "owner_id", F.coalesce(F.col("video_id").cast("string"), F.lit("channel")), F.date_format("report_date", "yyyy-MM-dd")
+    ))
+
 
+def snapshot_ingest(observations: DataFrame, path: str) -> DataFrame:
+    """Append each report once, however late it comes or comes again: new keys are those the log does not hold."""
+    spark, keyed = observations.sparkSession, with_report_key(observations)
 
-def snapshot_ingest(observations: DataFrame, path: str, delay: str = "28 days") -> DataFrame:
-    """Append each report once: re-reads inside the look-back carry the same key and are dropped."""
-    keyed = observations.withColumn(
-        "report_key",
-        report_key("owner_id", F.coalesce(F.col("video_id").cast("string"), F.lit("channel")),
-                   F.date_format("report_date", "yyyy-MM-dd")),
+    def write(batch: DataFrame, batch_id: int) -> None:
+        fresh = batch.dropDuplicates(["report_key"])
+        if batch_id:
+            log = spark.read.parquet(f"{path}/log").filter(F.col("batch_id") < batch_id)
+            fresh = fresh.join(log.select("report_key"), "report_key", "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{path}/log/batch_id={batch_id}")
+
+    query = (
+        keyed.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/progress")
+        .trigger(availableNow=True).start()
     )
-    once = keyed.withWatermark("collected_at", delay).dropDuplicatesWithinWatermark(["report_key"])
-    return finish(once, path)
+    query.awaitTermination()
+    return spark.read.parquet(f"{path}/log").select(*keyed.columns)
 
 
 def latest_totals(observations: DataFrame, path: str, keys: list[str]) -> DataFrame:
-    """Newest observation per key over all batches; each batch logs only its own newest rows."""
-    log = finish_batches(observations, path, lambda batch: latest_observation(batch, keys))
-    return latest_observation(log.drop("batch_id"), keys)
+    """Newest observation per key over all batches, kept as one compacted table."""
+    return finish_state(observations, path, lambda rows: latest_observation(rows, keys))
 
 
-def gap_sessions(peaks: DataFrame, path: str, gap: str, delay: str = "1 day") -> DataFrame:
-    """Closed sessions per source; a session ends when nothing follows within the gap."""
-    sessions = peaks.withWatermark("ts", delay).groupBy("source_id", F.session_window("ts", gap).alias("w")).agg(
-        F.count("*").alias("peaks"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
-    )
-    return finish(sessions.select("source_id", "peaks", "first_ts", "last_ts"), path)
+def _sessions(rows: DataFrame, key: str, gap: str) -> DataFrame:
+    # the close is reckoned from the last row: a filter on the window's own end would sink below the grouping
+    return rows.groupBy(key, F.session_window("ts", gap).alias("w")).agg(
+        F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
+    ).select(key, "n", "first_ts", "last_ts", (F.col("last_ts") + F.expr(f"INTERVAL {gap}")).alias("closes_at"))
 
 
-def daily_activity(events: DataFrame, path: str, delay: str = "1 day") -> DataFrame:
-    """Closed calendar-day totals per owner."""
-    days = events.withWatermark("ts", delay).groupBy("owner_id", F.window("ts", "1 day").alias("w")).agg(
-        F.count("*").alias("observations"), F.sum("views").alias("views")
-    )
-    return finish(days.select("owner_id", F.col("w.start").alias("day"), "observations", "views"), path)
+def _all_sessions(stream: DataFrame, rows: DataFrame, key: str, gap: str, path: str, delay: str) -> DataFrame:
+    """Sessions the stream closed, and from a batch pass over ``rows`` those still open or of rows too late for it.
 
+    ``rows`` is the batch read of what the stream has read. A row inside a closed session of its key with the stream's
+    own count is done; a key with any other row has its sessions built again from all its rows."""
+    closed = finish(_sessions(stream.withWatermark("ts", delay), key, gap), path)
+    kept = closed.groupBy(key).agg(F.sum("n").alias("done"))
+    seen = rows.groupBy(key).agg(F.count("*").alias("all"))
+    whole = seen.join(kept, key, "left").filter(F.coalesce("done", F.lit(0)) == F.col("all")).select(key)
+    again = rows.join(whole, key, "left_anti")
+    return closed.join(whole, key, "left_semi").unionByName(_sessions(again, key, gap))
 
-def rolling_activity(events: DataFrame, path: str, delay: str = "1 day", days: int = 7) -> DataFrame:
-    """Closed rolling totals of ``days`` days, one window starting each day."""
-    rolled = events.withWatermark("ts", delay).groupBy("owner_id", F.window("ts", f"{days} days", "1 day").alias("w")).agg(
-        F.count("*").alias("observations"), F.sum("views").alias("views")
-    )
-    return finish(rolled.select("owner_id", F.col("w.start").alias("since"), "observations", "views"), path)
+
+def gap_sessions(peaks: DataFrame, path: str, gap: str, rows: DataFrame, delay: str = "1 day") -> DataFrame:
+    """All sessions per source; a session ends when nothing follows within the gap."""
+    out = _all_sessions(peaks, rows, "source_id", gap, path, delay)
+    return out.select("source_id", F.col("n").alias("peaks"), "first_ts", "last_ts")
 
 
-def stale_jobs(heartbeats: DataFrame, path: str, silence: str, delay: str = "1 day") -> DataFrame:
-    """One alert per silence: the heartbeat session of a job closes when none follows in time."""
-    beats = heartbeats.withWatermark("ts", delay).groupBy("job_id", F.session_window("ts", silence).alias("w")).agg(
-        F.max("ts").alias("last_beat"), F.count("*").alias("beats")
+def _all_windows(events: DataFrame, length: str, step: str, path: str) -> DataFrame:
+    """Window totals over all rows: every batch adds its own partial totals to the compacted table."""
+    merged = lambda part: part.groupBy("owner_id", "since", "until").agg(
+        F.sum("observations").alias("observations"), F.sum("views").alias("views")
     )
-    return finish(beats.select("job_id", "last_beat", F.col("w.end").alias("stale_at"), "beats"), path)
+    partial = events.select("owner_id", "ts", "views", F.window("ts", length, step).alias("w")).select(
+        "owner_id", F.col("w.start").alias("since"), F.col("w.end").alias("until"), F.lit(1).cast("bigint").alias("observations"), "views"
+    )
+    return finish_state(partial, path, merged)
+
+
+def daily_activity(events: DataFrame, path: str) -> DataFrame:
+    """Calendar-day totals per owner, open days and late rows included."""
+    days = _all_windows(events, "1 day", "1 day", path)
+    return days.select("owner_id", F.col("since").alias("day"), "observations", "views")
+
+
+def rolling_activity(events: DataFrame, path: str, days: int = 7) -> DataFrame:
+    """Rolling totals of ``days`` days, one window starting each day, open windows included."""
+    return _all_windows(events, f"{days} days", "1 day", path).select("owner_id", "since", "observations", "views")
+
+
+def stale_jobs(heartbeats: DataFrame, path: str, silence: str, rows: DataFrame, now, delay: str = "1 day") -> DataFrame:
+    """One alert per silence: a heartbeat session of a job that nothing followed in time, as of ``now``."""
+    out = _all_sessions(heartbeats, rows, "job_id", silence, path, delay).filter(F.col("closes_at") <= now)
+    return out.select("job_id", F.col("last_ts").alias("last_beat"), F.col("closes_at").alias("stale_at"), F.col("n").alias("beats"))
 
 
 def alert_dedupe(alerts: DataFrame, path: str) -> DataFrame:
-    """One row per alert key with first and last sighting over all batches."""
-    def seen(df: DataFrame, first: str, last: str, count) -> DataFrame:
-        return df.groupBy("owner_id", "dedupe_key").agg(
-            F.min(first).alias("first_seen"), F.max(last).alias("last_seen"), count.alias("sightings")
-        )
-
-    log = finish_batches(alerts, path, lambda batch: seen(batch, "seen_at", "seen_at", F.count("*")))
-    return seen(log, "first_seen", "last_seen", F.sum("sightings"))
+    """One row per alert key with first and last sighting over all batches, kept as one compacted table."""
+    merged = lambda rows: rows.groupBy("owner_id", "dedupe_key").agg(
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("sightings").alias("sightings")
+    )
+    seen = alerts.select(
+        "owner_id", "dedupe_key", F.col("seen_at").alias("first_seen"), F.col("seen_at").alias("last_seen"),
+        F.lit(1).cast("bigint").alias("sightings"),
+    )
+    return finish_state(seen, path, merged)

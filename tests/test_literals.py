@@ -194,3 +194,35 @@ def test_append_once_is_idempotent(spark, tmp_path):
     ingest.append_once(rows, path, "report_key")
     ingest.append_once(rows.union(spark.createDataFrame([("c", 3)], rows.schema)), path, "report_key")
     assert sorted(r.report_key for r in spark.read.parquet(path).collect()) == ["a", "b", "c"]
+
+
+def test_bounds_and_verdicts_keep_nulls(spark):
+    null = F.lit(None).cast("double")
+    assert one(spark, numeric.bounded(null)) is None and one(spark, numeric.bounded(F.lit(120.0))) == 100.0
+    assert one(spark, numeric.logprob_confidence(null)) is None
+    assert one(spark, numeric.recommendation_delta(null)) is None
+    parts = numeric.score_components(F.lit(10.0), null, null, null, null, F.lit(24))
+    assert {k: one(spark, v) for k, v in parts.items()}["retention"] == 0.0
+    assert one(spark, numeric.deterministic_arm(F.lit("e1:s1"), null)) == "CONTROL"
+    score, duplicate = dedup.evaluate_duplicate(F.lit(None).cast("boolean"), null, null, null, null, null, F.lit(None).cast("boolean"))
+    assert (one(spark, score), one(spark, duplicate)) == (0.0, False)
+    assert one(spark, evidence.overlap_ms(F.lit(1), F.lit(None).cast("int"), F.lit(0), F.lit(9))) is None
+
+
+def test_readable_event_raises_word_starts_and_keeps_length(spark):
+    assert one(spark, text.readable_event(F.lit("FC_goal_(big)_o'neil"))) == "Goal (Big) O'Neil"
+    assert len(one(spark, text.readable_event(F.lit("x" * 1500)))) == 1500
+
+
+def test_left_interval_join_keeps_null_rows_once(spark):
+    left = spark.createDataFrame([(1, 0, 10, None), (1, 20, 30, "n"), (1, 20, 30, "n"), (2, 0, 5, None)], "k int, a int, b int, note string")
+    right = spark.createDataFrame([(1, 5, 8), (1, 9, 25)], "k int, c int, d int")
+    got = sorted(intervals.interval_join(left, right, ["k"], ("a", "b"), ("c", "d"), how="left").collect(), key=str)
+    want = [(1, 0, 10, None, 5, 8), (1, 0, 10, None, 9, 25), (1, 20, 30, "n", 9, 25), (1, 20, 30, "n", 9, 25), (2, 0, 5, None, None, None)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_evidence_objects_tell_json_types(spark):
+    body = F.lit('{"objects": ["goal", 7, "7", null, {"a": 1}]}')
+    assert one(spark, planning.evidence_objects(body)) == ["goal", "7"]
+    assert one(spark, planning.evidence_objects(F.lit('{"note": 1}'))) is None

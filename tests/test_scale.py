@@ -87,3 +87,56 @@ def test_stream_over_many_files_equals_batch(spark, tmp_path):
     got = pipelines.latest_totals(stream, f"{tmp_path}/work", keys).select(*keys, "views")
     want = rows.groupBy(*keys).agg(F.max("views").alias("views"))
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def late_files(spark, folder):
+    """Rows in six files, the last of which holds rows far older than the watermark, and a repeat of an early row."""
+    rows = spark.range(1500).select(
+        (F.col("id") % 3).alias("owner_id"), (F.col("id") % 7).alias("video_id"), (F.col("id") % 4).alias("source_id"),
+        F.timestamp_seconds(1704067200 + F.col("id") * 3000).alias("ts"), F.col("id").alias("views"))
+    for n in range(5):
+        rows.filter(f"views div 300 = {n} and views % 100 <> 7").coalesce(1).write.parquet(f"{folder}/in/{n}")
+    rows.filter("views % 100 = 7 or views = 3").coalesce(1).write.parquet(f"{folder}/in/5")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{folder}/in")
+    return stream, spark.read.option("recursiveFileLookup", True).schema(rows.schema).parquet(f"{folder}/in")
+
+
+def same(a, b):
+    return a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_streams_keep_late_rows_and_open_windows(spark, tmp_path):
+    stream, rows = late_files(spark, tmp_path)
+    got = pipelines.daily_activity(stream, f"{tmp_path}/days")
+    want = rows.groupBy("owner_id", F.date_trunc("day", "ts").alias("day")).agg(F.count("*").alias("observations"), F.sum("views").alias("views"))
+    assert same(got, want)
+    stream, rows = late_files(spark, tmp_path / "b")
+    sessions = pipelines.gap_sessions(stream, f"{tmp_path}/sessions", "2 hours", rows)
+    assert sessions.agg(F.sum("peaks")).first()[0] == rows.count()
+    plain = rows.groupBy("source_id", F.session_window("ts", "2 hours").alias("w")).agg(F.count("*").alias("peaks"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    assert same(sessions, plain.select("source_id", "peaks", "first_ts", "last_ts"))
+    stream, rows = late_files(spark, tmp_path / "c")
+    dated = lambda df: df.withColumn("report_date", F.to_date("ts"))
+    keys = pipelines.snapshot_ingest(dated(stream), f"{tmp_path}/snap").select("report_key")
+    assert same(keys, pipelines.with_report_key(dated(rows)).select("report_key").distinct())
+
+
+def test_clusters_of_a_hot_source_need_no_cap(spark):
+    """More than 10 000 signals of one source: every one of them is in a cluster, and clusters equal the plain fold."""
+    from cliploom.operators import events
+
+    evidence = spark.range(12000).select(
+        F.lit(1).cast("bigint").alias("source_id"), F.col("id").alias("signal_id"),
+        (F.col("id") * 5000 + F.when(F.col("id") % 7 == 0, 4000).otherwise(0)).alias("t_ms"), F.lit("AUDIO_PEAK").alias("kind"),
+        F.lit(50.0).alias("value"), F.lit("AUDIO_REACTION").alias("event_type"), F.lit(0.5).alias("confidence"))
+    sources = spark.createDataFrame([(1, "none", 0.9)], "source_id bigint, game string, game_confidence double")
+    got = events.event_clusters(evidence, sources).orderBy("cluster_no").collect()
+    assert sum(r.signal_count for r in got) == 12000
+    gap = evidence.select(events.clustering_profile(F.lit("none"), "event_type", F.lit(0.5)).alias("p")).first().p.gap_ms
+    times, want = [r.t_ms for r in evidence.orderBy("t_ms").collect()], []
+    for t in times:
+        if want and t - want[-1][-1] <= gap:
+            want[-1].append(t)
+        else:
+            want.append([t])
+    assert [(r.start_ms, r.end_ms, r.signal_count) for r in got] == [(w[0], w[-1], len(w)) for w in want]
