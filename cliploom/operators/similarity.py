@@ -12,11 +12,12 @@ from cliploom.functions.text import set_cosine, tokens_unicode
 TIME_BLOCK_MS = 60_000
 NEAR_MS = 2_000
 NEAR_VISUAL = 0.97
+NEAR_CONCEPT = 0.65
 
 FIELDS = [
     "short_id", "owner_id", "source_hash", "start_ms", "end_ms", "event_ms", "game", "event_type", "duration_s",
     "template", "tone", "frames", "render_hash", "reuse_kind", "reuse_of_id", "reuse_reason",
-    "hook_t", "title_t", "concept_t", "transcript_t", "v", "norm",
+    "hook_t", "title_t", "concept_t", "transcript_t", "objects_t", "v", "model", "norm",
 ]
 
 
@@ -32,9 +33,9 @@ def comparable(pool: DataFrame, vectors: DataFrame) -> DataFrame:
         tokens = tokens.withColumn(f"{name}_t", _hashed(name))
     tokens = tokens.withColumn("concept_t", _hashed(F.concat_ws(" ", "concept", "event_type"))).withColumn(
         "transcript_t", _hashed("transcript")
-    )
+    ).withColumn("objects_t", F.when(F.col("objects").isNotNull(), _hashed("objects")))
     normed = vectors.withColumn("norm", F.sqrt(ev.dot(F.col("v"), F.col("v"))))
-    return tokens.join(normed, "vec_id", "left").drop("transcript", "hook", "title", "concept")
+    return tokens.join(normed, "vec_id", "left").drop("transcript", "hook", "title", "concept", "objects")
 
 
 def side(df: DataFrame, prefix: str, extra: list[str] | None = None) -> DataFrame:
@@ -61,8 +62,8 @@ def same_moment(a: dict[str, Column], b: dict[str, Column]) -> Column:
 
 
 def semantic(a: dict[str, Column], b: dict[str, Column]) -> Column:
-    """Vector cosine where both have one of the same size, else token cosine of concept and event."""
-    usable = (F.size(a["v"]) > 0) & (F.size(a["v"]) == F.size(b["v"]))
+    """Vector cosine where both have one of the same model and size, else token cosine of concept and event."""
+    usable = (F.size(a["v"]) > 0) & (F.size(a["v"]) == F.size(b["v"])) & a["model"].eqNullSafe(b["model"])
     cosine = ev.dot(a["v"], b["v"]) / F.greatest(F.lit(1e-12), a["norm"] * b["norm"])
     return F.when(usable, F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine))).otherwise(
         set_cosine(a["concept_t"], b["concept_t"])
@@ -82,7 +83,7 @@ def compared(pairs: DataFrame, left: str = "a", right: str = "b", name: str = "c
         ).otherwise(0.0),
         "game": flag(a["game"] == b["game"]),
         "event": flag(a["event_type"] == b["event_type"]),
-        "objects": F.lit(None).cast("double"),
+        "objects": F.when(a["objects_t"].isNotNull() & b["objects_t"].isNotNull(), text("objects_t")),
         "transcript": F.when((F.size(a["transcript_t"]) > 0) & (F.size(b["transcript_t"]) > 0), text("transcript_t")),
         "semantic": semantic(a, b),
         "visual": ev.clamped_index_similarity(a["frames"], b["frames"]),
@@ -102,7 +103,7 @@ def compared(pairs: DataFrame, left: str = "a", right: str = "b", name: str = "c
     ).otherwise(0.0)
     exact = F.coalesce(a["render_hash"] == b["render_hash"], F.lit(False))
     moment = same_moment(a, b)
-    near = F.coalesce((c["visual"] >= NEAR_VISUAL) & (c["semantic"] >= 0.65), F.lit(False))
+    near = F.coalesce((c["visual"] >= NEAR_VISUAL) & (c["semantic"] >= NEAR_CONCEPT), F.lit(False))
     exception = _reuse(a, b) | _reuse(b, a)
     verdict = F.struct(
         F.least(F.lit(1.0), F.greatest(total / weight, boost)).alias("score"),
@@ -184,8 +185,11 @@ def moment_pairs(df: DataFrame) -> DataFrame:
 
 
 def visual_pairs(df: DataFrame) -> DataFrame:
-    """Id pairs of representatives with visual similarity of at least .97, and each copy with its representative."""
-    grouped = visual_groups(df.select("short_id", "owner_id", "frames", "concept_t", "vec_id"))
+    """Id pairs of representatives alike in frames (.97) and concept (.65), and each copy with its representative.
+
+    The concept is compared before a pair is written, so items that only share frames (a black screen) make no pairs."""
+    told = ["concept_t", "v", "model", "norm"]
+    grouped = visual_groups(df.select("short_id", "owner_id", "frames", "vec_id", *told))
     reps = with_frame_bands(grouped.filter("short_id = rep_id").select("short_id", "owner_id", "frames"))
     a = reps.select(*[F.col(c).alias(f"a_{c}") for c in reps.columns])
     b = reps.select(*[F.col(c).alias(f"b_{c}") for c in reps.columns])
@@ -197,11 +201,24 @@ def visual_pairs(df: DataFrame) -> DataFrame:
     star = grouped.filter("short_id <> rep_id").select(
         F.col("rep_id").alias("a_short_id"), F.col("short_id").alias("b_short_id")
     )
-    return near.select("a_short_id", "b_short_id").distinct().unionByName(star)
+    ids = near.select("a_short_id", "b_short_id").distinct()
+    for prefix in ("a", "b"):
+        ids = ids.join(df.select(*[F.col(c).alias(f"{prefix}_{c}") for c in ["short_id", *told]]), f"{prefix}_short_id")
+    a, b = ({c: F.col(f"{p}_{c}") for c in told} for p in ("a", "b"))
+    return ids.filter(semantic(a, b) >= NEAR_CONCEPT).select("a_short_id", "b_short_id").unionByName(star)
+
+
+def render_pairs(df: DataFrame) -> DataFrame:
+    """Each item with the first item of its owner that has the same render: a group of copies is a star."""
+    known = df.filter(F.col("render_hash").isNotNull()).select("short_id", "owner_id", "render_hash")
+    first = known.groupBy("owner_id", "render_hash").agg(F.min("short_id").alias("a_short_id"))
+    return known.join(first, ["owner_id", "render_hash"]).filter("short_id <> a_short_id").select(
+        "a_short_id", F.col("short_id").alias("b_short_id")
+    )
 
 
 def candidate_pairs(df: DataFrame) -> DataFrame:
-    return moment_pairs(df).unionByName(visual_pairs(df)).distinct()
+    return moment_pairs(df).unionByName(visual_pairs(df)).unionByName(render_pairs(df)).distinct()
 
 
 def pairwise_similarity(df: DataFrame) -> DataFrame:
@@ -231,13 +248,13 @@ def history_conflicts(pool: DataFrame, history: DataFrame) -> DataFrame:
         & same_moment(a, b) & allowed,
         "left_semi",
     )
-    visual_fields = ["short_id", "owner_id", "frames", "concept_t", "v", "norm", "reuse_kind", "reuse_of_id", "reuse_reason"]
+    visual_fields = ["short_id", "owner_id", "frames", "concept_t", "v", "model", "norm", "reuse_kind", "reuse_of_id", "reuse_reason"]
     left = prefix(with_frame_bands(pool.select(*visual_fields)), "a")
     right = prefix(with_frame_bands(history.select(*visual_fields)), "b")
     visual = left.join(
         right,
         same_owner & (F.col("a_band") == F.col("b_band"))
-        & (ev.clamped_index_similarity("a_frames", "b_frames") >= NEAR_VISUAL) & (semantic(a, b) >= 0.65) & allowed,
+        & (ev.clamped_index_similarity("a_frames", "b_frames") >= NEAR_VISUAL) & (semantic(a, b) >= NEAR_CONCEPT) & allowed,
         "left_semi",
     )
     exact = pool.filter(F.col("render_hash").isNotNull()).join(

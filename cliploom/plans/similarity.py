@@ -84,7 +84,9 @@ pairs AS (
     AND (least(a.end_ms, b.end_ms) > greatest(a.start_ms, b.start_ms) OR abs(a.event_ms - b.event_ms) < 2000)
   UNION
   SELECT a.short_id, b.short_id FROM r a JOIN r b ON a.owner_id = b.owner_id AND a.short_id < b.short_id AND a.short_id = a.rep_id AND b.short_id = b.rep_id
-    AND {q.visual('a', 'b')} >= 0.97
+    AND {q.visual('a', 'b')} >= 0.97 AND {q.semantic('a', 'b')} >= 0.65
+  UNION SELECT min(short_id) OVER (PARTITION BY owner_id, render_hash), short_id FROM pool_t WHERE render_hash IS NOT NULL
+    QUALIFY min(short_id) OVER (PARTITION BY owner_id, render_hash) <> short_id
   UNION SELECT rep_id, short_id FROM r WHERE rep_id <> short_id)
 """
 

@@ -265,6 +265,7 @@ def pool(d):
       (doc_id * 3701) % 600000 AS start_ms, (doc_id * 3701) % 600000 + 6000 + n_chars % 54000 AS end_ms,
       (doc_id * 3701) % 600000 + 3000 AS event_ms,
       lower({d.line('text', 1)}) AS title, lower({d.line('text', 2)}) AS hook, lower({d.line('text', 3)}) AS concept,
+      CASE WHEN doc_id % 3 <> 1 THEN nullif(lower({d.line('text', 4)}), '') END AS objects,
       text AS transcript, substring(md5(text), 1, 16) AS h0, substring(md5(lang || source), 1, 16) AS h1,
       CASE WHEN doc_id % 4 = 0 THEN md5(text) ELSE NULL END AS render_hash,
       CAST(6000 + n_chars % 54000 AS DOUBLE) / 1000 AS duration_s,
@@ -292,7 +293,7 @@ def slot(d):
 
 @view("embeddings")
 def vector(d):
-    return "SELECT vec_id, CAST(embedding AS " + ("ARRAY<DOUBLE>" if d is _Spark else "DOUBLE[]") + ") AS v FROM {embeddings}"
+    return "SELECT vec_id, label AS model, CAST(embedding AS " + ("ARRAY<DOUBLE>" if d is _Spark else "DOUBLE[]") + ") AS v FROM {embeddings}"
 
 
 @view("conversations")

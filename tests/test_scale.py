@@ -31,7 +31,8 @@ def test_signal_cap_is_exact_for_a_hot_source(spark):
 def pool(spark, copies):
     base = spark.range(copies).select(
         F.col("id").alias("short_id"), F.lit(1).cast("bigint").alias("owner_id"), F.array(F.lit("a" * 16), F.lit("b" * 16)).alias("frames"),
-        F.array(F.lit(1).cast("bigint")).alias("concept_t"), F.lit(None).cast("bigint").alias("vec_id"))
+        F.array(F.lit(1).cast("bigint")).alias("concept_t"), F.lit(None).cast("bigint").alias("vec_id"),
+        F.lit(None).cast("array<double>").alias("v"), F.lit(None).cast("int").alias("model"), F.lit(None).cast("double").alias("norm"))
     return base
 
 
@@ -55,8 +56,8 @@ def test_near_visual_pairs_match_brute_force(spark):
         frames = [f"{random.getrandbits(64):016x}" for _ in range(3)]
         rows.append(frames)
         rows.append([flip(f, random.choice([0, 1, 2, 3])) for f in frames])
-    schema = "short_id bigint, owner_id bigint, frames array<string>, concept_t array<bigint>, vec_id bigint"
-    df = spark.createDataFrame([(i, 1, f, [i], None) for i, f in enumerate(rows)], schema)
+    schema = "short_id bigint, owner_id bigint, frames array<string>, concept_t array<bigint>, vec_id bigint, v array<double>, model int, norm double"
+    df = spark.createDataFrame([(i, 1, f, [1, i], None, [1.0], 0, 1.0) for i, f in enumerate(rows)], schema)
     def similar(a, b):
         return sum(1 - bin(int(x, 16) ^ int(y, 16)).count("1") / 64 for x, y in zip(a, b)) / 3
 
