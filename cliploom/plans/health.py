@@ -209,10 +209,13 @@ def _(t):
 
 @query("exhausted_jobs", """
 SELECT job_id, CASE WHEN spent THEN 'FAILED' ELSE state END AS state, CASE WHEN spent THEN 'Worker retry limit reached. Check worker health and retry ' ||
-  CASE kind WHEN 'ANALYZE' THEN 'analysis' WHEN 'RANK' THEN 'ranking' WHEN 'PLAN' THEN 'short planning' WHEN 'RENDER' THEN 'rendering' ELSE 'ingestion' END || '.' END AS error_message
+  CASE kind WHEN 'ANALYZE' THEN 'analysis' WHEN 'RANK' THEN 'ranking' WHEN 'PLAN' THEN 'short planning' WHEN 'RENDER' THEN 'rendering' ELSE 'ingestion' END || '.' END AS error_message,
+  CASE WHEN spent THEN 'WORKER_INTERRUPTED' END AS event_code, CASE WHEN spent THEN 3 END AS event_attempt
 FROM (SELECT *, state IN ('PENDING', 'RUNNING', 'RETRYING') AND attempt >= 3 AND progress < 60 AS spent FROM job)""")
 def _(t):
-    return h.exhausted_jobs(t.job, t.job.filter("progress >= 60"))[0].select("job_id", "state", "error_message")
+    jobs, events = h.exhausted_jobs(t.job, t.job.filter("progress >= 60"))
+    told = events.select("job_id", F.col("error_code").alias("event_code"), F.col("attempt").alias("event_attempt"))
+    return jobs.join(told, "job_id", "left").select("job_id", "state", "error_message", "event_code", "event_attempt")
 
 
 @query("age_minutes", f"""

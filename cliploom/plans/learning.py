@@ -361,11 +361,15 @@ def _(t):
 @query("insight_apply", """
 WITH c AS (SELECT owner_id, dimension, segment, delta FROM insight_sql WHERE confidence <> 'LOW'
   QUALIFY row_number() OVER (PARTITION BY owner_id ORDER BY abs(lift_percent) DESC, rank, win) = 1)
-SELECT coalesce(a.owner_id, c.owner_id) AS owner_id, coalesce(a.dimension, c.dimension) AS dimension, coalesce(a.segment, c.segment) AS segment,
+SELECT 'ADJUSTED' AS outcome, coalesce(a.owner_id, c.owner_id) AS owner_id, coalesce(a.dimension, c.dimension) AS dimension, coalesce(a.segment, c.segment) AS segment,
   CASE WHEN delta IS NULL THEN adjustment ELSE round(greatest(-0.15, least(0.15, coalesce(adjustment, 0) + delta)), 6) END AS adjustment
-FROM adjustment_sql a FULL JOIN c ON c.owner_id = a.owner_id AND c.dimension = a.dimension AND c.segment = a.segment""")
+FROM adjustment_sql a FULL JOIN c ON c.owner_id = a.owner_id AND c.dimension = a.dimension AND c.segment = a.segment
+UNION ALL SELECT 'REFUSED', owner_id, dimension, segment, NULL FROM insight_sql WHERE confidence = 'LOW'""")
 def _(t):
-    return rounded(l.insight_apply(found(t), adjustments(t))[0], "adjustment")
+    adjusted, refused = l.insight_apply(found(t), adjustments(t))
+    keys = ["owner_id", "dimension", "segment"]
+    return rounded(adjusted, "adjustment").select(F.lit("ADJUSTED").alias("outcome"), *keys, "adjustment").unionByName(
+        refused.select(F.lit("REFUSED").alias("outcome"), *keys, F.lit(None).cast("double").alias("adjustment")))
 
 
 _REC = "SELECT f.*, performance_score FROM feature_sql f JOIN (SELECT short_id, performance_score FROM outcome_sql WHERE available QUALIFY row_number() OVER (PARTITION BY short_id ORDER BY hours DESC) = 1) o ON o.short_id = f.short_id"
@@ -381,10 +385,28 @@ l AS (SELECT owner_id, win, clipped, wt, unnest([{_DIMS}]) AS dimension, unnest(
 g AS (SELECT owner_id, win, dimension, segment, count(*) AS sample_size, sum(clipped * wt) / sum(wt) AS score, count(*) OVER (PARTITION BY owner_id, win, dimension) AS segments FROM l GROUP BY owner_id, win, dimension, segment),
 base AS (SELECT owner_id, win, sum(clipped * wt) / sum(wt) AS base FROM c GROUP BY ALL),
 x AS (SELECT g.*, (score - base) / base * 100 AS lift FROM g JOIN base USING (owner_id, win) WHERE sample_size >= 5 AND segments >= 2),
-y AS (SELECT owner_id, win, dimension, segment, sample_size, floor(lift * 10 + 0.5) / 10 AS lift_percent FROM x)
-SELECT owner_id, win AS "window", dimension, segment, sample_size, lift_percent,
-  CAST(row_number() OVER (PARTITION BY owner_id, win ORDER BY abs(lift_percent) DESC, sample_size DESC, dimension, segment) AS INTEGER) AS rank
-FROM y WHERE abs(lift_percent) >= 8 QUALIFY rank <= 12""")
+y AS (SELECT owner_id, win, dimension, segment, sample_size, lift, floor(lift * 10 + 0.5) / 10 AS lift_percent FROM x),
+z AS (SELECT *, CAST(row_number() OVER (PARTITION BY owner_id, win ORDER BY abs(lift_percent) DESC, sample_size DESC, dimension, segment) AS INTEGER) AS rank
+  FROM y WHERE abs(lift_percent) >= 8 QUALIFY rank <= 12),
+best AS (SELECT owner_id, dimension, segment, floor(greatest(-0.15, least(0.15, lift_percent / 200)) * 1000 + 0.5) / 1000 AS delta
+  FROM z WHERE sample_size >= 20 AND abs(lift) >= 15 QUALIFY row_number() OVER (PARTITION BY owner_id ORDER BY sample_size DESC, win, rank) = 1)
+SELECT 'INSIGHT' AS part, owner_id, win AS "window", dimension, segment, sample_size, lift_percent, rank, NULL::DOUBLE AS adjustment FROM z
+UNION ALL SELECT 'STRATEGY', coalesce(a.owner_id, b.owner_id), NULL, coalesce(a.dimension, b.dimension), coalesce(a.segment, b.segment), NULL, NULL, NULL,
+  CASE WHEN delta IS NULL THEN round(adjustment, 6) ELSE round(greatest(-0.15, least(0.15, coalesce(adjustment, 0) + delta)), 6) END
+FROM adjustment_sql a FULL JOIN best b ON b.owner_id = a.owner_id AND b.dimension = a.dimension AND b.segment = a.segment
+UNION ALL SELECT 'FEATURES', owner_id, NULL, NULL, NULL, count(*), NULL, NULL, NULL FROM feature_sql GROUP BY owner_id
+UNION ALL SELECT 'OUTCOMES', owner_id, horizon, NULL, NULL, count(*), round(sum(performance_score), 4), NULL, NULL FROM outcome_sql GROUP BY owner_id, horizon""")
 def _(t):
     run = l.learning_run(items(t), t.publication, t.observation, t.revenue, adjustments(t), now())
-    return run["insights"].select("owner_id", "window", "dimension", "segment", "sample_size", "lift_percent", "rank")
+    columns = {"part": "string", "owner_id": "bigint", "window": "string", "dimension": "string", "segment": "string",
+               "sample_size": "bigint", "lift_percent": "double", "rank": "int", "adjustment": "double"}
+
+    def part(name, df):
+        df = df.withColumn("part", F.lit(name))
+        return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(k).alias(c) for c, k in columns.items()])
+
+    counted = run["features"].groupBy("owner_id").agg(F.count("*").alias("sample_size"))
+    outcomes = run["outcomes"].groupBy("owner_id", F.col("horizon").alias("window")).agg(
+        F.count("*").alias("sample_size"), F.round(F.sum("performance_score"), 4).alias("lift_percent"))
+    return part("INSIGHT", run["insights"]).unionByName(part("STRATEGY", rounded(run["strategy"], "adjustment"))).unionByName(
+        part("FEATURES", counted)).unionByName(part("OUTCOMES", outcomes))
