@@ -12,8 +12,7 @@ from cliploom.operators import similarity as sim
 from cliploom.operators.reporting import first_per_key
 from cliploom.session import cut_lineage
 
-SEARCH_LIMIT = 100
-SETTINGS = {"similarity_threshold": 0.6, "max_source_per_day": 3, "cooldown_ms": 0}
+SETTINGS = {"similarity_threshold": 0.6, "max_source_per_day": 3, "cooldown_ms": 0, "search_limit": 100}
 ROLE_COLUMNS = ["hero", "discovery", "engagement"]
 
 
@@ -191,7 +190,7 @@ def daily_slate(
 
     ``pool`` carries the comparison fields and role scores; ``previous`` and
     ``following`` hold at most one neighbouring item per owner. The pair search
-    is over the best 100 of each role, the published search size, plus "none".
+    is over the best ``search_limit`` of each role (100, the published search size), plus "none".
     Pairs are formed on ids and compared in two passes: every safe item with its
     neighbours (linear in the pool), then the role lists with HERO and each other.
     The slim results of both passes are checkpointed: each is read several times,
@@ -239,7 +238,7 @@ def daily_slate(
 
     def role(score: str) -> DataFrame:
         return first_per_key(
-            listed, ["owner_id"], [F.col(score).desc(), F.col("short_id")], SEARCH_LIMIT, rank="place"
+            listed, ["owner_id"], [F.col(score).desc(), F.col("short_id")], settings["search_limit"], rank="place"
         ).withColumn("score", F.col(score))
 
     d, e = role("discovery"), role("engagement")
@@ -277,7 +276,7 @@ def daily_slate(
     apart = ~_blocked(F.col("dup"), F.col("exc"), same, F.abs(F.col("d_event_ms") - F.col("e_event_ms")), settings)
     filled = same.cast("int") + F.col("e_hero_source").cast("int")
     usage = F.col("d_used") + F.when(same, 0).otherwise(F.col("e_used"))
-    nothing, none_place = F.lit(None).cast("bigint"), F.lit(SEARCH_LIMIT + 1)
+    nothing, none_place = F.lit(None).cast("bigint"), F.lit(settings["search_limit"] + 1)
 
     def outcome(rows: DataFrame, d_id: Column, e_id: Column, d_place: Column, e_place: Column, score: Column) -> DataFrame:
         return rows.select(
