@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from cliploom.llm.ranges import prefix_sums
-from cliploom.llm.storage import stored
+from cliploom.llm.storage import measured, stored
 from cliploom.llm.words import _SPACE
 
 WEIGHTS = (3, 1, 2)
@@ -116,9 +116,9 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     plan = mix_plan(docs, **options).groupBy("doc_id", "source", "size").agg(
         F.floor(F.sum("taken") / F.count("*")).cast("long").alias("_taken")
     )
-    taken = plan.filter("_taken > 0").select(
+    taken = measured(stored(plan.filter("_taken > 0").select(
         F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_taken"
-    )
+    ), "taken"))
     joined = docs.withColumn("_words", word_count(F.col("text"))).join(
         taken, F.expr("doc_id <=> _id and source <=> _source and _words = _size")
     )

@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows (a few numbers each) up to which a counted table may be broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,5 +34,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def measured(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A stored table of narrow rows, marked for broadcast if it has been counted to hold ``rows`` at most; beyond that the
+    join shuffles."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
