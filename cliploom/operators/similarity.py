@@ -127,13 +127,14 @@ def with_frame_bands(df: DataFrame) -> DataFrame:
     """One row per blocking key of the item's frame hashes (fingerprints of one length, as they are made).
 
     A mean of at least .97 over n frames leaves at most D = floor(1.92 n)
-    differing bits. Some aligned frame then differs by at most one bit and agrees
-    on three of its four 16-bit bands, and the frame after it, cut into D + 1
-    parts, agrees on one part. The key joins both, so a frame shared by many
-    items (an intro, a black screen) does not make a hot block on its own.
+    differing bits. Some aligned frame then differs by at most one bit, so it agrees
+    on three of its four 16-bit bands, and the frame after it by at most three, so it
+    agrees on one of four parts: were every frame of at most one bit followed by one
+    of four or more, the mean would be two bits a frame. The key joins both, so a frame
+    shared by many items (an intro, a black screen) does not make a hot block on its own.
     """
     n = F.size("frames")
-    parts = F.floor((F.lit(1.0) - NEAR_VISUAL) * 64 * n + 1e-9).cast("int") + 1
+    parts = F.least(F.lit(4), F.floor((F.lit(1.0) - NEAR_VISUAL) * 64 * n + 1e-9).cast("int") + 1)
     digits = F.ceil(F.lit(16) / parts).cast("int")
     band = lambda h, i: F.substring(h, 1 + 4 * i, 4)
     whole = lambda h: [
