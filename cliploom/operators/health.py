@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -258,6 +261,14 @@ def highlight_heuristic() -> dict[str, Column]:
     return {name: value.cast("int") for name, value in out.items()}
 
 
+def batch_scores(items: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame] | None = None, schema: str | None = None) -> DataFrame:
+    """Scores of every item: by a user's function over Arrow batches (pandas in, pandas out, rows of ``schema``), else by
+    the built-in heuristic as columns. The function sees some rows at a time and must not depend on which."""
+    if scorer is None:
+        return items.select("*", *[value.alias(name) for name, value in highlight_heuristic().items()])
+    return items.mapInPandas(lambda batches: (scorer(batch) for batch in batches), schema)
+
+
 def concept_select(context: str, tension: str) -> Column:
     return F.when(F.col(context) >= 60, "ACTION_FIRST").when(F.col(tension) >= 60, "TENSION_FIRST").otherwise("CONTEXT_FIRST")
 

@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from cliploom.functions import evidence, numeric, text, times
-from cliploom.operators import dedup, events, intervals, learning, planning, timeline, transcript
+from cliploom.operators import dedup, events, health, intervals, learning, planning, timeline, transcript
 from cliploom.sources import ingest
 
 
@@ -226,3 +226,10 @@ def test_evidence_objects_tell_json_types(spark):
     body = F.lit('{"objects": ["goal", 7, "7", null, {"a": 1}]}')
     assert one(spark, planning.evidence_objects(body)) == ["goal", "7"]
     assert one(spark, planning.evidence_objects(F.lit('{"note": 1}'))) is None
+
+
+def test_batch_scores_take_a_user_function_or_the_heuristic(spark):
+    items = spark.createDataFrame([(1, 50.0, ["AUDIO_PEAK"]), (2, 100.0, [])], "short_id bigint, signal_score double, kinds array<string>")
+    own = health.batch_scores(items, lambda rows: rows[["short_id"]].assign(highlight=rows["signal_score"] / 2), "short_id long, highlight double")
+    assert sorted((r.short_id, r.highlight) for r in own.collect()) == [(1, 25.0), (2, 50.0)]
+    assert [(r.highlight, r.emotional) for r in health.batch_scores(items).orderBy("short_id").collect()] == [(54, 62), (90, 80)]
