@@ -1,5 +1,7 @@
 """Registered queries against their SQL on the smallest tables; the full set runs through tests.check."""
 
+import os
+
 import pytest
 
 import __spark_entry__ as entry
@@ -11,7 +13,10 @@ NAMES = [
     "motion_peaks", "silence_runs", "event_clusters", "candidates_end_to_end", "adaptive_samples", "horizon_outcomes",
     "segment_lift", "predict_performance", "pairwise_similarity", "history_anti_join", "persistent_dedup",
     "interval_subtract", "subtitle_groups", "campaign_progress", "slot_instant", "stale_watchdog", "stream_gap_sessions",
+    "stream_stale_jobs", "learning_run", "insight_apply", "cache_lookup_join", "report_sink", "editorial_compare",
 ]
+if os.environ.get("ALL_QUERIES"):
+    NAMES = sorted(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", NAMES)
