@@ -16,12 +16,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-CACHE = 300_000
+#: Chunks and piece pairs a process remembers, and characters of text it works on at a time.
+CACHE = 150_000
+PAIRS = 300_000
+SLICE = 2_000_000
 _NORMAL, _BYTE, _USER = 1, 6, 4
 
 
@@ -94,7 +100,8 @@ class PieceTransducer:
         #: a piece never goes on behind a mark that follows other text, so texts fall apart before marks
         self.split = not any(re.search(f"[^{MARK}]{MARK}", t) for t in self.ids)
         self.chunks = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if self.split else r"(?s:.+)")
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.count = len(pieces)
+        self.pairs: dict[int, bool] = {}
         self.cache: dict[str, bytes] = {}
 
     def _merge_tree(self, text: str):
@@ -125,7 +132,7 @@ class PieceTransducer:
 
     def may_follow(self, first: int, second: int) -> bool:
         """Whether no merge across the border of two pieces comes before both are complete."""
-        known = self.pairs.get((first, second))
+        known = self.pairs.get(first * self.count + second)
         if known is None:
             known = True
             for part, end in self.right[first]:
@@ -133,9 +140,9 @@ class PieceTransducer:
                     number = self.ids.get(part + other)
                     if number is not None and self.rank[number] < end and self.rank[number] <= stop:
                         known = False
-            if len(self.pairs) > 4 * CACHE:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
-            self.pairs[first, second] = known
+            self.pairs[first * self.count + second] = known
         return known
 
     def shortest_path(self, chunk: str) -> list[int]:
@@ -143,7 +150,7 @@ class PieceTransducer:
         size, trie = len(chunk), self.trie
         last: list[int | None] = [None] * (size + 1)
         back = [0] * (size + 1)
-        pairs, may_follow = self.pairs, self.may_follow
+        known, may_follow, count = self.pairs.get, self.may_follow, self.count
         last[0] = -1
         for at in range(size):
             before = last[at]
@@ -157,10 +164,10 @@ class PieceTransducer:
             while node is not None:
                 end += 1
                 number = node.get("")
-                if number is not None and last[end] is None and (
-                    before < 0 or (pairs.get((before, number)) if (before, number) in pairs else may_follow(before, number))
-                ):
-                    last[end], back[end] = number, at
+                if number is not None and last[end] is None:
+                    fits = True if before < 0 else known(before * count + number)
+                    if may_follow(before, number) if fits is None else fits:
+                        last[end], back[end] = number, at
                 if end == size:
                     break
                 node = node.get(chunk[end])
@@ -207,28 +214,42 @@ def transducer(path: str) -> PieceTransducer:
     return PieceTransducer(path)
 
 
+def _coded(batch: pa.RecordBatch, at: int, machine: PieceTransducer) -> pa.RecordBatch:
+    """The batch with ids, n_ids and round_trip of the text in column ``at``."""
+    texts = batch.column(at).to_pylist()
+    ids = [None if t is None else machine.encode(t) for t in texts]
+    same = [None if t is None else machine.decode(i.tolist()) == t for t, i in zip(texts, ids)]
+    counts = np.array([0 if i is None else len(i) for i in ids], np.int64)
+    flat = np.concatenate([i for i in ids if i is not None] or [np.empty(0, np.int32)])
+    offsets = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
+    lists = pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()), mask=pa.array([i is None for i in ids], pa.bool_()))
+    return pa.RecordBatch.from_arrays(
+        [*batch.columns, lists, pa.array(counts), pa.array(same, pa.bool_())], [*batch.schema.names, "ids", "n_ids", "round_trip"]
+    )
+
+
 def encode(docs: DataFrame, path: str = MODEL, text: str = "text") -> DataFrame:
-    """``docs`` with ``n_ids``, ``ids`` and ``round_trip``: whether decoding gives the text back.
+    """``docs`` with ``ids``, ``n_ids`` and ``round_trip``: whether decoding gives the text back.
 
     Null text gives null ids, n_ids 0 and a null round trip; the empty text gives no ids. A text that holds the piece mark
-    itself decodes to a blank there, so its round trip is false. Every column of ``docs`` stays (ids, n_ids and round_trip
-    of the input are replaced). Whole texts, one pass, no shuffle; ``path`` is a model file every executor has."""
+    itself decodes to a blank there, so its round trip is false. Every other column of ``docs`` stays (ids, n_ids and
+    round_trip of the input are replaced). Whole texts, one pass, no shuffle; a batch goes through in slices of bounded
+    length; ``path`` is a model file every executor has."""
+    rows = docs.drop("ids", "n_ids", "round_trip")
+    at = rows.columns.index(text)
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(path)
         for batch in batches:
-            ids = [None if t is None else machine.encode(t) for t in batch]
-            same = [None if t is None else machine.decode(i.tolist()) == t for t, i in zip(batch, ids)]
-            yield pd.DataFrame({"ids": ids, "round_trip": pd.Series(same, dtype="boolean")})
+            sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+            turn = np.cumsum(sizes, dtype=np.int64) // SLICE
+            edges = [0, *(np.flatnonzero(np.diff(turn)) + 1), batch.num_rows]
+            for low, high in zip(edges, edges[1:]):
+                yield _coded(batch.slice(low, high - low), at, machine)
 
-    from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
-
-    kind = StructType([StructField("ids", ArrayType(IntegerType())), StructField("round_trip", BooleanType())])
-    coded = docs.withColumn("_coded", F.pandas_udf(run, kind)(text))
-    return coded.withColumns({
-        "n_ids": F.greatest(F.coalesce(F.size("_coded.ids"), F.lit(0)), F.lit(0)).cast("long"),
-        "ids": F.col("_coded.ids"), "round_trip": F.col("_coded.round_trip"),
-    }).drop("_coded")
+    schema = StructType([*rows.schema.fields, StructField("ids", ArrayType(IntegerType())), StructField("n_ids", LongType()),
+                         StructField("round_trip", BooleanType())])
+    return rows.mapInArrow(run, schema)
 
 
 def decode(coded: DataFrame, path: str = MODEL, ids: str = "ids") -> DataFrame:
@@ -239,6 +260,4 @@ def decode(coded: DataFrame, path: str = MODEL, ids: str = "ids") -> DataFrame:
         for batch in batches:
             yield pd.Series([None if i is None else machine.decode(i) for i in batch], dtype=object)
 
-    from pyspark.sql.types import StringType
-
     return coded.withColumn("decoded", F.pandas_udf(run, StringType())(ids))
