@@ -15,7 +15,7 @@ from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, St
 
 from cliploom.llm import setsketch
 from cliploom.llm.sharding import Splitter
-from cliploom.llm.storage import partitions, stored
+from cliploom.llm.storage import as_text, partitions
 from cliploom.llm.words import minima, parameters, set_digest, shingle_hashes, word_hashes
 
 _NONE = -(2**63)
@@ -78,7 +78,7 @@ def _dealt(bounds: list[Splitter]) -> Column:
 def with_following(docs: DataFrame) -> DataFrame:
     """Rows of (doc_id, text) dealt into ranges by doc_id, each range closed by a guest: the first row of the next one.
 
-    Columns part, guest, doc_id, text; partitions are sorted by part, guest, doc_id, so a task that reads on sees every row's
+    Columns part, guest, doc_id (as text), text; partitions are sorted by part, guest, doc_id, so a task that reads on sees every row's
     follower. One shuffle of the texts; the guests are one row for each range."""
     rows = docs.select(
         "doc_id", "text", F.coalesce("doc_id", F.lit(_NONE)).alias("_key"), F.xxhash64("text").alias("_tie")
@@ -93,7 +93,7 @@ def with_following(docs: DataFrame) -> DataFrame:
     return dealt.withColumn("_place", F.explode(places)).select(
         F.col("_place.part").alias("part"), F.col("_place.guest").alias("guest"), "doc_id", "text", "_key", "_tie"
     ).repartition(partitions(docs.sparkSession), "part").sortWithinPartitions("part", "guest", "_key", "_tie").select(
-        "part", "guest", "doc_id", "text"
+        "part", "guest", *as_text("doc_id"), "text"
     )
 
 
@@ -131,7 +131,7 @@ def fingerprints(docs: DataFrame, how: MinHash = MinHash()) -> DataFrame:
         waiting, part = None, None
         for batch in batches:
             rows = []
-            for at, guest, doc_id, text in zip(batch["part"], batch["guest"], batch["doc_id"].astype("Int64"), batch["text"]):
+            for at, guest, doc_id, text in zip(batch["part"], batch["guest"], batch["doc_id"], batch["text"]):
                 if guest and waiting is None:
                     continue
                 now = marked(doc_id, text or "")
@@ -140,12 +140,13 @@ def fingerprints(docs: DataFrame, how: MinHash = MinHash()) -> DataFrame:
                         raise ValueError("a range lost the row that follows it")
                     rows.append(row(waiting, now))
                 waiting, part = (None, None) if guest else (now, at)
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=names)
 
-    return with_following(docs).mapInPandas(
-        run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+    made = with_following(docs).mapInPandas(
+        run, "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
         "near_edited double, near_next double, jaccard_edited double, shared_bands int",
     )
+    return made.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 _SIGNED = StructType([

@@ -244,7 +244,8 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFram
     a batch is worked through in slices of bounded length, a single long text being a slice of its own."""
     handle = docs.sparkSession.sparkContext.broadcast(model)  # languages x 32 768 numbers
     names = [n for n in keep if n != "text"]
-    fields = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
+    whole = [n for n in names if docs.schema[n].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")]
+    fields = ", ".join(f"`{n}` {'string' if n in whole else docs.schema[n].dataType.simpleString()}" for n in names)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -256,7 +257,8 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFram
                 out["spans"] = [[{"start": s, "end": e, "lang": lang} for s, e, lang in r[3]] for r in labelled]
                 yield out
 
-    return docs.select(*names, "text").mapInPandas(run, f"{fields}, {_SCHEMA}")
+    made = docs.withColumns({n: F.col(n).cast("string") for n in whole}).select(*names, "text").mapInPandas(run, f"{fields}, {_SCHEMA}")
+    return made.withColumns({n: F.col(n).cast(docs.schema[n].dataType) for n in whole})
 
 
 def held_out(doc_id: Column) -> Column:

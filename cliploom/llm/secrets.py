@@ -11,6 +11,9 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cliploom.llm.storage import as_text
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -93,10 +96,9 @@ def scan(docs: DataFrame, path: str = f"{TOKENIZERS}/{VOCABULARY}") -> DataFrame
                 counts = [sum(k == kind for _, k, _ in base) for kind in range(3)]
                 joined, spans = (",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in found) for found in (base, every))
                 rows.append((doc_id, *counts, hashlib.sha256(joined.encode()).hexdigest(), spans))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            yield pd.DataFrame(rows, columns=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return docs.select("doc_id", "text").mapInPandas(
-        run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+    found = docs.select(*as_text("doc_id"), "text").mapInPandas(
+        run, "doc_id string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
     )
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -40,5 +40,10 @@ def measured(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(table) if table.count() <= rows else table
 
 
+def as_text(*names: str) -> list:
+    """Number columns as text for the way through pandas, where one null would turn a batch of them into floats."""
+    return [F.col(n).cast("string").alias(n) for n in names]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cliploom.llm.secrets import TOKENIZERS, VOCABULARY, encoding
-from cliploom.llm.storage import partitions, stored
+from cliploom.llm.storage import as_text, partitions, stored
 from cliploom.llm.words import mixed
 
 SEQUENCE = 512
@@ -100,22 +100,23 @@ def sequences(docs: DataFrame, layout: Layout, path: str) -> DataFrame:
         names = ["part", "place", "doc_id", "seq", "n_tokens", "record"]
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"].astype("Int64"), batch["text"]):
+            for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 ids = spell(text) if text else b""
-                own = None if doc_id is pd.NA else int(doc_id)
+                own = -(2**63) if doc_id is None else int(doc_id)
                 for seq, at in enumerate(range(0, len(ids), step)):
                     piece = ids[at : at + step]
-                    head = struct.pack(_HEAD, -(2**63) if own is None else own, seq, len(piece) // 2)
-                    rows.append((part, place, own, seq, len(piece) // 2, head + piece + pad[len(piece) :]))
+                    head = struct.pack(_HEAD, own, seq, len(piece) // 2)
+                    rows.append((part, place, doc_id, seq, len(piece) // 2, head + piece + pad[len(piece) :]))
                     place += 1
                 if len(rows) >= 4096:
-                    yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+                    yield pd.DataFrame(rows, columns=names)
                     rows = []
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=names)
 
-    return docs.select("doc_id", "text").mapInPandas(
-        run, "part int, place long, doc_id long, seq int, n_tokens int, record binary"
+    made = docs.select(*as_text("doc_id"), "text").mapInPandas(
+        run, "part int, place long, doc_id string, seq int, n_tokens int, record binary"
     )
+    return made.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def training_order(
