@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cliploom.llm.components import components
+from cliploom.llm.components import components, forest
 from cliploom.llm.storage import stored
 from cliploom.llm.words import mixed
 
@@ -21,13 +21,13 @@ from cliploom.llm.words import mixed
 class Lattice:
     """Tables of projections, neighbouring cells probed in each, and the cell size against the projected unit vectors.
 
-    At a cosine of 0.98 a table misses a pair of 64 dimensions with a chance of 0.05, so five miss it three times in ten million;
+    At a cosine of 0.98 a table misses a pair of 64 dimensions with a chance of 0.1, so six miss it once in a million;
     closer pairs are safer."""
 
     cosine: float = 0.98
-    tables: int = 5
-    probes: int = 8
-    scale: float = 1.0
+    tables: int = 6
+    probes: int = 16
+    scale: float = 1.4
     seed: int = 10
     #: Members of a bucket compared in one task at a time.
     block: int = 1024
@@ -107,78 +107,106 @@ def _coded(vectors: DataFrame, how: Lattice) -> DataFrame:
                 unit, part = np.ascontiguousarray(unit[good]), part[good]
                 home, around = cells(unit, part["label"].to_numpy(), how)
                 yield pd.DataFrame({
-                    "rep": part["rep"].to_numpy(), "weight": part["weight"].to_numpy(), "unit": [u.tobytes() for u in unit],
+                    "homes": [h.tobytes() for h in home], "arounds": [a.tobytes() for a in around], "rep": part["rep"].to_numpy(), "weight": part["weight"].to_numpy(), "unit": [u.tobytes() for u in unit],
                     "home": list(home), "around": [a.ravel() for a in around],
                 })
 
     return vectors.select("rep", "weight", "label", "embedding").mapInPandas(
-        run, "rep long, weight long, unit binary, home array<long>, around array<long>"
+        run, "rep long, weight long, unit binary, homes binary, arounds binary, home array<long>, around array<long>"
     )
 
 
-def _forest(a: np.ndarray, b: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that keep everything connected that the given pairs connect, fewer than ``size`` of them."""
-    part, kept_a, kept_b = np.arange(size), [], []
-    while len(a):
-        high, low = np.maximum(part[a], part[b]), np.minimum(part[a], part[b])
-        apart = high != low
-        a, b, high, low = a[apart], b[apart], high[apart], low[apart]
-        if not len(a):
-            break
-        chosen, first = np.unique(high, return_index=True)
-        kept_a.append(a[first])
-        kept_b.append(b[first])
-        parent = np.arange(size)
-        parent[chosen] = low[first]
-        while (parent[parent] != parent).any():
-            parent = parent[parent]
-        part = parent[part]
-    empty = np.empty(0, np.int64)
-    return np.concatenate(kept_a or [empty]), np.concatenate(kept_b or [empty])
-
-
-def _compare(how: Lattice):
-    """Links inside a pair of blocks of one bucket, as counts per vector and a forest of pairs.
+#: Groups up to this size are compared many at a time, larger ones by matrix products.
+SMALL = 64
+PAIRS = 2_000_000
+
+
+def _candidates(rows: pd.DataFrame, unit: np.ndarray, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of pairs in one group (key, left, right) whose cosine reaches the limit, by pieces of bounded size."""
+    group = rows["group"].to_numpy()
+    start = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    size = np.diff(np.concatenate((start, [len(group)])))
+    own, last = np.repeat(size, size), np.repeat(start + size, size)
+    follow = np.where(own <= SMALL, last - np.arange(len(group)) - 1, 0)  # later rows of the same group
+    reach = np.cumsum(follow)
+    low = 0
+    while low < len(group):
+        high = max(low + 1, int(np.searchsorted(reach, (reach[low - 1] if low else 0) + PAIRS, "right")))
+        count = follow[low:high]
+        i = np.repeat(np.arange(low, high), count)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+        close = np.einsum("ij,ij->i", unit[i], unit[j]) >= cosine if len(i) else np.zeros(0, bool)
+        yield i[close], j[close]
+        low = high
+    left, right, block = (rows[c].to_numpy() for c in ("left", "right", "block"))
+    for k in np.flatnonzero(size > SMALL):
+        at = np.arange(start[k], start[k] + size[k])
+        first, second = at[block[at] == left[at]], at[block[at] == right[at]]
+        i, j = np.nonzero(unit[first] @ unit[second].T >= cosine)
+        i, j = first[i], second[j]
+        ordered = (i < j) | (left[at[0]] != right[at[0]])
+        yield i[ordered], j[ordered]
+
+
+def _links(rows: pd.DataFrame, how: Lattice) -> pd.DataFrame:
+    """Links inside whole groups of rows, as counts per vector and a forest of pairs.
 
     A bucket holds vectors at home in the cell and visitors that probe it. A pair is left to the first table where it meets,
     and there to the smaller of two cells, so it counts once."""
+    rep, weight, key, table = (rows[c].to_numpy() for c in ("rep", "weight", "key", "table"))
+    unit = np.frombuffer(b"".join(rows["unit"]), float).reshape(len(rows), -1)
+    home = np.frombuffer(b"".join(rows["home"]), np.int64).reshape(len(rows), how.tables)
+    around = np.frombuffer(b"".join(rows["around"]), np.int64).reshape(len(rows), how.tables, how.probes)
+    at_home = home[np.arange(len(rows)), table] == key
 
-    def meets(home, around, i, j, t):
-        same = home[i, t] == home[j, t]
-        return same, (around[i, t] == home[j, t, None]).any(1), (around[j, t] == home[i, t, None]).any(1)
-
-    def compare(batch: pd.DataFrame) -> pd.DataFrame:
-        rep, weight = batch["rep"].to_numpy(), batch["weight"].to_numpy()
-        key, table = batch["key"].iloc[0], int(batch["table"].iloc[0])
-        unit = np.frombuffer(b"".join(batch["unit"]), float).reshape(len(batch), -1)
-        home = np.array(batch["home"].tolist(), np.int64).reshape(len(batch), how.tables)
-        around = np.array(batch["around"].tolist(), np.int64).reshape(len(batch), how.tables, how.probes)
-        left, right = int(batch["left"].iloc[0]), int(batch["right"].iloc[0])
-        block = batch["block"].to_numpy()
-        rows, columns = np.flatnonzero(block == left), np.flatnonzero(block == right)
-        i, j = np.nonzero(unit[rows] @ unit[columns].T >= how.cosine)
-        i, j = rows[i], columns[j]
-        at_home = home[:, table] == key
+    def meets(i, j, t):
+        return home[i, t] == home[j, t], (around[i, t] == home[j, t, None]).any(1), (around[j, t] == home[i, t, None]).any(1)
+
+    found = []
+    for i, j in _candidates(rows, unit, how.cosine):
         fit = at_home[i] | at_home[j]
-        if left == right:
-            fit &= rep[i] < rep[j]
         i, j = i[fit], j[fit]
-        for t in range(table):
-            same, out, back = meets(home, around, i, j, t)
-            i, j = i[~(same | out | back)], j[~(same | out | back)]
-        same, out, back = meets(home, around, i, j, table)
-        other = np.where(at_home[i], home[j, table], home[i, table])
-        twice = ~same & out & back & (other < key)
-        i, j = i[~twice], j[~twice]
-        counts = np.bincount(i, weight[j], len(batch)) + np.bincount(j, weight[i], len(batch))
-        a, b = _forest(i, j, len(batch))
-        hit = np.flatnonzero(counts)
-        return pd.DataFrame({
-            "a": np.concatenate((rep[hit], rep[a])), "b": pd.array([None] * len(hit) + rep[b].tolist(), "Int64"),
-            "n": np.concatenate((counts[hit].astype(np.int64), np.zeros(len(a), np.int64))),
-        })
-
-    return compare
+        for t in range(how.tables):
+            same, out, back = meets(i, j, t)
+            other = np.where(at_home[i], home[j, t], home[i, t])
+            gone = np.where(table[i] > t, same | out | back, (table[i] == t) & ~same & out & back & (other < key[i]))
+            i, j = i[~gone], j[~gone]
+        found.append((i, j))
+    i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    counts = np.bincount(i, weight[j], len(rows)) + np.bincount(j, weight[i], len(rows))
+    kept, node = np.unique(rep, return_inverse=True)
+    counts = np.bincount(node, counts, len(kept)).astype(np.int64)
+    a, b = forest(node[i], node[j], len(kept))
+    hit = np.flatnonzero(counts)
+    return pd.DataFrame({
+        "a": np.concatenate((kept[hit], kept[a])), "b": pd.array([None] * len(hit) + kept[b].tolist(), "Int64"),
+        "n": np.concatenate((counts[hit], np.zeros(len(a), np.int64))),
+    })
+
+
+def _compared(how: Lattice):
+    """Reads rows sorted by group and works on whole groups: a task holds a batch and the group it breaks off in."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting = None
+        for batch in batches:
+            rows = batch if waiting is None else pd.concat([waiting, batch], ignore_index=True)
+            last = (rows[["key", "left", "right"]] == rows[["key", "left", "right"]].iloc[-1]).all(axis=1)
+            cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+            waiting = rows.iloc[cut:].reset_index(drop=True)
+            if cut:
+                yield from whole(rows.iloc[:cut].reset_index(drop=True))
+        if waiting is not None and len(waiting):
+            yield from whole(waiting)
+
+    def whole(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """Vectors of one length at a time; groups never mix lengths that link."""
+        names = rows[["key", "left", "right"]]
+        rows["group"] = (names != names.shift()).any(axis=1).cumsum()
+        for _, part in rows.groupby(rows["unit"].map(len), sort=False):
+            yield _links(part.reset_index(drop=True), how)
+
+    return run
 
 
 def near_vectors(vectors: DataFrame, how: Lattice = Lattice()) -> DataFrame:
@@ -212,10 +240,12 @@ def near_vectors(vectors: DataFrame, how: Lattice = Lattice()) -> DataFrame:
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(
         F.least(o, F.col("block")).alias("left"), F.greatest(o, F.col("block")).alias("right")
     ))
-    spread = members.select("rep", "table", "key", "block", F.explode(others).alias("pair")).join(coded, "rep").select(
-        "rep", "weight", "unit", "home", "around", "table", "key", "block", "pair.left", "pair.right"
-    )
-    found = stored(spread.groupBy("key", "left", "right").applyInPandas(_compare(how), "a long, b long, n long"), "found")
+    spread = members.select("rep", "table", "key", "block", F.explode(others).alias("pair")).join(
+        coded.select("rep", "weight", "unit", "homes", "arounds"), "rep"
+    ).select("rep", "weight", "unit", F.col("homes").alias("home"), F.col("arounds").alias("around"), "table", "key", "block",
+             "pair.left", "pair.right")
+    grouped = spread.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "rep")
+    found = stored(grouped.mapInPandas(_compared(how), "a long, b long, n long"), "found")
     counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
     parts = components(found.filter("b is not null").select("a", "b"))
     named = classes.select("copy", "rep", "weight").join(coded.select("rep", F.lit(True).alias("valid")), "rep", "left").join(

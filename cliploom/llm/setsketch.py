@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, LongType, StructField, StructType
 
-from cliploom.llm.components import components
-from cliploom.llm.storage import stored
+from cliploom.llm.components import components, forest
+from cliploom.llm.storage import measured, stored
 from cliploom.llm.words import minima, parameters, set_digest, shingle_hashes, shingle_set, word_hashes
 
 
@@ -37,9 +37,10 @@ class Sketching:
     #: Pairs whose estimate lies this far below the limit are let go: five standard errors of the estimate.
     margin: float = 0.10
     #: Rounds that link each bucket to a chosen member before what is still apart is compared.
-    rounds: int = 2
-    #: Members of a bucket compared in one task at a time.
-    block: int = 512
+    rounds: int = 1
+    #: Members of a bucket (registers only) and of a cluster (with texts) in a block; a task holds two blocks.
+    block: int = 2048
+    text_block: int = 512
 
     @property
     def registers(self) -> int:
@@ -157,53 +158,117 @@ def verified(pairs: DataFrame, texts: DataFrame, how: Sketching) -> DataFrame:
     return both.filter(_linked(how)("text_a", "text_b")).select("a", "b")
 
 
+def _share(registers: np.ndarray, i: int, js: np.ndarray, n: np.ndarray, how: Sketching) -> np.ndarray:
+    """Of the rows ``js`` those whose size and registers leave room for a link with row ``i``."""
+    js = js[100 * np.minimum(n[js], n[i]) >= how.percent * np.maximum(n[js], n[i])]
+    if not len(js):
+        return js
+    x, y = registers[i], registers[js]
+    equal = (x == y).sum(1)
+    fair = equal >= (how.limit - how.margin) * how.registers  # registers agree at least as often as sets do
+    js, y = js[fair], y[fair]
+    if not len(js):
+        return js
+    guess = estimate((x > y).sum(1), (x < y).sum(1), np.full(len(js), n[i]), n[js], how)
+    return js[guess >= how.limit - how.margin]
+
+
+def _sides(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Row numbers of the two blocks of a task, and whether they are one block."""
+    left, right, block = int(batch["left"].iloc[0]), int(batch["right"].iloc[0]), batch["block"].to_numpy()
+    return np.flatnonzero(block == left), np.flatnonzero(block == right), left == right
+
+
 def _apart(how: Sketching):
-    """Likely pairs between members of a bucket that are still in different components, found block against block.
+    """Components that likely pairs of a bucket's members would join, as a forest, found block against block.
 
-    A pair is left to the first band whose registers agree, so each comes up once."""
+    A pair is left to the first band whose registers agree, so each is looked at once."""
 
     def compare(batch: pd.DataFrame) -> pd.DataFrame:
-        registers = np.frombuffer(b"".join(batch["sketch"]), np.uint16).reshape(len(batch), how.bands, how.rows)
-        rep, part = batch["rep"].to_numpy(), batch["component"].to_numpy()
-        n, band = batch["n_shingles"].to_numpy(), int(batch["band"].iloc[0])
-        left, right = int(batch["left"].iloc[0]), int(batch["right"].iloc[0])
-        block = batch["block"].to_numpy()
-        rows, columns = np.flatnonzero(block == left), np.flatnonzero(block == right)
+        registers = np.frombuffer(b"".join(batch["sketch"]), np.uint16).reshape(len(batch), -1)
+        bands = np.ascontiguousarray(registers).view(f"V{2 * how.rows}").reshape(len(batch), how.bands)
+        names = np.unique(bands, return_inverse=True)[1].reshape(bands.shape)
+        component, n, band = batch["component"].to_numpy(), batch["n_shingles"].to_numpy(), int(batch["band"].iloc[0])
+        rows, columns, one = _sides(batch)
+        kept, part = np.unique(component, return_inverse=True)
         found_a, found_b = [], []
         for i in rows:
-            js = columns[part[columns] != part[i]]
-            if left == right:
-                js = js[rep[js] > rep[i]]
-            js = js[100 * np.minimum(n[js], n[i]) >= how.percent * np.maximum(n[js], n[i])]
-            if not len(js):
-                continue
-            if band:
-                js = js[~(registers[js, :band] == registers[i, :band]).all(2).any(1)]
-            if not len(js):
-                continue
-            x, y = registers[i].reshape(1, -1), registers[js].reshape(len(js), -1)
-            guess = estimate((x > y).sum(1), (x < y).sum(1), np.full(len(js), n[i]), n[js], how)
-            js = js[guess >= how.limit - how.margin]
-            found_a += [rep[i]] * len(js)
-            found_b += rep[js].tolist()
-        return pd.DataFrame({"a": np.array(found_a, np.int64), "b": np.array(found_b, np.int64)})
+            js = columns[columns > i] if one else columns
+            js = js[part[js] != part[i]]
+            js = js[~(names[js, :band] == names[i, :band]).any(1)]
+            js = _share(registers, i, js, n, how)
+            found_a.append(np.full(len(js), part[i]))
+            found_b.append(part[js])
+        a, b = forest(np.concatenate(found_a or [rows]), np.concatenate(found_b or [rows]), len(kept))
+        return pd.DataFrame({"a": kept[a], "b": kept[b]})
 
     return compare
 
 
+def _joined(how: Sketching):
+    """Links between different components of a cluster on the full sets, as a forest, found block against block."""
+
+    def compare(batch: pd.DataFrame) -> pd.DataFrame:
+        registers = np.frombuffer(b"".join(batch["sketch"]), np.uint16).reshape(len(batch), -1)
+        n, rep = batch["n_shingles"].to_numpy(), batch["rep"].to_numpy()
+        part = np.unique(batch["component"].to_numpy(), return_inverse=True)[1]
+        texts, sets = batch["text"].tolist(), {}
+        rows, columns, one = _sides(batch)
+        parent = list(range(int(part.max()) + 1))
+
+        def root(k: int) -> int:
+            while parent[k] != k:
+                parent[k] = parent[parent[k]]
+                k = parent[k]
+            return k
+
+        def shingles(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = shingle_hashes(word_hashes(texts[k]), how.size)
+            return sets[k]
+
+        found = []
+        for i in rows:
+            js = columns[columns > i] if one else columns
+            for j in _share(registers, i, js[part[js] != part[i]], n, how):
+                a, b = root(part[i]), root(part[j])
+                if a == b:
+                    continue
+                both = len(np.intersect1d(shingles(i), shingles(j), assume_unique=True))
+                if 100 * both >= how.percent * (n[i] + n[j] - both):
+                    parent[max(a, b)] = min(a, b)
+                    found.append((rep[i], rep[j]))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return compare
+
+
+def _blocks(members: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """Rows of ``members`` copied to the block pairs they take part in: as many copies as their group has blocks.
+
+    ``groups`` has (key, blocks)."""
+    dealt = members.join(groups, key).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(
+        F.least(o, F.col("block")).alias("left"), F.greatest(o, F.col("block")).alias("right")
+    ))
+    return dealt.withColumn("pair", F.explode(others)).select(*members.columns, "block", "pair.left", "pair.right")
+
+
 def set_components(sets: DataFrame, texts: DataFrame, how: Sketching) -> DataFrame:
     """Components of distinct sets under the link rule: (node, component) for every set that links with another.
 
     ``sets`` has (rep, n_shingles, sketch) with one row per distinct set, ``texts`` (rep, text) of at least those.
     1. Band keys meet in Spark; buckets with one member go. 2. In each round a bucket names a member by a hash, the
     others are paired with it, likely pairs are verified, and components grow; most buckets are one component then.
-    3. Buckets that still hold several components are compared block against block inside tasks, between components only,
-    and the likely pairs are verified. No bucket is capped and none is written out as pairs."""
+    3. Members of buckets that still hold several components are compared by registers, block against block inside tasks;
+    components that a likely pair would join form a cluster. 4. A cluster's members of different components are compared on
+    their full sets, again block against block. No bucket is capped and none is written out as pairs: tasks hand on
+    forests, fewer rows than members."""
     keyed = sets.select("rep", "n_shingles", "sketch", F.posexplode(band_keys(F.col("sketch"), how)).alias("band", "key"))
     crowded = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     members = stored(keyed.select("rep", "band", "key").join(crowded, "key"), "members")
     met = stored(sets.join(members.select("rep").distinct(), "rep"), "met")
-    met_texts = stored(texts.join(met.select("rep"), "rep").select("rep", "text"), "texts")
+    met_texts = stored(texts.join(measured(met.select("rep")), "rep").select("rep", "text"), "texts")
     links, found = [], None
     likely = _likely(how)
 
@@ -237,19 +302,19 @@ def set_components(sets: DataFrame, texts: DataFrame, how: Sketching) -> DataFra
         found = grown()
 
     state = stored(known(members), "state")
-    mixed_buckets = state.groupBy("key").agg(
+    spans = state.groupBy("key").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")
     ).filter("low <> high").select("key", F.ceil(F.col("n") / how.block).cast("int").alias("blocks"))
-    dealt = state.join(mixed_buckets, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    # each row goes to the block pairs it takes part in: as many copies as the bucket has blocks
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(
-        F.least(o, F.col("block")).alias("left"), F.greatest(o, F.col("block")).alias("right")
-    ))
-    spread = dealt.select("rep", "component", "band", "key", "block", F.explode(others).alias("pair")).join(
+    facing = _blocks(state.select("rep", "component", "band", "key"), spans, "key").join(
         met.select("rep", "n_shingles", "sketch"), "rep"
-    ).select("rep", "component", "band", "key", "block", "pair.left", "pair.right", "n_shingles", "sketch")
-    rest = spread.groupBy("key", "left", "right").applyInPandas(_apart(how), "a long, b long").distinct()
-    links.append(stored(verified(stored(rest, "rest"), met_texts, how), "links"))
+    )
+    unsure = stored(facing.groupBy("key", "left", "right").applyInPandas(_apart(how), "a long, b long").distinct(), "unsure")
+    clusters = stored(components(unsure), "clusters").select(F.col("node").alias("component"), F.col("component").alias("cluster"))
+    inside = stored(known(met).join(clusters, "component"), "inside")
+    sizes = inside.groupBy("cluster").agg(F.ceil(F.count("*") / how.text_block).cast("int").alias("blocks"))
+    shown = _blocks(inside.join(met_texts, "rep"), sizes, "cluster")
+    late = shown.groupBy("cluster", "left", "right").applyInPandas(_joined(how), "a long, b long")
+    links.append(stored(verified(stored(late, "late"), met_texts, how), "links"))
     return grown()
 
 
@@ -292,7 +357,7 @@ def without_near_duplicates(docs: DataFrame, how: Sketching = Sketching()) -> Da
     kept = near_duplicates(docs, how).filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_times"))
     kept = stored(kept, "kept")
     repeated = kept.filter("_times > 1").select("doc_id")
-    single = docs.join(kept.filter("_times = 1").select("doc_id"), "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
+    single = docs.join(measured(kept.filter("_times = 1").select("doc_id")), "doc_id", "left_semi").unionByName(docs.filter("doc_id is null"))
     if repeated.isEmpty():
         return single
     return single.unionByName(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))

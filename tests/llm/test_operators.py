@@ -238,21 +238,20 @@ def test_mixing(spark):
 # 6
 
 def test_setsketch_matches_all_pairs(spark):
-    for docs in (awkward(spark), awkward(spark, copies=60), table(spark, "documents")):
-        for size in (2, 5):
-            sets = {r["doc_id"]: shingles(r["text"], size) for r in rows(docs)}
-            want = components(sets, lambda a, b: sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))
-            got = rows(setsketch.near_duplicates(docs, setsketch.Sketching(size=size, block=16)))
-            assert {r["doc_id"]: r["component_id"] for r in got} == want
-            assert len(got) == docs.count()
-            assert all(r["n_shingles"] == len(sets[r["doc_id"]]) and r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+    for docs, size in ((awkward(spark, copies=60), 2), (table(spark, "documents"), 5)):
+        sets = {r["doc_id"]: shingles(r["text"], size) for r in rows(docs)}
+        want = components(sets, lambda a, b: sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))
+        got = rows(setsketch.near_duplicates(docs, setsketch.Sketching(size=size, block=16, text_block=8)))
+        assert {r["doc_id"]: r["component_id"] for r in got} == want
+        assert len(got) == docs.count()
+        assert all(r["n_shingles"] == len(sets[r["doc_id"]]) and r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
 def test_setsketch_comparison_of_what_stays_apart(spark):
     docs = awkward(spark, copies=40)
     sets = {r["doc_id"]: shingles(r["text"], 5) for r in rows(docs)}
     want = components(sets, lambda a, b: sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))
-    how = setsketch.Sketching(rounds=0, block=8)
+    how = setsketch.Sketching(rounds=0, block=8, text_block=8)
     assert {r["doc_id"]: r["component_id"] for r in rows(setsketch.near_duplicates(docs, how))} == want
 
 
@@ -404,3 +403,12 @@ def test_e8_decoding_is_nearest():
     best = ((x - point) ** 2).sum(1)
     for v in shortest:
         assert (((x - point - v) ** 2).sum(1) >= best - 1e-9).all()
+
+
+def test_wide_ids_survive_a_null_beside_them(spark):
+    big = 2**62 + 1
+    docs = spark.createDataFrame([(big, "some words here"), (None, "more words there")], "doc_id long, text string")
+    layout = training_order.Layout(sequence=8, shard_rows=8)
+    frames = [fingerprints.fingerprints(docs), secrets.scan(docs), training_order.training_order(docs, layout), language.predict(docs.selectExpr("*", "'x' lang"))]
+    for df in frames:
+        assert {r["doc_id"] for r in rows(df)} == {big, None}
