@@ -25,8 +25,8 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, Str
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Chunks and piece pairs a process remembers, and characters of text it works on at a time.
-CACHE = 150_000
-PAIRS = 300_000
+CACHE = 400_000
+PAIRS = 800_000
 SLICE = 2_000_000
 _NORMAL, _BYTE, _USER = 1, 6, 4
 
