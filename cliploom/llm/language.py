@@ -27,6 +27,11 @@ SWITCH = 8.0
 SCRIPT_SHARE = 0.01
 SLICE_CHARS = 4_000_000
 UNKNOWN = "und"
+#: A text is foreign to its language if its evidence lies this many times as far under the median of the language's labelled
+#: documents as their lowest hundredth does (at least LEAST_SPREAD nats a gram); a text of n words may fall NOISE / sqrt(n) lower.
+SPREADS = 3.0
+LEAST_SPREAD = 0.5
+NOISE = 3.0
 
 # First code points of the blocks that tell scripts apart (Unicode).
 _SCRIPT_STARTS = (
@@ -102,16 +107,27 @@ class LanguageModel:
 
         Languages that do not write the word's script get -FLOOR; words without letters, or in a script that no
         language writes, favour none."""
+        return self._judged(words)[:2]
+
+    def _judged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """As ``emissions``, and the log chance of each word's grams in each language and their number (0 in an unlearned script)."""
         buckets, owner, letters, script = _grams(words)
         score = np.empty((len(words), len(self.languages)))
         for k in range(len(self.languages)):
             score[:, k] = np.bincount(owner, self.table[buckets, k], len(words))
         allowed = self.scripts[script]
+        chance, grams = score.copy(), np.bincount(owner, minlength=len(words)) * allowed.any(1)
         score[~allowed] = -np.inf
         open_words = (letters == 0) | ~allowed.any(1)
         score[open_words] = 0.0
         score -= score.max(1, keepdims=True)
-        return np.maximum(score, -FLOOR), letters
+        return np.maximum(score, -FLOOR), letters, chance, grams
+
+    def known_letters(self, words: list[str]) -> np.ndarray:
+        """Letters of each word in scripts that some learned language writes."""
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        owner = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
+        return np.bincount(owner, self.scripts.any(1)[_letter_table()[points]], len(words))
 
 
 def sampled(docs: DataFrame, bound: int = TRAIN_PER_LANGUAGE) -> DataFrame:
@@ -199,16 +215,27 @@ def viterbi(emission: np.ndarray, word: np.ndarray, offsets: np.ndarray, switch:
 
 
 def label_texts(texts: list[str], model: LanguageModel) -> list[tuple[str, float, float, list[tuple[int, int, str]]]]:
-    """For each text: language, score, share of letters in its spans, spans (start, end, language) in code points."""
+    """For each text: language, score, share of letters in its spans, spans (start, end, language) in code points.
+
+    Letters in a script that no learned language writes are nobody's share."""
+    return [r[:4] for r in judged_texts(texts, model)]
+
+
+def judged_texts(texts: list[str], model: LanguageModel) -> list[tuple[str, float, float, list[tuple[int, int, str]], float, int]]:
+    """As ``label_texts``, with the evidence and the number of words it rests on.
+
+    Evidence is the mean log chance of the text's grams, each word in the language it is labelled with: unlike the score,
+    which compares the languages, it is low for what none of them would write. Nothing to judge by is 0 words."""
     words = [t.lower().split() for t in texts]
     codes: dict[str, int] = {}
     word = np.fromiter((codes.setdefault(w, len(codes)) for doc in words for w in doc), np.int64)
     offsets = np.concatenate(([0], np.cumsum([len(doc) for doc in words]))).astype(np.int64)
     kinds = len(model.languages)
     if not codes or not kinds:
-        return [(UNKNOWN, 0.0, 0.0, []) for _ in texts]
-    emission, letters = model.emissions(list(codes))
+        return [(UNKNOWN, 0.0, 0.0, [], 0.0, 0) for _ in texts]
+    emission, letters, told, grams = model._judged(list(codes))
     label = viterbi(emission, word, offsets)
+    known = model.known_letters(list(codes))[word]
     weight = letters[word].astype(float)
     chance = np.exp(emission)
     chance /= chance.sum(1, keepdims=True)
@@ -216,10 +243,14 @@ def label_texts(texts: list[str], model: LanguageModel) -> list[tuple[str, float
     votes = np.bincount(owner * kinds + label, weight, len(texts) * kinds).reshape(-1, kinds)
     sure = np.stack([np.bincount(owner, weight * chance[word, k], len(texts)) for k in range(kinds)], 1)
     total = votes.sum(1)
+    held = np.bincount(owner * kinds + label, known, len(texts) * kinds).reshape(-1, kinds)
+    judged = grams[word] > 0
+    n_words = np.bincount(owner, judged, len(texts)).astype(int)
+    evidence = np.bincount(owner, told[word, label] * judged, len(texts)) / np.maximum(np.bincount(owner, grams[word], len(texts)), 1)
     out = []
     for i, text in enumerate(texts):
         if not total[i]:
-            out.append((UNKNOWN, 0.0, 0.0, []))
+            out.append((UNKNOWN, 0.0, 0.0, [], 0.0, 0))
             continue
         best = int(votes[i].argmax())
         own = label[offsets[i] : offsets[i + 1]]
@@ -229,7 +260,10 @@ def label_texts(texts: list[str], model: LanguageModel) -> list[tuple[str, float
             starts = [m.start() for m in _WORD.finditer(text)]
             cuts = [0, *(starts[k] for k in turns), len(text)]
             spans = [(cuts[k], cuts[k + 1], model.languages[own[p]]) for k, p in enumerate([0, *turns])]
-        out.append((model.languages[best], min(1.0, float(sure[i, best] / total[i])), float(votes[i, best] / total[i]), spans))
+        out.append((
+            model.languages[best], min(1.0, float(sure[i, best] / total[i])), float(held[i, best] / total[i]), spans,
+            float(evidence[i]), int(n_words[i]),
+        ))
     return out
 
 
@@ -240,7 +274,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFram
     """``keep`` columns of ``docs`` with lang_pred, score, share and spans of ``text``.
 
     Null text, or text without a letter, is ``und`` with score 0; a text in a script that no learned language writes
-    goes to the first language with a low score; with nothing learned all are ``und``. Whole texts, one pass, no shuffle;
+    goes to the first language with a low score and share 0; with nothing learned all are ``und``. Whole texts, one pass, no shuffle;
     a batch is worked through in slices of bounded length, a single long text being a slice of its own."""
     handle = docs.sparkSession.sparkContext.broadcast(model)  # languages x 32 768 numbers
     names = [n for n in keep if n != "text"]
@@ -273,13 +307,43 @@ def predict(docs: DataFrame, bound: int = TRAIN_PER_LANGUAGE) -> DataFrame:
     return labelled.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "share", "spans")
 
 
+def evidence_limits(docs: DataFrame, model: LanguageModel, bound: int = TRAIN_PER_LANGUAGE) -> dict[str, float]:
+    """Least evidence of a long text in each language, from the labelled documents that ``train`` learns from.
+
+    The driver gets one row per language."""
+    handle = docs.sparkSession.sparkContext.broadcast(model)
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            size = np.cumsum([len(t) for t in batch["text"]]) // SLICE_CHARS
+            for _, part in batch.groupby(size, sort=False):
+                found = [(r[0], r[4]) for r in judged_texts(list(part["text"]), handle.value) if r[5]]
+                yield pd.DataFrame(found, columns=["lang", "evidence"])
+
+    labelled = docs.select("doc_id", "text", "lang").filter("text is not null and lang is not null")
+    found = sampled(labelled, bound).select("text").mapInPandas(weigh, "lang string, evidence double")
+    levels = found.groupBy("lang").agg(F.percentile("evidence", [0.01, 0.5]).alias("at")).collect()
+    return {r["lang"]: r["at"][1] - SPREADS * max(r["at"][1] - r["at"][0], LEAST_SPREAD) for r in levels}
+
+
+def is_known(verdict: tuple, limits: dict[str, float], least_share: float = 0.5) -> bool:
+    """Whether a row of ``judged_texts`` is mostly in its language and reads like it."""
+    lang, _, share, _, evidence, n_words = verdict
+    if lang == UNKNOWN or share < least_share:
+        return False
+    return n_words > 0 and evidence >= limits.get(lang, -np.inf) - NOISE / n_words**0.5
+
+
 def known_language(docs: DataFrame, least_share: float = 0.5) -> DataFrame:
-    """Rows of ``docs`` with a text mostly in one learned language: not ``und`` and ``least_share`` of its letters or more.
+    """Rows of ``docs`` with a text mostly in one learned language: not ``und``, ``least_share`` of its letters or more, and
+    evidence no lower than the labelled documents show (``evidence_limits``).
 
-    Columns stay as they are; the verdict rides along in the same pass, so texts are not shuffled. Without any
-    labelled row there is nothing to judge by and only texts without letters go."""
+    Letters in a script that no learned language writes count for none. Columns stay as they are; the verdict rides along
+    in the same pass, so texts are not shuffled. Without any labelled row there is nothing to judge by and only texts
+    without letters go."""
     model = train(docs)
     handle = docs.sparkSession.sparkContext.broadcast(model)
+    limits = evidence_limits(docs, model)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
@@ -288,7 +352,7 @@ def known_language(docs: DataFrame, least_share: float = 0.5) -> DataFrame:
             for _, part in batch.groupby(size, sort=False):
                 texts = [t or "" for t in part]
                 if model_has := bool(handle.value.languages):
-                    verdicts = [r[0] != UNKNOWN and r[2] >= least_share for r in label_texts(texts, handle.value)]
+                    verdicts = [is_known(r, limits, least_share) for r in judged_texts(texts, handle.value)]
                 parts += verdicts if model_has else [any(c.isalpha() for c in t) for t in texts]
             yield pd.Series(parts, dtype=bool)
 

@@ -1,5 +1,6 @@
 """The pipeline's stages against plain versions, each on what its predecessor kept."""
 
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -49,6 +50,23 @@ def test_language_stage_keeps_clean_documents(spark, stages):
     assert {r["doc_id"] for r in before if r["doc_id"] < 100000} <= {r["doc_id"] for r in after}
 
 
+def test_language_stage_drops_unlearned_scripts_and_random_letters(spark):
+    rng = random.Random(8)
+    letters = lambda n: " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(n))
+    plain = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    odd = [
+        "αυτό είναι ένα ελληνικό κείμενο", "זה טקסט בעברית", "这是一个中文文本", "Spark是一个用于大规模数据处理的统一分析引擎", letters(40), letters(400),
+        "Hyvää huomenta kaikille, tänään sataa lunta ja tiet ovat hyvin liukkaita, joten ajakaa varovasti kotiin",
+    ]
+    added = spark.createDataFrame([(10**6 + i, t, None, "s", len(t)) for i, t in enumerate(odd)], plain.schema)
+    docs = plain.unionByName(added)
+    kept = {r["doc_id"] for r in language.known_language(docs).select("doc_id").collect()}
+    assert not [odd[i - 10**6] for i in kept if i >= 10**6]
+    assert len(kept) == plain.count()
+    said = {r["doc_id"]: r for r in rows(language.identify(added, language.train(plain), ["doc_id"]))}
+    assert said[10**6]["lang_pred"] == "de" and said[10**6]["share"] == 0
+
+
 def test_line_stage(stages):
     before, after, _ = stages[1]
     strip = lambda line: line.strip("\x20\t\n\x0b\x0c\r")
