@@ -29,11 +29,14 @@ _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_LENGTH)
-#: Shapes that are public by nature: digests by their lengths, UUIDs, numbers, words joined by signs or capitals.
+#: What a run that is not random as a whole is judged by next: its parts between these signs, then between any.
+_PARTS = (re.compile(r"[^/=]{%d,}" % MIN_LENGTH), re.compile(r"[A-Za-z0-9]{%d,}" % MIN_LENGTH))
+#: Shapes that are public by nature: digests by their lengths, UUIDs, numbers, words of under MIN_LENGTH letters joined by signs.
 _DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.IGNORECASE)
 _UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.IGNORECASE)
 _NUMBER = re.compile(r"[0-9+/_=-]+")
-_IDENTIFIER = re.compile(r"[/_=+-]*(?:(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})[/_=+-]+)*(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]{0,4}[/_=+-]*")
+_NAME = "(?:[A-Z]?[a-z]{1,%d}|[A-Z]{1,%d})" % (MIN_LENGTH - 2, MIN_LENGTH - 1)
+_IDENTIFIER = re.compile(rf"[/_=+-]*(?:(?:{_NAME}|[0-9]{{1,4}})[/_=+-]+)*{_NAME}[0-9]{{0,4}}[/_=+-]*")
 
 
 @functools.lru_cache(maxsize=4)
@@ -62,22 +65,27 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def is_random(run: str, vocabulary) -> bool:
-    """Whether the run mixes letters and digits, is no public shape, and costs more tokens than its length allows."""
-    if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)):
-        return False
+    """Whether the run is no public shape and costs more tokens than its length allows; letters alone are judged alike."""
     if any(shape.fullmatch(run) for shape in (_DIGEST, _UUID, _NUMBER, _IDENTIFIER)):
         return False
     return len(run) < MAX_CHARS_PER_TOKEN * len(vocabulary.encode_ordinary(run))
 
 
+def random_spans(run: str, at: int, base: list[tuple[int, int, int]], vocabulary, level: int = 0) -> list[tuple[int, int, int]]:
+    """The run as a span if it is random and outside the base spans, else those of its parts that are; it starts at ``at``."""
+    if not any(s < at + len(run) and at < e for s, _, e in base) and is_random(run, vocabulary):
+        return [(at, 3, at + len(run))]
+    if level == len(_PARTS):
+        return []
+    return [s for m in _PARTS[level].finditer(run) for s in random_spans(m.group(), at + m.start(), base, vocabulary, level + 1)]
+
+
 def all_spans(text: str, vocabulary) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and base spans with the random strings outside them."""
     base = base_spans(text)
     added = []
     for m in _RUN.finditer(text):
-        inside = any(s < m.end() and m.start() < e for s, _, e in base)
-        if not inside and is_random(m.group(), vocabulary):
-            added.append((m.start(), 3, m.end()))
+        added += random_spans(m.group(), m.start(), base, vocabulary)
     return base, sorted(base + added)
 
 
