@@ -123,8 +123,11 @@ def with_time_blocks(df: DataFrame) -> DataFrame:
     return df.withColumn("block0", low).withColumn("block", F.explode(F.sequence(low, high)))
 
 
-def with_frame_bands(df: DataFrame) -> DataFrame:
-    """One row per blocking key of the item's frame hashes (fingerprints of one length, as they are made).
+def with_frame_bands(df: DataFrame, against: DataFrame | None = None) -> DataFrame:
+    """One row per blocking key of the item's frame hashes, as the left side of a comparison.
+
+    With ``against`` (the left side) as the right one of lists of another length: for each length there but its own, the keys
+    of the frames that a left list of this length is compared with (the same index, the last one repeating).
 
     A mean of at least .97 over n frames leaves at most D = floor(1.92 n)
     differing bits. Some aligned frame then differs by at most one bit, so it agrees
@@ -133,7 +136,18 @@ def with_frame_bands(df: DataFrame) -> DataFrame:
     of four or more, the mean would be two bits a frame. The key joins both, so a frame
     shared by many items (an intro, a black screen) does not make a hot block on its own.
     """
-    n = F.size("frames")
+    n = F.size("met")
+    if against is None:
+        met = df.withColumn("met", F.col("frames"))
+    else:
+        lengths = against.agg(F.collect_set(F.size("frames"))).scalar()
+        clamped = F.transform(
+            F.sequence(F.lit(0), F.col("met_n") - 1), lambda i: F.get(F.col("frames"), F.least(i, F.size("frames") - 1))
+        )
+        sized = df.filter(F.size("frames") > 0).withColumn("met_n", F.explode(lengths)).filter(
+            (F.col("met_n") > 0) & (F.col("met_n") != F.size("frames"))
+        )
+        met = sized.withColumn("met", clamped).drop("met_n")
     parts = F.least(F.lit(4), F.floor((F.lit(1.0) - NEAR_VISUAL) * 64 * n + 1e-9).cast("int") + 1)
     digits = F.ceil(F.lit(16) / parts).cast("int")
     band = lambda h, i: F.substring(h, 1 + 4 * i, 4)
@@ -142,7 +156,7 @@ def with_frame_bands(df: DataFrame) -> DataFrame:
     ]
 
     def keys_of(h: Column, i: Column) -> Column:
-        after = F.get(F.col("frames"), (i + 1) % n)
+        after = F.get(F.col("met"), (i + 1) % n)
         pieces = F.transform(
             F.sequence(F.lit(0), F.lit(15), digits),
             lambda at: F.concat(at.cast("string"), F.lit("."), F.substr(after, at + 1, digits)),
@@ -151,19 +165,21 @@ def with_frame_bands(df: DataFrame) -> DataFrame:
             F.array(*whole(h)), lambda w: F.transform(pieces, lambda piece: F.xxhash64(n, i, w, piece))
         ))
 
-    keys = F.flatten(F.transform("frames", keys_of))
-    return df.withColumn("band", F.explode(F.array_distinct(keys)))
+    keys = F.flatten(F.transform("met", keys_of))
+    return met.withColumn("band", F.explode(F.array_distinct(keys))).drop("met")
 
 
 def visual_groups(df: DataFrame) -> DataFrame:
-    """Each item with the first item (``rep_id``) of identical frames and concept in its owner's pool.
+    """Each item with the first and last item (``rep_id``, ``last_id``) of identical frames and concept in its owner's pool.
 
     Copies behave alike in the visual comparison, so only representatives meet
     in the band join and every copy is linked once, to its representative.
     """
     signature = F.xxhash64("frames", "concept_t", F.coalesce("vec_id", F.lit(-1).cast("bigint")))
     marked = df.withColumn("signature", signature)
-    reps = marked.groupBy("owner_id", "signature", "frames", "concept_t").agg(F.min("short_id").alias("rep_id"))
+    reps = marked.groupBy("owner_id", "signature", "frames", "concept_t").agg(
+        F.min("short_id").alias("rep_id"), F.max("short_id").alias("last_id")
+    )
     return marked.join(
         reps, ["owner_id", "signature", "frames", "concept_t"]
     ).drop("signature")
@@ -188,21 +204,25 @@ def moment_pairs(df: DataFrame) -> DataFrame:
 def visual_pairs(df: DataFrame) -> DataFrame:
     """Id pairs of representatives alike in frames (.97) and concept (.65), and each copy with its representative.
 
+    Lists of different length are compared by the left one's length, the item with the lower id. Where only the later
+    representative on the left is alike, it pairs with the last copy of the other, if that one is later still.
     The concept is compared before a pair is written, so items that only share frames (a black screen) make no pairs."""
     told = ["concept_t", "v", "model", "norm"]
     grouped = visual_groups(df.select("short_id", "owner_id", "frames", "vec_id", *told))
-    reps = with_frame_bands(grouped.filter("short_id = rep_id").select("short_id", "owner_id", "frames"))
-    a = reps.select(*[F.col(c).alias(f"a_{c}") for c in reps.columns])
-    b = reps.select(*[F.col(c).alias(f"b_{c}") for c in reps.columns])
-    keys = (
-        (F.col("a_owner_id") == F.col("b_owner_id")) & (F.col("a_band") == F.col("b_band"))
-        & (F.col("a_short_id") < F.col("b_short_id"))
-    )
-    near = a.join(b, keys).filter(ev.clamped_index_similarity("a_frames", "b_frames") >= NEAR_VISUAL)
+    reps = grouped.filter("short_id = rep_id").select("short_id", "owner_id", "frames", "last_id")
+    prefix = lambda bands, p: bands.select(*[F.col(c).alias(f"{p}_{c}") for c in bands.columns])
+    keyed = with_frame_bands(reps)
+    keys = (F.col("a_owner_id") == F.col("b_owner_id")) & (F.col("a_band") == F.col("b_band"))
+    ordered = F.col("a_short_id") < F.col("b_short_id")
+    later = F.col("a_short_id") < F.col("b_last_id")
+    near = prefix(keyed, "a").join(prefix(keyed, "b"), keys & ordered).unionByName(
+        prefix(keyed, "a").join(prefix(with_frame_bands(reps, against=df), "b"), keys & (F.col("a_short_id") != F.col("b_short_id")) & later)
+    ).filter(ev.clamped_index_similarity("a_frames", "b_frames") >= NEAR_VISUAL)
     star = grouped.filter("short_id <> rep_id").select(
         F.col("rep_id").alias("a_short_id"), F.col("short_id").alias("b_short_id")
     )
-    ids = near.select("a_short_id", "b_short_id").distinct()
+    met = F.when(F.col("a_short_id") < F.col("b_short_id"), F.col("b_short_id")).otherwise(F.col("b_last_id"))
+    ids = near.select("a_short_id", met.alias("b_short_id")).distinct()
     for prefix in ("a", "b"):
         ids = ids.join(df.select(*[F.col(c).alias(f"{prefix}_{c}") for c in ["short_id", *told]]), f"{prefix}_short_id")
     a, b = ({c: F.col(f"{p}_{c}") for c in told} for p in ("a", "b"))
@@ -251,13 +271,13 @@ def history_conflicts(pool: DataFrame, history: DataFrame) -> DataFrame:
     )
     visual_fields = ["short_id", "owner_id", "frames", "concept_t", "v", "model", "norm", "reuse_kind", "reuse_of_id", "reuse_reason"]
     left = prefix(with_frame_bands(pool.select(*visual_fields)), "a")
-    right = prefix(with_frame_bands(history.select(*visual_fields)), "b")
-    visual = left.join(
-        right,
+    meets = (
         same_owner & (F.col("a_band") == F.col("b_band"))
-        & (ev.clamped_index_similarity("a_frames", "b_frames") >= NEAR_VISUAL) & (semantic(a, b) >= NEAR_CONCEPT) & allowed,
-        "left_semi",
+        & (ev.clamped_index_similarity("a_frames", "b_frames") >= NEAR_VISUAL) & (semantic(a, b) >= NEAR_CONCEPT) & allowed
     )
+    seen = history.select(*visual_fields)
+    rights = [prefix(with_frame_bands(seen), "b"), prefix(with_frame_bands(seen, against=pool), "b")]  # of equal and of other length
+    visual = left.join(rights[0], meets, "left_semi").unionByName(left.join(rights[1], meets, "left_semi"))
     exact = pool.filter(F.col("render_hash").isNotNull()).join(
         history.select("owner_id", "render_hash").distinct(), ["owner_id", "render_hash"], "left_semi"
     )

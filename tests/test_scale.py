@@ -1,5 +1,7 @@
 """Hot keys, copies and plan shape."""
 
+import random
+
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -66,6 +68,54 @@ def test_near_visual_pairs_match_brute_force(spark):
     assert got == want and want
 
 
+def test_frame_lists_of_any_length_match_brute_force(spark):
+    rng = random.Random(9)
+
+    def flip(h, bits):
+        value = int(h, 16)
+        for bit in rng.sample(range(64), bits):
+            value ^= 1 << bit
+        return f"{value:016x}"
+
+    rows = []
+    for _ in range(60):
+        base = [f"{rng.getrandbits(64):016x}" for _ in range(4)]
+        for n in rng.choices(range(5), k=5):
+            frames = [flip(base[min(i, 1)] if rng.random() < 0.5 else base[i], rng.choice([0, 0, 1, 2, 3])) for i in range(n)]
+            rows.append(frames)
+            if rng.random() < 0.3:
+                rows.append([*frames, frames[-1]] if frames else [])
+    rows += rng.sample(rows, 40)
+    rows = [(i, 1, f, [1], None, None, None, None, None, None, None) for i, f in enumerate(rows)]
+    schema = ("short_id bigint, owner_id bigint, frames array<string>, concept_t array<bigint>, vec_id bigint, v array<double>, model int, "
+              "norm double, reuse_kind string, reuse_of_id bigint, reuse_reason string")
+    df = spark.createDataFrame(rows, schema)
+
+    def near(x, y):
+        return bool(x and y) and sum(
+            bin(int(f, 16) ^ int(y[min(i, len(y) - 1)], 16)).count("1") for i, f in enumerate(x)) <= 0.03 * 64 * len(x) + 1e-9
+
+    frames = [r[2] for r in rows]
+    first = {}
+    for i, f in enumerate(frames):
+        first.setdefault(tuple(f), i)
+    want = {(a, b) for a in first.values() for b in first.values() if a < b and near(frames[a], frames[b])}
+    assert any(len(frames[a]) != len(frames[b]) for a, b in want)
+    got = {(r.a_short_id, r.b_short_id) for r in similarity.visual_pairs(df).collect()}
+    stars = {(first[tuple(f)], i) for i, f in enumerate(frames) if first[tuple(f)] != i}
+    assert want | stars <= got
+    assert all(a < b and near(frames[a], frames[b]) for a, b in got - stars)
+    group = lambda i: first[tuple(frames[i])]
+    every = {(group(a), group(b)) for a in range(len(rows)) for b in range(a + 1, len(rows)) if near(frames[a], frames[b])}
+    assert {frozenset(p) for p in every if len(set(p)) == 2} == {frozenset(map(group, p)) for p in got - stars}
+
+    pool, history = df.filter("short_id % 3 > 0"), df.filter("short_id % 3 = 0")
+    wide = [F.lit(None).cast(kind).alias(name) for name, kind in (
+        ("source_hash", "string"), ("start_ms", "bigint"), ("end_ms", "bigint"), ("event_ms", "bigint"), ("render_hash", "string"))]
+    hit = {r.short_id for r in similarity.history_conflicts(pool.select("*", *wide), history.select("*", *wide)).collect()}
+    assert hit == {a for a in range(len(rows)) if a % 3 and any(near(frames[a], frames[b]) for b in range(0, len(rows), 3))}
+
+
 def test_no_cartesian_in_headline_plans(spark):
     for name in ["activity_totals", "revenue_attribution", "horizon_outcomes", "pairwise_similarity", "interval_overlap_join", "segment_lift"]:
         plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
