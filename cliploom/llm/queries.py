@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cliploom.llm import (
-    fingerprints, language, lattice, mixing, pieces, secrets, setsketch, sharding, site_lines, training_order,
+    fingerprints, language, lattice, mixing, pieces, quality, secrets, setsketch, sharding, site_lines, training_order,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,53 @@ def op9_token_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near-duplicate vectors of one label."""
     return lattice.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdicts of the quality rules for every document."""
+    found = quality.verdicts(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.array_join("broken", ", ").alias("broken"),
+    )
+
+
+def _stop_list(lang: str) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in quality.STOP_WORDS[lang]) + "]"
+
+
+ORACLES["op13_quality_rules"] = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS text, CASE lang %s END AS listed FROM documents
+), listed AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM texts
+), runs AS (
+  SELECT doc_id, unnest(range(1, len(w) - 3)) AS place, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS run
+  FROM listed WHERE len(w) > 5
+), twins AS (
+  SELECT doc_id, place FROM runs QUALIFY count(*) OVER (PARTITION BY doc_id, run) > 1
+), repeated AS (
+  SELECT doc_id, sum(step) AS n FROM (
+    SELECT doc_id, least(5, coalesce(lead(place) OVER (PARTITION BY doc_id ORDER BY place) - place, 5)) AS step FROM twins
+  ) GROUP BY doc_id
+), measured AS (
+  SELECT l.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%%&|<>]+', '', 'g'))::BIGINT AS n_symbols, len(lines) AS n_lines,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
+    len(list_filter(w, lambda x: regexp_matches(x, '\p{L}'))) AS n_alpha,
+    CASE WHEN listed IS NOT NULL THEN len(list_filter(w, lambda x: list_contains(listed, lower(trim(x, '.,;:!?"''()[]{}*_-'))))) END AS n_stop
+  FROM listed l LEFT JOIN repeated r USING (doc_id)
+), ruled AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    array_to_string([x FOR x IN [
+      CASE WHEN n_words < 10 THEN 'too few words' END, CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 'repeated runs' END,
+      CASE WHEN 100 * word_chars < 200 * n_words OR 100 * word_chars > 1500 * n_words THEN 'word length' END,
+      CASE WHEN 100 * n_symbols > 20 * n_words THEN 'symbols' END,
+      CASE WHEN 100 * n_alpha < 60 * n_words THEN 'words without letters' END,
+      CASE WHEN 100 * n_stop < 2 * n_words AND n_words >= 50 THEN 'stop words' END,
+      CASE WHEN 100 * n_dup_lines > 50 * n_lines THEN 'duplicate lines' END] IF x IS NOT NULL], ', ') AS broken FROM measured
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, broken = '' AS kept, broken FROM ruled
+""" % " ".join(f"WHEN '{lang}' THEN {_stop_list(lang)}" for lang in quality.STOP_WORDS)
