@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cliploom.llm import (
-    fingerprints, language, lattice, mixing, pieces, quality, secrets, setsketch, sharding, site_lines, training_order,
+    fingerprints, language, lattice, mixing, phrases, pieces, quality, secrets, setsketch, sharding, site_lines,
+    training_order,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,3 +192,49 @@ WITH texts AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, broken = '' AS kept, broken FROM ruled
 """ % " ".join(f"WHEN '{lang}' THEN {_stop_list(lang)}" for lang in quality.STOP_WORDS)
+
+
+@_query
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best collocations of each language."""
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+def _grams(size: int) -> str:
+    """All runs of ``size`` words inside pieces."""
+    words = ", ".join(f"lead(word, {k}) OVER w" for k in range(size)).replace("lead(word, 0) OVER w", "word")
+    return f"""
+  SELECT lang, {size} AS len, phrase, count(*) AS f FROM (
+    SELECT lang, [{words}] AS ws, array_to_string([{words}], ' ') AS phrase FROM words
+    WINDOW w AS (PARTITION BY rid, piece ORDER BY place)
+  ) WHERE ws[{size}] IS NOT NULL GROUP BY lang, phrase HAVING count(*) >= 100"""
+
+
+ORACLES["op12_phrase_collocations"] = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), pieces AS (
+  SELECT rid, lang, unnest(p) AS body, generate_subscripts(p, 1) AS piece
+  FROM (SELECT rid, lang, string_split_regex(text, '[.,;:!?\x0A-\x0D]') AS p FROM texts)
+), words AS MATERIALIZED (
+  SELECT rid, lang, piece, unnest(w) AS word, generate_subscripts(w, 1) AS place
+  FROM (SELECT *, regexp_extract_all(body, '[^\x20\x09]+') AS w FROM pieces)
+), sizes AS (
+  SELECT lang, count(*) AS n FROM words GROUP BY lang
+), grams AS MATERIALIZED (%s
+), cuts AS (
+  SELECT g.lang, g.phrase, g.f AS a, k, l.f AS l, r.f AS r, n, (1000::HUGEINT * g.f * n // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, len)) AS k, string_split(phrase, ' ') AS ws FROM grams WHERE len > 1) g
+  JOIN grams l ON l.lang = g.lang AND l.phrase = array_to_string(ws[1:k], ' ')
+  JOIN grams r ON r.lang = g.lang AND r.phrase = array_to_string(ws[k + 1:], ' ')
+  JOIN sizes s ON s.lang = g.lang
+), best AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), open AS (
+  SELECT * FROM best b WHERE NOT EXISTS (
+    SELECT 1 FROM grams g WHERE g.lang = b.lang AND g.f >= b.a AND g.phrase <> b.phrase AND contains(' ' || g.phrase || ' ', ' ' || b.phrase || ' '))
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM open
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+""" % " UNION ALL".join(_grams(k) for k in range(1, 6))
