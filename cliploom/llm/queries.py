@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cliploom.llm import (
-    fingerprints, language, lattice, mixing, phrases, pieces, quality, secrets, setsketch, sharding, site_lines,
-    training_order,
+    fingerprints, language, lattice, mixing, phrases, pieces, prefix_trie, quality, secrets, setsketch, sharding,
+    site_lines, training_order,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -238,3 +238,9 @@ WITH texts AS (
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM open
 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
 """ % " UNION ALL".join(_grams(k) for k in range(1, 6))
+
+
+@_query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
