@@ -41,6 +41,8 @@ PROFILE_MIN_CONFIDENCE = 0.55
 DUPLICATE_WEIGHTS = {
     "event": 0.2, "temporal": 0.24, "visual": 0.24, "semantic": 0.18, "transcript": 0.1, "game": 0.04,
 }
+#: Publications whose items count as history.
+HISTORY_PUBLICATION_STATES = ["PENDING", "UPLOADING", "UPLOADED", "PUBLISHED"]
 DUPLICATE_COMPOSITE = 0.82
 DUPLICATE_OVERLAP = 0.75
 DUPLICATE_VISUAL = 0.8
