@@ -12,8 +12,6 @@ from cliploom.functions.numeric import bounded, bucket, col, duration_class, hal
 from cliploom.operators import scans, series
 from cliploom.operators.reporting import top_n
 
-MAX_GAP_MS = max(gap for _, _, _, gap, _ in config.CLUSTERING_PROFILES)
-
 
 def clustering_profile(game, event_type, confidence) -> Column:
     """struct(policy_id, gap_ms) of the first profile whose patterns and confidence fit."""
@@ -56,52 +54,117 @@ def fallback_events(sources: DataFrame, evidence: DataFrame) -> DataFrame:
     )
 
 
+#: Types an event can have, and the gaps a profile can allow: together the states an open cluster can be in.
+EVENT_TYPES = ("SCENE_TRANSITION", "AUDIO_REACTION", "ACTIVITY_BURST")
+_GAPS = tuple(sorted({gap for _, _, _, gap, _ in config.CLUSTERING_PROFILES}))
+#: Events of a chunk, and time buckets of a span: no array is longer than the chunk, its bucket's chunks or a span.
+CHUNK, SPAN = 64, 512
+
+
+def _open_state(kind: Column, gap: Column) -> Column:
+    """Number of the state of a cluster of type number ``kind`` and gap number ``gap``; 0 is no open cluster."""
+    return (kind * len(_GAPS) + gap + 1).cast("int")
+
+
+def _advance(state: Column, e: Column) -> tuple[Column, Column]:
+    """The state after event ``e``, and whether e joined the open cluster."""
+    kind, gap = F.floor((state - 1) / len(_GAPS)).cast("int"), F.pmod(state - 1, F.lit(len(_GAPS)))
+    active = [k for k, name in enumerate(EVENT_TYPES) if "ACTIVITY" in name]
+    agree = (kind == e["kind_no"]) | kind.isin(active) | e["kind_no"].isin(active)
+    wider = F.greatest(gap, e["gap_no"])
+    allowed = F.element_at(F.array(*[F.lit(g) for g in _GAPS]), wider + 1)
+    joins = F.coalesce((state > 0) & agree & (e["since"] <= allowed), F.lit(False))
+    return F.when(joins, _open_state(kind, wider)).otherwise(_open_state(e["kind_no"], e["gap_no"])), joins
+
+
+_MOVE = "struct<to:int,n:bigint>"
+
+
+def _move(state: Column, opened: Column) -> Column:
+    return F.struct(state.cast("int").alias("to"), opened.cast("bigint").alias("n"))
+
+
+def _after(move: Column, summary: Column) -> Column:
+    """Where ``summary`` (for each entering state the leaving one and the clusters opened) leads from ``move``."""
+    then = F.element_at(summary, move["to"] + 1)
+    return _move(then["to"], move["n"] + then["n"])
+
+
+def _composed(df: DataFrame, by: list[str], order: str) -> DataFrame:
+    """One summary for each group: its rows' summaries one after the other. Keeps the rows' own, in order, as ``inner``."""
+    listed = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(order, "summary"))).alias("inner"))
+    same = F.transform(F.sequence(F.lit(0), F.lit(len(EVENT_TYPES) * len(_GAPS))), lambda k: _move(k, F.lit(0)))
+    return listed.withColumn("summary", F.aggregate("inner", same, lambda acc, row: F.transform(acc, lambda m: _after(m, row["summary"]))))
+
+
+def _entered(df: DataFrame, order: str, enter: Column) -> DataFrame:
+    """Each inner row's order with the state and cluster count it is entered with."""
+    start = F.struct(enter.alias("at"), F.array().cast(f"array<struct<{order}:bigint,enter:{_MOVE}>>").alias("out"))
+    steps = F.aggregate("inner", start, lambda acc, row: F.struct(
+        _after(acc["at"], row["summary"]).alias("at"),
+        F.concat(acc["out"], F.array(F.struct(row[order].cast("bigint").alias(order), acc["at"].alias("enter")))).alias("out"),
+    ), lambda acc: acc["out"])
+    return df.withColumn("step", F.explode(steps)).select(
+        *[c for c in df.columns if c not in ("inner", "summary", "enter")], f"step.{order}", "step.enter"
+    )
+
+
 def event_clusters(evidence: DataFrame, sources: DataFrame) -> DataFrame:
     """Chain each source's events into clusters.
 
-    An event joins the open cluster when the types agree (or either is an
-    ACTIVITY type) and it follows within the larger of the cluster's and its
-    own gap. Evidence is point-like. A silence longer than every profile's gap
-    always separates clusters; stretches between such silences are numbered in
-    bucketed scans, so a long source is spread over tasks and the ordered fold
-    runs inside a stretch only.
+    An event joins the open cluster when the types agree (or either is an ACTIVITY type) and it follows within the larger of
+    the cluster's and its own gap. Evidence is point-like, so what an event needs to know of the past is the open cluster's type
+    and gap: one of a few states. A chunk of events is summed up by the state and the number of clusters it leaves for each
+    state it may be entered with; summaries compose from chunks to time buckets, spans and the source, the entering states come
+    back the same way, and each chunk numbers its own events. A source without any silence is spread like all others.
     """
     profiled = evidence.join(sources.select("source_id", "game", "game_confidence"), "source_id").withColumn(
         "__p", clustering_profile("game", "event_type", F.least("game_confidence", "confidence"))
     )
-    stretched = scans.gap_groups(
-        profiled, ["source_id"], ["t_ms", "signal_id"], MAX_GAP_MS, "__stretch", series.SERIES_BUCKET
-    )
+    near = scans.neighbours(profiled, ["source_id"], ["t_ms", "signal_id"], ["t_ms"], series.SERIES_BUCKET)
     strength = weight_of("kind", config.STRENGTH_WEIGHTS) * F.greatest(F.lit(1.0), F.abs("value"))
+    known = F.array_position(F.array(*[F.lit(v) for v in EVENT_TYPES]), F.col("event_type"))
     item = F.struct(
         "t_ms", "signal_id", "event_type", "confidence", "kind", strength.alias("strength"),
         weight_of("kind", config.SCORE_WEIGHTS).alias("weight"),
         F.col("__p.policy_id").alias("policy_id"), F.col("__p.gap_ms").alias("gap_ms"),
+        F.when(known > 0, known.cast("int") - 1).otherwise(F.raise_error(F.concat(F.lit("unknown event type "), "event_type")).cast("int")).alias("kind_no"),
+        (F.array_position(F.array(*[F.lit(g) for g in _GAPS]), F.col("__p.gap_ms")).cast("int") - 1).alias("gap_no"),
+        (F.col("t_ms") - F.col("prev_t_ms")).alias("since"),
     )
-    listed = stretched.groupBy("source_id", "__stretch").agg(F.array_sort(F.collect_list(item)).alias("items"))
-
-    def step(acc: Column, e: Column) -> Column:
-        agree = (acc["type"] == e["event_type"]) | acc["type"].contains("ACTIVITY") | e["event_type"].contains("ACTIVITY")
-        joins = (F.size(acc["ids"]) > 0) & agree & (e["t_ms"] - acc["last"] <= F.greatest(acc["gap"], e["gap_ms"]))
-        number = acc["number"] + F.when(joins, 0).otherwise(1)
-        return F.struct(
-            F.when(joins, acc["type"]).otherwise(e["event_type"]).alias("type"),
-            F.when(joins, F.greatest(acc["gap"], e["gap_ms"])).otherwise(e["gap_ms"]).alias("gap"),
-            e["t_ms"].alias("last"), number.alias("number"), F.concat(acc["ids"], F.array(number)).alias("ids"),
-        )
-
-    start = F.struct(
-        F.lit("").alias("type"), F.lit(0).alias("gap"), F.lit(0).cast("bigint").alias("last"), F.lit(0).alias("number"),
-        F.array().cast("array<int>").alias("ids"),
+    inside = Window.partitionBy("source_id", scans.BUCKET).orderBy("t_ms", "signal_id")
+    rows = scans.with_bucket(near, "t_ms", series.SERIES_BUCKET).select(
+        "source_id", F.col(scans.BUCKET).alias("bucket"), F.floor((F.row_number().over(inside) - 1) / CHUNK).alias("chunk"), item.alias("e")
     )
-    numbered = listed.withColumn("ids", F.aggregate("items", start, step, lambda acc: acc["ids"]))
-    flat = numbered.select(
-        "source_id", "__stretch",
-        F.explode(F.zip_with("items", "ids", lambda e, n: F.struct(e.alias("e"), n.alias("n")))).alias("z"),
-    ).select("source_id", "__stretch", F.col("z.n").alias("__n"), "z.e.*")
+    place = ["source_id", "bucket", "chunk"]
+    chunks = rows.groupBy(*place).agg(F.array_sort(F.collect_list("e")).alias("items"))
+
+    def passed(acc: Column, e: Column) -> Column:
+        state, joins = _advance(acc["to"], e)
+        return _move(state, acc["n"] + F.when(joins, 0).otherwise(1))
+
+    states = F.sequence(F.lit(0), F.lit(len(EVENT_TYPES) * len(_GAPS)))
+    summed = chunks.withColumn("summary", F.transform(states, lambda k: F.aggregate("items", _move(k, F.lit(0)), passed)))
+    buckets = _composed(summed, ["source_id", "bucket"], "chunk").withColumn("span", F.floor(F.col("bucket") / SPAN))
+    spans = _composed(buckets.select("source_id", "span", "bucket", "summary"), ["source_id", "span"], "bucket")
+    whole = _composed(spans.select("source_id", "span", "summary"), ["source_id"], "span")
+    of_spans = _entered(whole, "span", _move(F.lit(0), F.lit(0)))
+    of_buckets = _entered(spans.join(of_spans, ["source_id", "span"]), "bucket", F.col("enter"))
+    of_chunks = _entered(buckets.join(of_buckets, ["source_id", "span", "bucket"]).drop("span"), "chunk", F.col("enter"))
+
+    def numbered(acc: Column, e: Column) -> Column:
+        state, joins = _advance(acc["to"], e)
+        number = acc["n"] + F.when(joins, 0).otherwise(1)
+        return F.struct(state.alias("to"), number.alias("n"), F.concat(acc["ids"], F.array(number)).alias("ids"))
+
+    start = F.struct(F.col("enter.to").alias("to"), F.col("enter.n").alias("n"), F.array().cast("array<bigint>").alias("ids"))
+    ids = F.aggregate("items", start, numbered, lambda acc: acc["ids"])
+    flat = chunks.join(of_chunks, place).select(
+        "source_id", F.explode(F.zip_with("items", ids, lambda e, n: F.struct(e.alias("e"), n.alias("n")))).alias("z")
+    ).select("source_id", F.col("z.n").alias("cluster_no"), "z.e.*")
     place = F.struct("t_ms", "signal_id")
     early = F.struct((-F.col("t_ms")).alias("a"), (-F.col("signal_id")).alias("b"))
-    grouped = flat.groupBy("source_id", "__stretch", "__n").agg(
+    return flat.groupBy("source_id", "cluster_no").agg(
         F.min_by("event_type", place).alias("event_type"),
         F.min("t_ms").cast("double").alias("start_ms"),
         F.max_by("t_ms", F.struct(F.col("strength"), early)).cast("double").alias("key_ms"),
@@ -111,8 +174,6 @@ def event_clusters(evidence: DataFrame, sources: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set("kind")).alias("kinds"),
         F.count("*").alias("signal_count"), F.sum("weight").alias("weight_sum"),
     )
-    order = Window.partitionBy("source_id").orderBy("__stretch", "__n")
-    return grouped.withColumn("cluster_no", F.row_number().over(order).cast("bigint")).drop("__stretch", "__n")
 
 
 def detected_events(signals: DataFrame, sources: DataFrame) -> DataFrame:
