@@ -18,16 +18,14 @@ def stream(t):
     return shaped(p.read_stream(t.spark, t.sf_dir, "events.parquet"))
 
 
-def rows(t):
-    """The batch read of the same file."""
-    return shaped(t.base("events"))
-
-
 @query("stream_snapshot_ingest", """
-SELECT DISTINCT sha256(owner_id || chr(0) || coalesce(CAST(video_id AS VARCHAR), 'channel') || chr(0) || strftime(report_date, '%Y-%m-%d')) AS report_key FROM observation""")
+SELECT sha256(owner_id || chr(0) || coalesce(CAST(video_id AS VARCHAR), 'channel') || chr(0) || strftime(report_date, '%Y-%m-%d')) AS report_key,
+  observation_id, views, strftime(collected_at, '%Y-%m-%d %H:%M:%S') AS collected_at FROM observation
+QUALIFY row_number() OVER (PARTITION BY owner_id, video_id, report_date ORDER BY collected_at DESC, observation_id DESC) = 1""")
 def _(t):
     reports = stream(t).withColumnRenamed("ts", "collected_at")
-    return p.snapshot_ingest(reports, p.work_dir(t.spark, "snapshots")).select("report_key")
+    kept = p.snapshot_ingest(reports, p.work_dir(t.spark, "snapshots"))
+    return kept.select("report_key", "observation_id", "views", stamp("collected_at").alias("collected_at"))
 
 
 @query("stream_latest_totals", """
@@ -50,7 +48,7 @@ g AS (SELECT k, s, count(*) AS c, min(ts) AS a, max(ts) AS b FROM n GROUP BY ALL
 SELECT k AS source_id, c AS peaks, strftime(a, '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(b, '%Y-%m-%d %H:%M:%S') AS last_ts FROM g""")
 def _(t):
     peaks = lambda df: df.filter("event_type = 'purchase'").withColumnRenamed("user_id", "source_id")
-    out = p.gap_sessions(peaks(stream(t)), p.work_dir(t.spark, "sessions"), "6 hours", peaks(rows(t)))
+    out = p.gap_sessions(peaks(stream(t)), p.work_dir(t.spark, "sessions"), "6 hours")
     return out.select("source_id", "peaks", stamp("first_ts").alias("first_ts"), stamp("last_ts").alias("last_ts"))
 
 
@@ -67,13 +65,16 @@ def _(t):
     return p.rolling_activity(stream(t), p.work_dir(t.spark, "rolling")).withColumn("since", day("since"))
 
 
-@query("stream_stale_jobs", SESSIONS.format(gap=12, cond="true") + """
-SELECT k AS job_id, c AS beats, strftime(b, '%Y-%m-%d %H:%M:%S') AS last_beat, strftime(b + INTERVAL 12 HOUR, '%Y-%m-%d %H:%M:%S') AS stale_at FROM g
+@query("stream_stale_jobs", SESSIONS.format(gap=12, cond="true").rstrip() + """,
+x AS (SELECT *, lead(a) OVER (PARTITION BY k ORDER BY a) AS r FROM g WHERE a <= TIMESTAMP '2024-01-31')
+SELECT k AS job_id, c AS beats, strftime(b, '%Y-%m-%d %H:%M:%S') AS last_beat, strftime(b + INTERVAL 12 HOUR, '%Y-%m-%d %H:%M:%S') AS stale_at,
+  CASE WHEN r IS NULL THEN 'ACTIVE' ELSE 'RESOLVED' END AS state, strftime(r, '%Y-%m-%d %H:%M:%S') AS resolved_at FROM x
 WHERE b + INTERVAL 12 HOUR <= TIMESTAMP '2024-01-31'""")
 def _(t):
-    beats = lambda df: df.withColumnRenamed("user_id", "job_id")
-    out = p.stale_jobs(beats(stream(t)), p.work_dir(t.spark, "stale"), "12 hours", beats(rows(t)), now())
-    return out.select("job_id", "beats", stamp("last_beat").alias("last_beat"), stamp("stale_at").alias("stale_at"))
+    beats = stream(t).withColumnRenamed("user_id", "job_id")
+    out = p.stale_jobs(beats, p.work_dir(t.spark, "stale"), "12 hours", now())
+    return out.select(
+        "job_id", "beats", stamp("last_beat").alias("last_beat"), stamp("stale_at").alias("stale_at"), "state", stamp("resolved_at").alias("resolved_at"))
 
 
 @query("stream_alert_dedupe", """

@@ -162,7 +162,7 @@ def test_streams_keep_late_rows_and_open_windows(spark, tmp_path):
     want = rows.groupBy("owner_id", F.date_trunc("day", "ts").alias("day")).agg(F.count("*").alias("observations"), F.sum("views").alias("views"))
     assert same(got, want)
     stream, rows = late_files(spark, tmp_path / "b")
-    sessions = pipelines.gap_sessions(stream, f"{tmp_path}/sessions", "2 hours", rows)
+    sessions = pipelines.gap_sessions(stream, f"{tmp_path}/sessions", "2 hours")
     assert sessions.agg(F.sum("peaks")).first()[0] == rows.count()
     plain = rows.groupBy("source_id", F.session_window("ts", "2 hours").alias("w")).agg(F.count("*").alias("peaks"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
     assert same(sessions, plain.select("source_id", "peaks", "first_ts", "last_ts"))
