@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cliploom import config
@@ -11,6 +11,7 @@ from cliploom.functions.numeric import col
 from cliploom.functions.text import report_key
 from cliploom.operators.reporting import first_per_key
 from cliploom.operators.scans import neighbours
+from cliploom.sources.bucketed import BUCKETS, BucketedTable
 
 RESULT_TABLE = (
     "kind string, columnHeaders array<struct<name:string,columnType:string,dataType:string>>, rows array<array<string>>"
@@ -78,20 +79,41 @@ def observation_records(parsed: DataFrame, publications: DataFrame, run_id: str
 
 
 def idempotent_append(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """Incoming rows whose key is new, one per key."""
-    fresh = incoming.join(existing.select(key), key, "left_anti")
-    return fresh.dropDuplicates([key])
+    """Incoming rows whose key is new, one per key: the least in column order."""
+    whole = F.struct(*[F.col(c) for c in incoming.columns])
+    fresh = incoming.join(existing.select(key), key, "left_anti").select(*incoming.columns)
+    return fresh.groupBy(F.col(key).alias("__key")).agg(F.min(whole).alias("__row")).select("__row.*")
 
 
-def append_once(df: DataFrame, path: str, key: str) -> None:
-    """Append to a parquet table the rows whose key it does not hold yet."""
-    spark = df.sparkSession
+def append_once(df: DataFrame, path: str, key: str, buckets: int = BUCKETS) -> None:
+    """Append to a parquet table, partitioned by ``key_bucket``, the rows whose key it does not hold yet.
+
+    Only the buckets of the incoming keys are read, and no file is rewritten. Rows that come together go by the least in
+    column order."""
+    rows = df.withColumn("key_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    touched = [r[0] for r in rows.select("key_bucket").distinct().collect()]  # at most ``buckets``
+    if not touched:
+        return
     try:
-        existing = spark.read.parquet(path)
+        existing = df.sparkSession.read.parquet(path).filter(F.col("key_bucket").isin(touched))
     except AnalysisException:  # the first append finds no table
-        df.dropDuplicates([key]).write.mode("append").parquet(path)
-        return
-    idempotent_append(existing, df, key).write.mode("append").parquet(path)
+        existing = rows.limit(0)
+    idempotent_append(existing, rows, key).repartition("key_bucket").write.mode("append").partitionBy("key_bucket").parquet(path)
+
+
+def upsert_table(
+    incoming: DataFrame, path: str, keys: list[str], order: str, buckets: int = BUCKETS,
+) -> BucketedTable:
+    """Upsert into a bucketed table: incoming rows replace rows of their key, the newest by ``order`` wins among them.
+
+    Only the buckets of the incoming keys are read and rewritten; the pointer moves when they are complete."""
+    table = BucketedTable(incoming.sparkSession, path, incoming.withColumn("__new", F.lit(0)).schema, keys, buckets)
+
+    def newest(rows: DataFrame) -> DataFrame:
+        return first_per_key(rows, keys, [F.col("__new").desc(), F.col(order).desc()]).withColumn("__new", F.lit(0))
+
+    table.merge(incoming.withColumn("__new", F.lit(1)), newest)
+    return table
 
 
 def sync_window_plan(
@@ -128,26 +150,45 @@ def availability_state(has_scope, denied, row_count) -> Column:
     )
 
 
-def part_manifest_check(uploads: DataFrame, parts: DataFrame) -> DataFrame:
-    """Part count, contiguity and size of every upload against its declared total."""
+def stored_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """(upload_id, part_no, content) of files ``<folder>/<upload_id>/<part_no>.part``, read by the executors."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.part").load(folder)
+    name = lambda k, kind: F.regexp_extract("path", r"([^/]+)/(\d+)\.part$", k).cast(kind)
+    return files.select(name(1, "bigint").alias("upload_id"), name(2, "bigint").alias("part_no"), "content")
+
+
+def part_manifest_check(uploads: DataFrame, parts: DataFrame, stored: DataFrame) -> DataFrame:
+    """Integrity of every upload: numbers, sizes and content of its parts against what was declared.
+
+    ``uploads`` has (upload_id, total_bytes, chunk_bytes), ``parts`` the manifest (upload_id, part_no, part_bytes, sha256),
+    ``stored`` what lies in storage (upload_id, part_no, content). Content is hashed where it is read, and only sizes
+    and digests move. A number that comes twice in the manifest is repeated and does not stand for another; a part
+    is corrupt if its stored bytes are not there or differ from the manifest in size or digest. MISSING_PARTS goes before CORRUPT_PART."""
     expected = F.ceil(F.col("total_bytes") / F.col("chunk_bytes"))
-    sized = parts.join(uploads.select("upload_id", "total_bytes", "chunk_bytes"), "upload_id").withColumn(
-        "good_size",
-        F.col("part_bytes") == F.least(F.col("chunk_bytes"), F.col("total_bytes") - F.col("part_no") * F.col("chunk_bytes")),
+    found = stored.select("upload_id", "part_no", F.length("content").cast("bigint").alias("found_bytes"), F.sha2("content", 256).alias("found_sha"))
+    one = found.groupBy("upload_id", "part_no").agg(F.min(F.struct("found_bytes", "found_sha")).alias("found"))
+    sized = parts.join(uploads.select("upload_id", "total_bytes", "chunk_bytes"), "upload_id").join(one, ["upload_id", "part_no"], "left")
+    wanted = F.least(F.col("chunk_bytes"), F.col("total_bytes") - F.col("part_no") * F.col("chunk_bytes"))
+    intact = (F.col("found.found_bytes") == F.col("part_bytes")) & (F.col("found.found_sha") == F.col("sha256"))
+    judged = sized.select(
+        "upload_id", "part_no", (~F.coalesce(F.col("part_bytes") == wanted, F.lit(False))).alias("wrong"), (~F.coalesce(intact, F.lit(False))).alias("corrupt"),
+        F.coalesce((F.col("part_no") >= 0) & (F.col("part_no") < expected), F.lit(False)).alias("known"),
+    )
+    by_number = judged.groupBy("upload_id", "part_no").agg(
+        F.count("*").alias("n"), F.count_if("wrong").alias("wrong"), F.count_if("corrupt").alias("corrupt"), F.max("known").alias("known")
     )
-    seen = sized.groupBy("upload_id").agg(
-        F.count("*").alias("parts"), F.min("part_no").alias("first_no"), F.max("part_no").alias("last_no"),
-        F.count_if(~F.col("good_size")).alias("wrong_size"), F.sum("part_bytes").alias("received"),
+    seen = by_number.groupBy("upload_id").agg(
+        F.sum("n").alias("parts"), F.count_if("known").alias("numbers"), (F.sum("n") - F.count("*")).alias("repeated"),
+        F.sum("wrong").alias("wrong_size"), F.sum("corrupt").alias("corrupt"),
     )
-    zero = F.lit(0).cast("bigint")
-    return uploads.join(seen, "upload_id", "left").select(
-        "upload_id", expected.alias("expected_parts"), F.coalesce("parts", zero).alias("parts"),
-        F.coalesce("wrong_size", zero).alias("wrong_size"),
-        F.coalesce(
-            (F.col("parts") == expected) & (F.col("first_no") == 0) & (F.col("last_no") == expected - 1)
-            & (F.col("wrong_size") == 0), F.lit(False)
-        ).alias("complete"),
+    count = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint"))
+    told = uploads.join(seen, "upload_id", "left").select(
+        "upload_id", expected.alias("expected_parts"), count("parts").alias("parts"), (expected - count("numbers")).alias("missing"),
+        *[count(c).alias(c) for c in ("repeated", "wrong_size", "corrupt")],
     )
+    missing = (F.col("missing") > 0) | (F.col("repeated") > 0) | (F.col("parts") != F.col("expected_parts"))
+    code = F.when(missing, "MISSING_PARTS").when((F.col("corrupt") > 0) | (F.col("wrong_size") > 0), "CORRUPT_PART")
+    return told.withColumn("code", code).withColumn("complete", code.isNull())
 
 
 PROBE = (
