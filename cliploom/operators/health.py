@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -112,26 +112,59 @@ def superseded_assets(stored: DataFrame, current: DataFrame) -> DataFrame:
     return stored.join(current, ["short_id", "asset_no"], "left_anti")
 
 
-def budget_ledger(ledger: DataFrame, short_cap: float, batch_cap: float, count_cap: int) -> DataFrame:
-    """Reserved spend of each item and of its source (actual cost where known), and whether one more estimate fits."""
-    held = ledger.filter(F.col("status").isin(config.RESERVED_STATUSES)).withColumn(
-        "__cost", F.coalesce("actual_usd", "estimate_usd")
+def _admit(short_cap: int, batch_cap: int, count_cap: int):
+    """Requests of a source one after the other, as they stream by: a refused one spends nothing."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        source, batch_spent, items = None, 0, {}
+        for batch in batches:
+            out = []
+            for at, short, number, kind, count, amount in zip(*[batch[c] for c in ("source_id", "short_id", "request_no", "kind", "n", "amount")]):
+                if at != source:
+                    source, batch_spent, items = at, 0, {}
+                have, spent = items.get(short, (0, 0))
+                if kind == 0:  # what the item held before
+                    items[short] = (have + count, spent + amount)
+                    batch_spent += amount
+                    continue
+                fits = have < count_cap and spent + amount <= short_cap and batch_spent + amount <= batch_cap
+                if fits:
+                    have, spent, batch_spent = have + 1, spent + amount, batch_spent + amount
+                    items[short] = (have, spent)
+                out.append((at, short, number, fits, spent, batch_spent))
+            yield pd.DataFrame(out, columns=["source_id", "short_id", "request_no", "admitted", "short_spent", "batch_spent"])
+
+    return run
+
+
+def budget_ledger(
+    ledger: DataFrame, requests: DataFrame, short_cap: float, batch_cap: float, count_cap: int,
+) -> DataFrame:
+    """Admit requests (source_id, short_id, request_no, estimate_usd) one after another, by number, item and amount within their source.
+
+    A request needs room under the item's count and spend and under its source's spend, counting what ``ledger`` has reserved (actual
+    cost where known) and what was admitted before; a refused request spends nothing. Money is counted in millionths. The
+    decision of a request rests on all before it, so a source's requests stream in order through one task, sorted by Spark; the task
+    holds a count and a sum per item, and no list of requests."""
+    micro = lambda c: F.round(c * 1_000_000).cast("bigint")
+    held = ledger.filter(F.col("status").isin(config.RESERVED_STATUSES)).groupBy("source_id", "short_id").agg(
+        F.count("*").alias("n"), F.sum(micro(F.coalesce("actual_usd", "estimate_usd"))).alias("amount")
     )
-    per_item = held.groupBy("source_id", "short_id").agg(
-        F.count("*").alias("generations"), F.sum("__cost").alias("short_spent")
+    rows = held.select("source_id", "short_id", F.lit(-1).alias("request_no"), F.lit(0).alias("kind"), "n", "amount").unionByName(
+        requests.select(
+            "source_id", "short_id", F.col("request_no").cast("int").alias("request_no"), F.lit(1).alias("kind"),
+            F.lit(1).cast("bigint").alias("n"), micro(F.col("estimate_usd")).alias("amount"),
+        )
+    )
+    order = ["source_id", "kind", "request_no", "short_id", "amount"]
+    told = rows.repartition("source_id").sortWithinPartitions(*order).mapInPandas(
+        _admit(round(short_cap * 1_000_000), round(batch_cap * 1_000_000), count_cap),
+        "source_id bigint, short_id bigint, request_no int, admitted boolean, short_spent bigint, batch_spent bigint",
     )
-    per_source = per_item.groupBy("source_id").agg(F.sum("short_spent").alias("batch_spent"))
-    estimate = ledger.groupBy("source_id", "short_id").agg(F.max("estimate_usd").alias("next_estimate"))
-    zero = F.lit(0.0)
-    joined = estimate.join(per_item, ["source_id", "short_id"], "left").join(per_source, "source_id", "left").withColumns({
-        "generations": F.coalesce("generations", F.lit(0).cast("bigint")), "short_spent": F.coalesce("short_spent", zero),
-        "batch_spent": F.coalesce("batch_spent", zero),
-    })
-    fits = (
-        (F.col("generations") < count_cap) & (F.round(F.col("short_spent") + F.col("next_estimate"), 6) <= short_cap)
-        & (F.round(F.col("batch_spent") + F.col("next_estimate"), 6) <= batch_cap)
+    return told.select(
+        "source_id", "short_id", "request_no", "admitted", F.when(~F.col("admitted"), "OVER_BUDGET").alias("code"),
+        (F.col("short_spent") / 1_000_000).alias("short_spent"), (F.col("batch_spent") / 1_000_000).alias("batch_spent"),
     )
-    return joined.withColumn("admitted", fits)
 
 
 def quality_report(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
