@@ -57,7 +57,8 @@ def compare(spark, queries, oracles, name, sf_dir):
         return "both empty"
     wrong = [(a, b) for a, b in zip(left[1], right[1]) if repr(a) != repr(b)]
     if wrong:
-        only = [a for a in left[1] if a not in set(right[1])][:2]
-        other = [b for b in right[1] if b not in set(left[1])][:2]
+        ours, theirs = set(left[1]), set(right[1])
+        only = [a for a in left[1] if a not in theirs][:2]
+        other = [b for b in right[1] if b not in ours][:2]
         return f"{len(wrong)} of {len(rows)} differ; spark {only} | sql {other}"
     return ""
