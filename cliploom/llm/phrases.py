@@ -35,8 +35,8 @@ class Mining:
     #: Words of a slice of the relation; each carries the next words too, so phrases across its end are seen.
     slice_words: int = 1 << 15
     #: Bytes of text that are taken apart at once, and occurrences that are counted at once.
-    block_bytes: int = 1 << 22
-    block_rows: int = 1 << 22
+    block_bytes: int = 1 << 19
+    block_rows: int = 1 << 18
     #: Bits of the filter that tasks hold of the frequent phrases: its size never grows, and a false hit is counted
     #: and then found infrequent, so it costs time only.
     filter_bits: int = 1 << 26
@@ -120,16 +120,22 @@ def occurrences(raw: np.ndarray, offsets: np.ndarray, langs: np.ndarray, hashing
     )
 
 
-def _taken_apart(batch: pa.RecordBatch, hashing: Hashing, how: Mining) -> tuple[list[str], np.ndarray, Occurrences]:
-    """Languages, lowered bytes and occurrences of a batch of (lang, text)."""
+def _taken_apart(batch: pa.RecordBatch, hashing: Hashing, how: Mining) -> Iterator[tuple[list[str], np.ndarray, Occurrences]]:
+    """Languages, lowered bytes and occurrences of a batch of (lang, text), some texts at a time: whole texts, up to
+    ``block_bytes`` of them unless one alone is longer."""
     text, lang = batch.column(1), batch.column(0).dictionary_encode()
     text = text.cast(pa.large_string())
     _, place, data = text.buffers()
     offsets = np.frombuffer(place, np.int64)[text.offset : text.offset + len(text) + 1]
-    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.empty(0, np.uint8)
-    lowered = _LOWER[raw]
-    found = occurrences(lowered, offsets - offsets[0], lang.indices.to_numpy(zero_copy_only=False).astype(np.int64), hashing, how.block_bytes)
-    return lang.dictionary.to_pylist(), lowered, found
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    codes, at = lang.indices.to_numpy(zero_copy_only=False).astype(np.int64), 0
+    while at < len(text):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + how.block_bytes, "right")) - 1)
+        lowered = _LOWER[raw[offsets[at] : offsets[to]]]
+        found = occurrences(lowered, offsets[at : to + 1] - offsets[at], codes[at:to], hashing, how.block_bytes)
+        yield lang.dictionary.to_pylist(), lowered, found
+        at = to
+    pa.default_memory_pool().release_unused()  # workers live on beside the JVM
 
 
 def _grouped(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -170,8 +176,7 @@ def word_counts(texts: DataFrame, how: Mining, seed: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashing = Hashing(seed)
-        for batch in batches:
-            langs, raw, found = _taken_apart(batch, hashing, how)
+        for langs, raw, found in (part for batch in batches for part in _taken_apart(batch, hashing, how)):
             rows, counts = _grouped([found.lang.astype(np.uint64), found.name, found.check])
             whole = raw.tobytes()
             words = [whole[a:b].decode("utf-8", "replace") for a, b in zip(found.start[rows].tolist(), found.end[rows].tolist())]
@@ -221,17 +226,17 @@ class Filter:
         return hit
 
 
-_SLICE = "lang string, w array<bigint>, step array<int>, starts array<boolean>, own int"
+_SLICE = "lang string, w array<bigint>, follows array<boolean>, starts array<boolean>, own int"
 
 
 def _slice_batch(lang: str, w: np.ndarray, place: np.ndarray, starts: np.ndarray, own: int) -> pa.RecordBatch:
     """One row of the relation."""
     one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-    step = np.minimum(np.diff(place, prepend=place[:1]), 2).astype(np.int32)  # more than one: not next to each other
+    follows = np.diff(place, prepend=place[:1]) == 1  # all that matters of the places: which words stand next to each other
     return pa.RecordBatch.from_arrays([
-        pa.array([lang], pa.string()), one(pa.array(w.view(np.int64))), one(pa.array(step)), one(pa.array(starts)),
+        pa.array([lang], pa.string()), one(pa.array(w.view(np.int64))), one(pa.array(follows)), one(pa.array(starts)),
         pa.array([own], pa.int32()),
-    ], names=["lang", "w", "step", "starts", "own"])
+    ], names=["lang", "w", "follows", "starts", "own"])
 
 
 def _next_to(place: np.ndarray) -> np.ndarray:
@@ -252,8 +257,7 @@ def first_relation(texts: DataFrame, frequent, how: Mining, seed: int) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashing, table = Hashing(seed), frequent.value
-        for batch in batches:
-            langs, _, found = _taken_apart(batch, hashing, how)
+        for langs, _, found in (part for batch in batches for part in _taken_apart(batch, hashing, how)):
             alive = Filter.hits(table, _lang_names(langs)[found.lang], [found.name])
             lang, place, name = found.lang[alive], found.place[alive], found.name[alive]
             order = np.argsort(lang, kind="stable")
@@ -274,8 +278,9 @@ def _slices(batch: pa.RecordBatch):
     """Rows of the relation as arrays."""
     labels, own = batch.column(0).to_pylist(), batch.column(4).to_pylist()
     for i, lang in enumerate(labels):
-        w, step, starts = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (1, 2, 3))
-        yield lang, w.view(np.uint64), np.cumsum(step.astype(np.int64)), starts.astype(bool), own[i]
+        w, follows, starts = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (1, 2, 3))
+        yield lang, w.view(np.uint64), np.cumsum(np.where(follows.astype(bool), 1, 2)), starts.astype(bool), own[i]
+    pa.default_memory_pool().release_unused()
 
 
 def next_relation(relation: DataFrame, frequent, size: int) -> DataFrame:
