@@ -36,7 +36,9 @@ class Sketching:
     seed: int = 6
     #: Pairs whose estimate lies this far below the limit are let go: five standard errors of the estimate.
     margin: float = 0.10
-    #: Rounds that link each bucket to a chosen member before what is still apart is compared.
+    #: Bands that are looked at together: each portion meets only what the portions before left apart.
+    portions: tuple[tuple[int, int], ...] = ((0, 6), (6, 56))
+    #: 0 leaves out the pairing with a named member, so that blocks have to find everything.
     rounds: int = 1
     #: Members of a bucket (registers only) and of a cluster (with texts) in a block; a task holds two blocks.
     block: int = 2048
@@ -110,10 +112,12 @@ def sketched(text: Column, how: Sketching) -> Column:
     return F.pandas_udf(run, _SKETCH)(text)
 
 
-def band_keys(sketch: Column, how: Sketching) -> Column:
-    """Array of one 64-bit key for each band of a sketch."""
+def band_keys(sketch: Column, how: Sketching, low: int, high: int) -> Column:
+    """Array of (band, 64-bit key) for the bands ``low`` to ``high`` of a sketch."""
     width = 2 * how.rows
-    return F.array(*[F.xxhash64(F.lit(k), F.substring(sketch, k * width + 1, width)) for k in range(how.bands)])
+    return F.array(*[
+        F.struct(F.lit(k).alias("band"), F.xxhash64(F.lit(k), F.substring(sketch, k * width + 1, width)).alias("key")) for k in range(low, high)
+    ])
 
 
 def _likely(how: Sketching):
@@ -254,68 +258,91 @@ def _blocks(members: DataFrame, groups: DataFrame, key: str) -> DataFrame:
     return dealt.withColumn("pair", F.explode(others)).select(*members.columns, "block", "pair.left", "pair.right")
 
 
+def _named(labels: DataFrame | None, rows: DataFrame) -> DataFrame:
+    """``rows`` (rep, ...) with the component they are known to belong to; ``labels`` holds those that have left their own."""
+    if labels is None:
+        return rows.withColumn("component", F.col("rep"))
+    return rows.join(measured(labels), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+
+def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """``labels`` (rep, component) after the components in ``links`` (a, b) have joined."""
+    if links.isEmpty():
+        return labels
+    moved = stored(components(links).filter("node <> component").select("node", F.col("component").alias("into")), "moved")
+    fresh = moved.select(F.col("node").alias("rep"), F.col("into").alias("component"))
+    if labels is None:
+        return fresh
+    old = labels.join(measured(moved), F.col("component") == F.col("node"), "left").select(
+        "rep", F.coalesce("into", "component").alias("component")
+    )
+    return stored(old.unionByName(fresh), "labels")
+
+
+def _of(table: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """Rows of ``table`` whose rep is in ``ids``, written once."""
+    return stored(table.join(measured(stored(ids.distinct(), "ids")), "rep", "left_semi"), name)
+
+
 def set_components(sets: DataFrame, texts: DataFrame, how: Sketching) -> DataFrame:
-    """Components of distinct sets under the link rule: (node, component) for every set that links with another.
+    """Components of distinct sets under the link rule: (rep, component) for every set whose component is another's.
 
     ``sets`` has (rep, n_shingles, sketch) with one row per distinct set, ``texts`` (rep, text) of at least those.
-    1. Band keys meet in Spark; buckets with one member go. 2. In each round a bucket names a member by a hash, the
-    others are paired with it, likely pairs are verified, and components grow; most buckets are one component then.
-    3. Members of buckets that still hold several components are compared by registers, block against block inside tasks;
-    components that a likely pair would join form a cluster. 4. A cluster's members of different components are compared on
-    their full sets, again block against block. No bucket is capped and none is written out as pairs: tasks hand on
-    forests, fewer rows than members."""
-    keyed = sets.select("rep", "n_shingles", "sketch", F.posexplode(band_keys(F.col("sketch"), how)).alias("band", "key"))
-    crowded = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    members = stored(keyed.select("rep", "band", "key").join(crowded, "key"), "members")
-    met = stored(sets.join(members.select("rep").distinct(), "rep"), "met")
-    met_texts = stored(texts.join(measured(met.select("rep")), "rep").select("rep", "text"), "texts")
-    links, found = [], None
+    1. The bands are taken in portions. A bucket whose members are known to be in different components names the member
+    with the least hash; the others are paired with it, likely pairs are verified, and components grow: copies of one text
+    settle in the first few bands and never meet again. 2. Members of buckets that still hold several components are compared
+    by registers, block against block inside tasks; components that a likely pair would join form a cluster. 3. Those members of
+    a cluster are compared on their full sets, again block against block. No bucket is capped and none is written out as pairs:
+    tasks hand on forests, fewer rows than members."""
+    labels, rest = None, None
     likely = _likely(how)
-
-    def grown() -> DataFrame:
-        edges = links[0]
-        for more in links[1:]:
-            edges = edges.unionByName(more)
-        return stored(components(edges), "components")
-
-    def known(df: DataFrame) -> DataFrame:
-        if found is None:
-            return df.withColumn("component", F.col("rep"))
-        return df.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn(
-            "component", F.coalesce("component", "rep")
-        )
-
-    for turn in range(how.rounds):
-        state = known(members)
-        chosen = state.groupBy("key").agg(
-            F.min(F.struct(F.xxhash64("rep", "key", F.lit(turn)), "rep", "component")).alias("to"),
+    for turn, (low, high) in enumerate(how.portions):
+        keyed = _named(labels, sets.select("rep", F.explode(band_keys(F.col("sketch"), how, low, high)).alias("b")).select("rep", "b.*"))
+        chosen = stored(keyed.groupBy("key").agg(
+            F.min(F.struct(F.xxhash64("rep", F.lit(turn)), "rep", "component")).alias("to"),
             F.min("component").alias("low"), F.max("component").alias("high"),
-        ).filter("low <> high").select("key", F.col("to.rep").alias("to"), F.col("to.component").alias("to_component"))
-        pairs = state.join(chosen, "key").filter("component <> to_component").select(
+        ).filter("low <> high").select("key", F.col("to.rep").alias("to"), F.col("to.component").alias("to_component")), "chosen")
+        met = stored(keyed.join(measured(chosen), "key"), "met")
+        rest = met.select("rep", "band", "key") if rest is None else rest.unionByName(met.select("rep", "band", "key"))
+        if not how.rounds:
+            continue
+        pairs = stored(met.filter("component <> to_component").groupBy(
             F.least("rep", "to").alias("a"), F.greatest("rep", "to").alias("b")
-        ).distinct()
-        side = lambda name: met.select(
+        ).agg(F.min("component").alias("part"), F.min("to_component").alias("to_part")), "pairs")
+        parts = pairs.select("a", "b", "part", "to_part")
+        held = _of(sets.select("rep", "n_shingles", "sketch"), pairs.select(F.explode(F.array("a", "b")).alias("rep")), "held")
+        side = lambda name: held.select(
             F.col("rep").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("sketch").alias(f"sketch_{name}")
         )
-        able = pairs.join(side("a"), "a").join(side("b"), "b").filter(likely("sketch_a", "sketch_b", "n_a", "n_b"))
-        links.append(stored(verified(able.select("a", "b"), met_texts, how), "links"))
-        found = grown()
-
-    state = stored(known(members), "state")
-    spans = state.groupBy("key").agg(
+        able = parts.join(side("a"), "a").join(side("b"), "b").filter(likely("sketch_a", "sketch_b", "n_a", "n_b"))
+        able = stored(able.select("a", "b", "part", "to_part"), "able")
+        read = _of(texts.select("rep", "text"), able.select(F.explode(F.array("a", "b")).alias("rep")), "texts")
+        sure = stored(verified(able.select("a", "b"), read, how).join(able, ["a", "b"]).select(
+            F.col("part").alias("a"), F.col("to_part").alias("b")).distinct(), "links")
+        labels = _relabelled(labels, sure)
+
+    state = stored(_named(labels, rest), "state")
+    spans = stored(state.groupBy("key").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")
-    ).filter("low <> high").select("key", F.ceil(F.col("n") / how.block).cast("int").alias("blocks"))
-    facing = _blocks(state.select("rep", "component", "band", "key"), spans, "key").join(
-        met.select("rep", "n_shingles", "sketch"), "rep"
-    )
+    ).filter("low <> high").select("key", F.ceil(F.col("n") / how.block).cast("int").alias("blocks")), "spans")
+    if spans.isEmpty():
+        return labels if labels is not None else state.select("rep", "component").limit(0)
+    open_ = stored(state.join(measured(spans.select("key")), "key", "left_semi"), "open")
+    held = _of(sets.select("rep", "n_shingles", "sketch"), open_.select("rep"), "held")
+    facing = _blocks(open_.select("rep", "component", "band", "key"), spans, "key").join(held, "rep")
     unsure = stored(facing.groupBy("key", "left", "right").applyInPandas(_apart(how), "a long, b long").distinct(), "unsure")
-    clusters = stored(components(unsure), "clusters").select(F.col("node").alias("component"), F.col("component").alias("cluster"))
-    inside = stored(known(met).join(clusters, "component"), "inside")
-    sizes = inside.groupBy("cluster").agg(F.ceil(F.count("*") / how.text_block).cast("int").alias("blocks"))
-    shown = _blocks(inside.join(met_texts, "rep"), sizes, "cluster")
-    late = shown.groupBy("cluster", "left", "right").applyInPandas(_joined(how), "a long, b long")
-    links.append(stored(verified(stored(late, "late"), met_texts, how), "links"))
-    return grown()
+    clusters = stored(components(unsure).select(F.col("node").alias("component"), F.col("component").alias("cluster")), "clusters")
+    inside = stored(open_.select("rep", "component").distinct().join(measured(clusters), "component"), "inside")
+    sizes = stored(inside.groupBy("cluster").agg(F.ceil(F.count("*") / how.text_block).cast("int").alias("blocks")), "sizes")
+    read = _of(texts.select("rep", "text"), inside.select("rep"), "texts")
+    shown = _blocks(inside, sizes, "cluster").join(held, "rep").join(read, "rep")
+    late = stored(shown.groupBy("cluster", "left", "right").applyInPandas(_joined(how), "a long, b long"), "late")
+    known = inside.select("rep", "component")
+    sure = verified(late, read, how)
+    for name in ("a", "b"):
+        sure = sure.join(known.select(F.col("rep").alias(name), F.col("component").alias(f"part_{name}")), name)
+    labels = _relabelled(labels, stored(sure.select(F.col("part_a").alias("a"), F.col("part_b").alias("b")).distinct(), "links"))
+    return labels if labels is not None else state.select("rep", "component").limit(0)
 
 
 def near_duplicates(docs: DataFrame, how: Sketching = Sketching()) -> DataFrame:
@@ -340,7 +367,7 @@ def grouped(docs: DataFrame, sketch_of_text: Column, how: Sketching) -> DataFram
     )
     texts = docs.select(F.col("doc_id").alias("rep"), "text")
     found = set_components(classes.select("rep", "n_shingles", "sketch"), texts, how)
-    named = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
+    named = classes.join(found, "rep", "left").select(
         "set_key", F.coalesce("component", "rep").alias("class_component")
     )
     joined = table.join(named, "set_key", "left")
