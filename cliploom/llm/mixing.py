@@ -111,26 +111,27 @@ def _ends(text: str, count: int):
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed rows: each row as often as the mix takes it whole, and the row at a source's cut shortened to the words
-    still missing. Columns stay as they are, ``n_chars`` follows the text. Rows that share id, source and size share
-    what they take evenly."""
+    still missing. Columns stay as they are, whatever their names, ``n_chars`` follows the text. Rows that share id, source and
+    size share what they take evenly; null sources and ids are values of their own, null and wordless texts are not
+    taken, and no rows give no rows."""
     plan = mix_plan(docs, **options).groupBy("doc_id", "source", "size").agg(
-        F.floor(F.sum("taken") / F.count("*")).cast("long").alias("_taken")
-    )
-    taken = measured(stored(plan.filter("_taken > 0").select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "_taken"
-    ), "taken"))
-    joined = docs.withColumn("_words", word_count(F.col("text"))).join(
-        taken, F.expr("doc_id <=> _id and source <=> _source and _words = _size")
+        F.floor(F.sum("taken") / F.count("*")).cast("long").alias("taken")
     )
+    taken = measured(stored(plan.filter("taken > 0"), "taken"))
+    # the input row travels as one struct, so no name of its columns can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), word_count(F.col("text")).alias("words"))
+    joined = rows.join(taken, F.expr("row.doc_id <=> doc_id and row.source <=> source and words = size"))
     turns = F.concat(
-        F.array_repeat(F.lit(None).cast("long"), F.floor(F.col("_taken") / F.col("_size")).cast("int")),
-        F.when(F.col("_taken") % F.col("_size") > 0, F.array(F.col("_taken") % F.col("_size"))).otherwise(
+        F.array_repeat(F.lit(None).cast("long"), F.floor(F.col("taken") / F.col("size")).cast("int")),
+        F.when(F.col("taken") % F.col("size") > 0, F.array(F.col("taken") % F.col("size"))).otherwise(
             F.array().cast("array<bigint>")
         ),
     )
-    spread = joined.withColumn("_cut", F.explode(turns))
-    whole = spread.filter("_cut is null").select(*docs.columns)
-    part = spread.filter("_cut is not null").withColumn("text", first_words("text", "_cut"))
+    spread = joined.select("row", F.explode(turns).alias("cut"))
+    as_were = {c: F.col("row").getField(c) for c in docs.columns}
+    whole = spread.filter("cut is null").select(*[v.alias(c) for c, v in as_were.items()])
+    part = spread.filter("cut is not null").withColumn("short", first_words(F.col("row.text"), F.col("cut")))
+    changed = as_were | {"text": F.col("short")}
     if "n_chars" in docs.columns:
-        part = part.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return whole.unionByName(part.select(*docs.columns))
+        changed["n_chars"] = F.length("short").cast(docs.schema["n_chars"].dataType)
+    return whole.unionByName(part.select(*[v.alias(c) for c, v in changed.items()]))

@@ -75,7 +75,8 @@ FROM placed
 def op7_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the lines that stand in over a tenth of their source's documents."""
     docs = _table(spark, sf_dir, "documents")
-    return site_lines.drop_site_boilerplate(docs).select("doc_id", "source", "text", "n_lines", "n_dropped")
+    cleaned = site_lines.drop_site_boilerplate(docs.select("doc_id", "source", "text"), counts=("n_lines", "n_dropped"))
+    return cleaned.select("doc_id", "source", "text", "n_lines", "n_dropped")
 
 
 ORACLES["op7_site_lines"] = r"""

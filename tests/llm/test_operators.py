@@ -290,7 +290,7 @@ def test_components_of_paths_and_stars(spark):
 def test_site_lines(spark):
     page = [("s", f"Menu \nown line {i}\n\n menu") for i in range(9)] + [("s", None), (None, "Menu\nx"), ("t", "Menu"), ("t", ""), ("s", "Menu")]
     docs = spark.createDataFrame([(i, t, s, 1) for i, (s, t) in enumerate(page)], "doc_id long, text string, source string, lines int")
-    got = {r["doc_id"]: r for r in rows(site_lines.drop_site_boilerplate(docs))}
+    got = {r["doc_id"]: r for r in rows(site_lines.drop_site_boilerplate(docs, counts=("n_lines", "n_dropped")))}
     assert got[0]["text"] == "own line 0\n" and got[0]["n_lines"] == 4 and got[0]["n_dropped"] == 2
     assert got[9]["text"] is None and got[10]["text"] == "Menu\nx" and got[11]["text"] == "Menu" and got[12]["text"] == ""
     assert got[13]["text"] == ""
@@ -298,6 +298,28 @@ def test_site_lines(spark):
     assert site_lines.drop_site_boilerplate(awkward(spark)).count() == awkward(spark).count()
 
 
+def test_site_lines_keep_columns_of_any_name(spark):
+    names = ["site", "line", "lines", "row", "all", "gone", "kept", "body", "pages", "hits", "n_lines", "n_dropped", "_site", "a.b"]
+    page = [(i, f"Menu\nown {i}", "s", 9, *range(len(names))) for i in range(9)]
+    schema = "doc_id long, text string, source string, n_chars int, " + ", ".join(f"`{n}` int" for n in names)
+    docs = spark.createDataFrame(page, schema)
+    got = site_lines.drop_site_boilerplate(docs)
+    assert got.columns == docs.columns
+    want = [(i, f"own {i}", "s", 5, *range(len(names))) for i in range(9)]
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    names = ["row", "words", "taken", "size", "cut", "short", "_id", "_source", "_size", "_taken", "_words", "_cut", "key", "target", "a.b"]
+    page = [(i, "one two three " * (i + 1), "s", 9, *range(len(names))) for i in range(9)]
+    schema = "doc_id long, text string, source string, n_chars int, " + ", ".join(f"`{n}` int" for n in names)
+    docs = spark.createDataFrame(page, schema)
+    got = mixing.mix(docs)
+    assert got.columns == docs.columns
+    assert {tuple(r)[4:] for r in got.collect()} == {tuple(range(len(names)))}
+    assert sum(len(WORD.findall(r["text"])) for r in got.collect()) == int(1.5 * 3 * 45)
+
+
 def test_site_lines_run_no_python(spark):
     plan = site_lines.drop_site_boilerplate(table(spark, "documents"))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)

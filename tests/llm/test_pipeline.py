@@ -130,4 +130,4 @@ def test_empty_documents(spark):
 
 def test_names_of_queries():
     names = [q for q in entry.queries() if re.match(r"op\d+_", q)]
-    assert sorted(int(q[2:].split("_")[0]) for q in names) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in names) == list(range(1, 14))
