@@ -40,6 +40,9 @@ class Mining:
     #: Bits of the filter that tasks hold of the frequent phrases: its size never grows, and a false hit is counted
     #: and then found infrequent, so it costs time only.
     filter_bits: int = 1 << 26
+    #: Cells that occurrences are counted in before their phrases are: a phrase whose cell stays under ``least`` is infrequent.
+    #: Also of fixed size; two phrases in one cell cost time only.
+    cells: int = 1 << 22
 
 
 class Hashing:
@@ -301,8 +304,66 @@ def next_relation(relation: DataFrame, frequent, size: int) -> DataFrame:
     return relation.mapInArrow(run, _SLICE)
 
 
-def phrase_counts(relation: DataFrame, size: int, how: Mining) -> DataFrame:
-    """(lang, ws, n): phrases of ``size`` words that the relation marks, at least ``how.least`` times."""
+_SEGMENT = 1 << 12
+
+
+def _cells(lang: str, w: np.ndarray, found: np.ndarray, size: int, cells: int) -> np.ndarray:
+    """Cells of the phrases of ``size`` words that start at ``found``."""
+    name = _tuple_names([np.full(len(found), _lang_names([lang])[0]), *[w[found + k] for k in range(size)]])
+    return (mixed(name ^ np.uint64(0xA5A5A5A5A5A5A5A5)) % np.uint64(cells)).astype(np.int64)
+
+
+def crowded_cells(relation: DataFrame, size: int, how: Mining):
+    """A broadcast table of the cells that at least ``how.least`` marked occurrences fall into.
+
+    A task counts into its own cells and hands on the segments it used; segments are added up in Spark, and one flag per
+    cell reaches the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, any_ = np.zeros(how.cells, np.int32), False
+        for batch in batches:
+            for lang, w, _, starts, own in _slices(batch):
+                found = np.flatnonzero(starts[:own])
+                if len(found):
+                    any_ = True
+                    at, n = np.unique(_cells(lang, w, found, size, how.cells), return_counts=True)
+                    held[at] = np.minimum(held[at] + n, how.least)
+        if any_:
+            parts = held.reshape(-1, min(_SEGMENT, how.cells))
+            used = np.flatnonzero(parts.any(1))
+            for at in range(0, len(used), 64):
+                some = used[at : at + 64]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some.astype(np.int32)), pa.array([parts[k].astype("<i4").tobytes() for k in some], pa.binary())], names=["segment", "counts"]
+                )
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, None
+        flags = lambda: pa.RecordBatch.from_arrays(
+            [pa.array([at], pa.int32()), pa.array([np.packbits(total >= how.least).tobytes()], pa.binary())], names=["segment", "crowded"])
+        for batch in batches:
+            for segment, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                part = np.frombuffer(counts.as_buffer(), "<i4").astype(np.int64)
+                if segment == at:
+                    total += part
+                    continue
+                if at is not None:
+                    yield flags()
+                at, total = segment, part
+        if at is not None:
+            yield flags()
+
+    parts = relation.mapInArrow(count, "segment int, counts binary").repartition("segment").sortWithinPartitions("segment")
+    table = np.zeros((how.cells // min(_SEGMENT, how.cells), min(_SEGMENT, how.cells) // 8), np.uint8)
+    for row in parts.mapInArrow(add, "segment int, crowded binary").toArrow().to_pylist():  # one row per segment: fixed
+        table[row["segment"]] = np.frombuffer(row["crowded"], np.uint8)
+    return relation.sparkSession.sparkContext.broadcast(table.reshape(-1))
+
+
+def phrase_counts(relation: DataFrame, size: int, how: Mining, crowded) -> DataFrame:
+    """(lang, ws, n): phrases of ``size`` words that the relation marks, at least ``how.least`` times.
+
+    Occurrences whose cell is not ``crowded`` cannot be of such a phrase and are not sent."""
     names = [f"w{k}" for k in range(size)]
 
     def flushed(labels: list[str], held: list[list[np.ndarray]]) -> pa.RecordBatch:
@@ -315,12 +376,14 @@ def phrase_counts(relation: DataFrame, size: int, how: Mining) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels: list[str] = []
-        held, rows = [], 0
+        held, rows, table = [], 0, crowded.value
         for batch in batches:
             for lang, w, _, starts, own in _slices(batch):
                 if lang not in labels:
                     labels.append(lang)
                 found = np.flatnonzero(starts[:own])
+                cell = _cells(lang, w, found, size, how.cells)
+                found = found[(table[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 != 0]
                 held.append([np.full(len(found), labels.index(lang), np.uint64), *[w[found + k] for k in range(size)]])
                 rows += len(found)
                 if rows >= how.block_rows:
@@ -359,7 +422,9 @@ def frequent_phrases(docs: DataFrame, how: Mining) -> tuple[DataFrame, DataFrame
         found = first_relation(texts, held, how, seed) if size == 1 else next_relation(relation, held, size)
         relation = stored(found, f"occurrences-{size + 1}")
         held.unpersist()
-        kept.append(stored(phrase_counts(relation, size + 1, how), f"phrases-{size + 1}"))
+        crowded = crowded_cells(relation, size + 1, how)
+        kept.append(stored(phrase_counts(relation, size + 1, how, crowded), f"phrases-{size + 1}"))
+        crowded.unpersist()
     out = kept[0]
     for more in kept[1:]:
         out = out.unionByName(more)

@@ -124,7 +124,7 @@ def spark_phrases(docs, how):
     return sorted(tuple(r) for r in phrases.collocations(docs, how).select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect())
 
 
-SMALL = phrases.Mining(least=3, top=40, slice_words=7, block_bytes=64, block_rows=50, filter_bits=1 << 12)
+SMALL = phrases.Mining(least=3, top=40, slice_words=7, block_bytes=64, block_rows=50, filter_bits=1 << 12, cells=1 << 8)
 
 
 def test_phrases_match_plain(spark):
