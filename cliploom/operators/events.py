@@ -54,11 +54,21 @@ def fallback_events(sources: DataFrame, evidence: DataFrame) -> DataFrame:
     )
 
 
-#: Types an event can have, and the gaps a profile can allow: together the states an open cluster can be in.
+#: Types of the events of ``event_evidence``, and the gaps a profile can allow: together the states an open cluster can be in.
 EVENT_TYPES = ("SCENE_TRANSITION", "AUDIO_REACTION", "ACTIVITY_BURST")
 _GAPS = tuple(sorted({gap for _, _, _, gap, _ in config.CLUSTERING_PROFILES}))
 #: Events of a chunk, and time buckets of a span: no array is longer than the chunk, its bucket's chunks or a span.
 CHUNK, SPAN = 64, 512
+#: Most types that evidence of other origin may have.
+MOST_TYPES = 64
+
+
+def _types_of(evidence: DataFrame) -> tuple[str, ...]:
+    """The event types that occur: labels of a vocabulary, so at most ``MOST_TYPES``."""
+    found = [r[0] for r in evidence.select("event_type").distinct().limit(MOST_TYPES + 1).collect()]
+    if len(found) > MOST_TYPES:
+        raise ValueError(f"more than {MOST_TYPES} event types")
+    return tuple(sorted(v for v in found if v is not None))
 
 
 def _open_state(kind: Column, gap: Column) -> Column:
@@ -66,10 +76,10 @@ def _open_state(kind: Column, gap: Column) -> Column:
     return (kind * len(_GAPS) + gap + 1).cast("int")
 
 
-def _advance(state: Column, e: Column) -> tuple[Column, Column]:
+def _advance(state: Column, e: Column, types: tuple[str, ...]) -> tuple[Column, Column]:
     """The state after event ``e``, and whether e joined the open cluster."""
     kind, gap = F.floor((state - 1) / len(_GAPS)).cast("int"), F.pmod(state - 1, F.lit(len(_GAPS)))
-    active = [k for k, name in enumerate(EVENT_TYPES) if "ACTIVITY" in name]
+    active = [k for k, name in enumerate(types) if "ACTIVITY" in name]
     agree = (kind == e["kind_no"]) | kind.isin(active) | e["kind_no"].isin(active)
     wider = F.greatest(gap, e["gap_no"])
     allowed = F.element_at(F.array(*[F.lit(g) for g in _GAPS]), wider + 1)
@@ -90,10 +100,10 @@ def _after(move: Column, summary: Column) -> Column:
     return _move(then["to"], move["n"] + then["n"])
 
 
-def _composed(df: DataFrame, by: list[str], order: str) -> DataFrame:
+def _composed(df: DataFrame, by: list[str], order: str, types: tuple[str, ...]) -> DataFrame:
     """One summary for each group: its rows' summaries one after the other. Keeps the rows' own, in order, as ``inner``."""
     listed = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(order, "summary"))).alias("inner"))
-    same = F.transform(F.sequence(F.lit(0), F.lit(len(EVENT_TYPES) * len(_GAPS))), lambda k: _move(k, F.lit(0)))
+    same = F.transform(F.sequence(F.lit(0), F.lit(len(types) * len(_GAPS))), lambda k: _move(k, F.lit(0)))
     return listed.withColumn("summary", F.aggregate("inner", same, lambda acc, row: F.transform(acc, lambda m: _after(m, row["summary"]))))
 
 
@@ -109,21 +119,23 @@ def _entered(df: DataFrame, order: str, enter: Column) -> DataFrame:
     )
 
 
-def event_clusters(evidence: DataFrame, sources: DataFrame) -> DataFrame:
+def event_clusters(evidence: DataFrame, sources: DataFrame, types: tuple[str, ...] | None = None) -> DataFrame:
     """Chain each source's events into clusters.
 
     An event joins the open cluster when the types agree (or either is an ACTIVITY type) and it follows within the larger of
     the cluster's and its own gap. Evidence is point-like, so what an event needs to know of the past is the open cluster's type
     and gap: one of a few states. A chunk of events is summed up by the state and the number of clusters it leaves for each
     state it may be entered with; summaries compose from chunks to time buckets, spans and the source, the entering states come
-    back the same way, and each chunk numbers its own events. A source without any silence is spread like all others.
+    back the same way, and each chunk numbers its own events. A source without any silence is spread like all others. ``types``
+    are the event types to expect; without it they are read from the evidence.
     """
+    types = _types_of(evidence) if types is None else types
     profiled = evidence.join(sources.select("source_id", "game", "game_confidence"), "source_id").withColumn(
         "__p", clustering_profile("game", "event_type", F.least("game_confidence", "confidence"))
     )
     near = scans.neighbours(profiled, ["source_id"], ["t_ms", "signal_id"], ["t_ms"], series.SERIES_BUCKET)
     strength = weight_of("kind", config.STRENGTH_WEIGHTS) * F.greatest(F.lit(1.0), F.abs("value"))
-    known = F.array_position(F.array(*[F.lit(v) for v in EVENT_TYPES]), F.col("event_type"))
+    known = F.array_position(F.array(*[F.lit(v) for v in types]).cast("array<string>"), F.col("event_type"))
     item = F.struct(
         "t_ms", "signal_id", "event_type", "confidence", "kind", strength.alias("strength"),
         weight_of("kind", config.SCORE_WEIGHTS).alias("weight"),
@@ -140,20 +152,20 @@ def event_clusters(evidence: DataFrame, sources: DataFrame) -> DataFrame:
     chunks = rows.groupBy(*place).agg(F.array_sort(F.collect_list("e")).alias("items"))
 
     def passed(acc: Column, e: Column) -> Column:
-        state, joins = _advance(acc["to"], e)
+        state, joins = _advance(acc["to"], e, types)
         return _move(state, acc["n"] + F.when(joins, 0).otherwise(1))
 
-    states = F.sequence(F.lit(0), F.lit(len(EVENT_TYPES) * len(_GAPS)))
+    states = F.sequence(F.lit(0), F.lit(len(types) * len(_GAPS)))
     summed = chunks.withColumn("summary", F.transform(states, lambda k: F.aggregate("items", _move(k, F.lit(0)), passed)))
-    buckets = _composed(summed, ["source_id", "bucket"], "chunk").withColumn("span", F.floor(F.col("bucket") / SPAN))
-    spans = _composed(buckets.select("source_id", "span", "bucket", "summary"), ["source_id", "span"], "bucket")
-    whole = _composed(spans.select("source_id", "span", "summary"), ["source_id"], "span")
+    buckets = _composed(summed, ["source_id", "bucket"], "chunk", types).withColumn("span", F.floor(F.col("bucket") / SPAN))
+    spans = _composed(buckets.select("source_id", "span", "bucket", "summary"), ["source_id", "span"], "bucket", types)
+    whole = _composed(spans.select("source_id", "span", "summary"), ["source_id"], "span", types)
     of_spans = _entered(whole, "span", _move(F.lit(0), F.lit(0)))
     of_buckets = _entered(spans.join(of_spans, ["source_id", "span"]), "bucket", F.col("enter"))
     of_chunks = _entered(buckets.join(of_buckets, ["source_id", "span", "bucket"]).drop("span"), "chunk", F.col("enter"))
 
     def numbered(acc: Column, e: Column) -> Column:
-        state, joins = _advance(acc["to"], e)
+        state, joins = _advance(acc["to"], e, types)
         number = acc["n"] + F.when(joins, 0).otherwise(1)
         return F.struct(state.alias("to"), number.alias("n"), F.concat(acc["ids"], F.array(number)).alias("ids"))
 
@@ -178,7 +190,7 @@ def event_clusters(evidence: DataFrame, sources: DataFrame) -> DataFrame:
 
 def detected_events(signals: DataFrame, sources: DataFrame) -> DataFrame:
     evidence = event_evidence(signals)
-    return event_clusters(evidence, sources).unionByName(fallback_events(sources, evidence))
+    return event_clusters(evidence, sources, EVENT_TYPES).unionByName(fallback_events(sources, evidence))
 
 
 def event_score() -> Column:

@@ -230,7 +230,7 @@ CLUSTER_COLUMNS = ["source_id", "cluster_no", "event_type", "start_ms", "key_ms"
 
 @query("event_clusters", f"SELECT {', '.join(CLUSTER_COLUMNS)}, round(confidence, 9) AS confidence, array_to_string(kinds, ',') AS kinds FROM cluster_sql")
 def _(t):
-    out = e.event_clusters(e.event_evidence(t.signal), t.media_source)
+    out = e.event_clusters(e.event_evidence(t.signal), t.media_source, e.EVENT_TYPES)
     return out.select(*CLUSTER_COLUMNS, F.round("confidence", 9).alias("confidence"), F.array_join("kinds", ",").alias("kinds"))
 
 
