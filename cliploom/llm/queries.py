@@ -111,8 +111,8 @@ def op1_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every token sequence of the documents with its slot, shard and byte offset, in training order."""
-    return training_order.training_order(_table(spark, sf_dir, "documents"))
+    """Every token sequence of the documents with its slot, shard and byte offset, as read back from the shards."""
+    return training_order.materialised(_table(spark, sf_dir, "documents"))
 
 
 @_query

@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import functools
+import re
 import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cliploom.llm.secrets import TOKENIZERS, VOCABULARY, encoding
-from cliploom.llm.storage import as_text, partitions, stored
+from cliploom.llm.storage import as_text, partitions, shared_folder, stored
 from cliploom.llm.words import mixed
 
 SEQUENCE = 512
@@ -22,8 +24,14 @@ PAD = 50256
 SHARD_ROWS = 65536
 ROUNDS = 6
 KEY = 20_240_601
-CACHE = 300_000
-_HEAD = "<qii"  # document (smallest number: none), sequence in the document, tokens before padding
+#: Whole texts go to the tokenizer unless a stretch of blanks this long would exhaust its pattern search.
+BLANKS = 50_000
+#: Most tasks that write shards; beyond it a task writes several.
+WRITERS = 20_000
+_SLOT = ">q"
+_HEAD = ">qii"  # document (smallest number: none), sequence in the document, tokens before padding
+_NAME = 10  # digits of a shard's folder
+ROW = "slot long, shard long, offset long, doc_id long, seq int, n_tokens int, record binary"
 
 
 def feistel(index: np.ndarray, count: int, key: int) -> np.ndarray:
@@ -50,43 +58,47 @@ def feistel(index: np.ndarray, count: int, key: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Layout:
-    """Fixed stride of a record: head, ``sequence`` ids of two bytes, and one closing byte."""
+    """Fixed stride of a record: slot, head, ``sequence`` ids of two bytes, and one closing byte."""
 
     sequence: int = SEQUENCE
     shard_rows: int = SHARD_ROWS
 
     @property
     def stride(self) -> int:
-        return struct.calcsize(_HEAD) + 2 * self.sequence + 1
+        return struct.calcsize(_SLOT) + struct.calcsize(_HEAD) + 2 * self.sequence + 1
 
     def unpack(self, record: bytes) -> tuple[int | None, int, list[int]]:
         """(doc_id, sequence number, token ids) of a record, with or without its closing byte."""
-        doc_id, number, tokens = struct.unpack_from(_HEAD, record)
-        ids = np.frombuffer(record, "<u2", tokens, struct.calcsize(_HEAD))
+        at = struct.calcsize(_SLOT)
+        doc_id, number, tokens = struct.unpack_from(_HEAD, record, at)
+        ids = np.frombuffer(record, "<u2", tokens, at + struct.calcsize(_HEAD))
         return None if doc_id == -(2**63) else doc_id, number, ids.tolist()
 
+    def row(self, record: bytes) -> tuple:
+        """A stored record as a row of ``ROW``; everything but the bytes follows from its slot and head."""
+        slot, doc_id, seq, tokens = struct.unpack_from(_SLOT + _HEAD[1:], record)
+        shard, place = divmod(slot, self.shard_rows)
+        return (
+            slot, shard, place * self.stride, None if doc_id == -(2**63) else doc_id, seq, tokens,
+            bytearray(record[: self.stride - 1]),
+        )
+
 
 @functools.lru_cache(maxsize=2)
-def _words_of(path: str):
-    """A function that spells a text as two-byte ids; words already seen are looked up."""
+def _speller(path: str):
+    """A function that spells a text as two-byte ids.
+
+    The tokenizer takes the whole text; one with an endless stretch of blanks is split into words first, with the same
+    pattern, so the ids are the same."""
     import regex
 
     vocabulary = encoding(path)
-    split = regex.compile(vocabulary._pat_str)
-    seen: dict[str, bytes] = {}
+    split, endless = regex.compile(vocabulary._pat_str), re.compile(rf"\s{{{BLANKS}}}")
 
     def spell(text: str) -> bytes:
-        out = []
-        for word in split.findall(text):
-            ids = seen.get(word)
-            if ids is None:
-                ids = np.array(vocabulary.encode_ordinary(word), "<u2").tobytes()
-                if len(word) <= 64:
-                    if len(seen) >= CACHE:
-                        seen.clear()
-                    seen[word] = ids
-            out.append(ids)
-        return b"".join(out)
+        if len(text) < BLANKS or not endless.search(text):
+            return np.array(vocabulary.encode_ordinary(text), "<u2").tobytes()
+        return b"".join(np.array(vocabulary._encode_single_piece(w), "<u2").tobytes() for w in split.findall(text))
 
     return spell
 
@@ -95,7 +107,7 @@ def sequences(docs: DataFrame, layout: Layout, path: str) -> DataFrame:
     """Records of all documents with their task and place in it: part, place, doc_id, seq, n_tokens, record."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        spell, part, place = _words_of(path), TaskContext.get().partitionId(), 0
+        spell, part, place = _speller(path), TaskContext.get().partitionId(), 0
         pad, step = np.array([PAD], "<u2").tobytes() * layout.sequence, 2 * layout.sequence
         names = ["part", "place", "doc_id", "seq", "n_tokens", "record"]
         for batch in batches:
@@ -119,15 +131,8 @@ def sequences(docs: DataFrame, layout: Layout, path: str) -> DataFrame:
     return made.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def training_order(
-    docs: DataFrame, layout: Layout = Layout(), key: int = KEY, path: str = f"{TOKENIZERS}/{VOCABULARY}"
-) -> DataFrame:
-    """Every sequence of ``docs`` (doc_id, text) in training order: slot, shard, offset, doc_id, seq, n_tokens, record.
-
-    A document's tokens are cut into sequences of ``layout.sequence``; the last is padded. Null or empty texts have none.
-    Tokens are written once; a sequence's index is its place in that table (tasks in order, rows in order), and the
-    keyed permutation maps it to a gapless slot, so nothing but one count per task is gathered. Rows are ranged by shard,
-    where slots are dense, so no document or source can make a range hot. Repeated rows give repeated sequences."""
+def _slotted(docs: DataFrame, layout: Layout, key: int, path: str) -> tuple[DataFrame, int]:
+    """Every sequence with its slot, in no order, and their number."""
     spark = docs.sparkSession
     table = stored(sequences(docs, layout, path), "sequences")
     counts = table.groupBy("part").agg((F.max("place") + 1).alias("n"))  # one row per task
@@ -144,36 +149,81 @@ def training_order(
         return pd.Series(feistel(index.to_numpy(), count, key))
 
     placed = table.join(F.broadcast(starts.select("part", "start")), "part").withColumn("slot", slot(F.col("start") + F.col("place")))
-    numbered = placed.select(
-        "slot", F.floor(F.col("slot") / layout.shard_rows).cast("int").alias("shard"),
-        (F.col("slot") % layout.shard_rows * layout.stride).alias("offset"), "doc_id", "seq", "n_tokens", "record",
-    )
-    return numbered.repartitionByRange(partitions(spark), "slot").sortWithinPartitions("slot")
+    named = F.unhex(F.lpad(F.hex("slot"), 16, "0"))  # the slot's eight bytes
+    return placed.select(
+        "slot", F.floor(F.col("slot") / layout.shard_rows).alias("shard"),
+        (F.col("slot") % layout.shard_rows * layout.stride).alias("offset"), "doc_id", "seq", "n_tokens",
+        F.concat(named, "record").alias("record"),
+    ), count
 
 
-def write_shards(ordered: DataFrame, folder: str) -> None:
+def training_order(
+    docs: DataFrame, layout: Layout = Layout(), key: int = KEY, path: str = f"{TOKENIZERS}/{VOCABULARY}"
+) -> DataFrame:
+    """Every sequence of ``docs`` (doc_id, text) in training order: slot, shard, offset, doc_id, seq, n_tokens, record.
+
+    A document's tokens are cut into sequences of ``layout.sequence``; the last is padded. Null or empty texts have none.
+    Tokens are written once; a sequence's index is its place in that table (tasks in order, rows in order), and the
+    keyed permutation maps it to a gapless slot, so nothing but one count per task is gathered. Rows are ranged by slot,
+    where slots are dense, so no document or source can make a range hot. Repeated rows give repeated sequences; other
+    columns of ``docs`` are not read."""
+    rows, _ = _slotted(docs, layout, key, path)
+    return rows.repartitionByRange(partitions(docs.sparkSession), "slot").sortWithinPartitions("slot")
+
+
+def write_shards(rows: DataFrame, folder: str, shards: int | None = None) -> None:
     """One file per shard under ``folder``/shard=N, records at ``offset`` with the fixed stride.
 
-    Spark's own writer and commit protocol put the bytes there, so any file system works and lost tasks leave nothing
-    behind. A shard is one task's file: its size is the layout's, whatever the corpus holds."""
-    shards = (ordered.agg(F.max("shard")).first()[0] or 0) + 1
+    Slots are dense, so a shard's range needs no sample: its number names the task that writes it. Spark's own writer and
+    commit protocol put the bytes there (as text: the writer copies them as they are), so any file system works and lost
+    tasks leave nothing behind. A shard is one task's file: its size is the layout's, whatever the corpus holds.
+    ``shards`` is their number where it is known."""
+    if shards is None:
+        shards = (rows.agg(F.max("shard")).first()[0] or 0) + 1
+    tasks = max(1, min(shards, WRITERS))
     (
-        ordered.select("shard", "slot", F.col("record").cast("string").alias("value"))
-        .repartitionByRange(shards, "shard").sortWithinPartitions("shard", "slot").drop("slot")
+        rows.select("shard", "slot", F.col("record").cast("string").alias("value"))
+        .repartitionById(tasks, F.floor(F.col("shard") * tasks / max(shards, 1)).cast("int"))
+        .withColumn("shard", F.lpad(F.col("shard").cast("string"), _NAME, "0"))
+        .sortWithinPartitions("shard", "slot").drop("slot")
         .write.partitionBy("shard").option("lineSep", "\n").text(folder)
     )
 
 
-def read_shards(spark, folder: str, layout: Layout = Layout(), from_slot: int = 0) -> DataFrame:
-    """(slot, record) of the shards from a slot on: whole files before it are not opened."""
-    from_shard = from_slot // layout.shard_rows
-    files = spark.read.format("binaryFile").load(folder).withColumn(
-        "_shard", F.regexp_extract("path", r"shard=(\d+)", 1).cast("int")
-    ).filter(F.col("_shard") >= from_shard)
-    step = layout.stride
-    places = F.sequence(F.lit(0), F.floor(F.col("length") / step).cast("int") - 1)
-    rows = files.select("_shard", "content", F.explode(places).alias("_place"))
-    return rows.select(
-        (F.col("_shard").cast("long") * layout.shard_rows + F.col("_place")).alias("slot"),
-        F.expr(f"substring(content, _place * {step} + 1, {step - 1})").alias("record"),
-    ).filter(F.col("slot") >= from_slot)
+def _from_shard(first: int) -> str:
+    """A path pattern for the folders of the shards from ``first`` on: one alternative for each digit that may rise."""
+    name = str(first).zfill(_NAME)
+    rising = [
+        f"{name[:at]}[{int(digit) + 1}-9]{'?' * (_NAME - at - 1)}" for at, digit in enumerate(name) if digit != "9"
+    ]
+    return "shard={" + ",".join([name, *rising]) + "}"
+
+
+def read_shards(spark: SparkSession, folder: str, layout: Layout = Layout(), from_slot: int = 0) -> DataFrame:
+    """Rows of the shards from a slot on: slot, shard, offset, doc_id, seq, n_tokens, record.
+
+    Files before its shard are not opened. Spark's reader of fixed-length records splits files of any size at record
+    borders and streams them, so no file is ever one value; of the first shard the records before the slot are passed
+    over. A folder without such shards gives no rows."""
+    first = from_slot // layout.shard_rows
+    shard = F.regexp_extract("path", r"shard=(\d+)", 1).cast("long")
+    if spark.read.format("binaryFile").load(folder).select("path").filter(shard >= first).isEmpty():
+        return spark.createDataFrame([], ROW)
+    records = spark.sparkContext.binaryRecords(f"{folder}/{_from_shard(first)}", layout.stride)
+    return spark.createDataFrame(records.map(layout.row), ROW, verifySchema=False).filter(F.col("slot") >= from_slot)
+
+
+def materialised(
+    docs: DataFrame, layout: Layout = Layout(), key: int = KEY, path: str = f"{TOKENIZERS}/{VOCABULARY}",
+    folder: str | None = None,
+) -> DataFrame:
+    """``training_order`` written as shards to ``folder`` (a new one in the shared folder if none is named) and read from them.
+
+    Documents without tokens, or none at all, leave no shard and give no rows."""
+    spark = docs.sparkSession
+    folder = folder or f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
+    rows, count = _slotted(docs, layout, key, path)
+    if not count:
+        return spark.createDataFrame([], ROW)
+    write_shards(rows, folder, -(-count // layout.shard_rows))
+    return read_shards(spark, folder, layout)

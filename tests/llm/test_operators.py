@@ -1,5 +1,6 @@
 """Each operator against a plain version of itself, on awkward rows and on the smallest tables."""
 
+import fnmatch
 import hashlib
 import random
 import re
@@ -107,11 +108,30 @@ def test_training_order_round_trip(spark, tmp_path):
     files = sorted((tmp_path / "shards").glob("shard=*/part-*"))
     assert len(files) == -(-len(got) // 64)
     assert all(f.stat().st_size % layout.stride == 0 for f in files)
-    back = {r["slot"]: bytes(r["record"]) for r in rows(training_order.read_shards(spark, str(tmp_path / "shards"), layout))}
-    assert back == {r["slot"]: bytes(r["record"]) for r in got}
+    back = rows(training_order.read_shards(spark, str(tmp_path / "shards"), layout))
+    assert sorted(tuple(r) for r in back) == sorted(tuple(r) for r in got)
     tail = training_order.read_shards(spark, str(tmp_path / "shards"), layout, from_slot=70)
     assert sorted(r["slot"] for r in rows(tail)) == list(range(70, len(got)))
+    assert training_order.read_shards(spark, str(tmp_path / "shards"), layout, from_slot=10**7).count() == 0
     assert training_order.training_order(empty(spark)).count() == 0
+    made = training_order.materialised(docs, layout, folder=str(tmp_path / "made"))
+    assert sorted(tuple(r) for r in rows(made)) == sorted(tuple(r) for r in got)
+    assert training_order.materialised(empty(spark)).count() == 0
+
+
+def test_resuming_opens_no_earlier_shard():
+    for first in (0, 7, 9, 10, 199, 1234567890 % 10**9):
+        pattern = training_order._from_shard(first)[len("shard={") : -1].split(",")
+        for shard in {0, 1, 6, 7, 8, 9, 10, 99, 198, 199, 200, first, first + 1, max(first - 1, 0), 10 * first, 9999999999}:
+            assert any(fnmatch.fnmatch(str(shard).zfill(10), p) for p in pattern) == (shard >= first)
+
+
+def test_texts_of_blanks_are_spelled_alike():
+    path = f"{secrets.TOKENIZERS}/{secrets.VOCABULARY}"
+    spell, vocabulary = training_order._speller(path), secrets.encoding(path)
+    for text in ["a" + " " * 60_000 + "b c", "\n" * 70_000, "x" * 60_000, " y" * 60_000]:
+        assert spell(text) == np.array(vocabulary.encode_ordinary(text), "<u2").tobytes()
+    assert len(spell(" " * 3_000_000)) > 0
 
 
 # 3
