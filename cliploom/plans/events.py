@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from cliploom import config
 from cliploom.functions import evidence as ev
+from cliploom.functions import rules, table_functions
 from cliploom.functions.text import content_type, identify_game
 from cliploom.operators import events as e
 from cliploom.operators import series as s
@@ -389,3 +390,58 @@ def _(t):
     game = F.coalesce("override", "inferred")
     refreshed = F.when(F.col("override").isNull() & (F.col("source_id") % 100 >= 60), "Valorant").otherwise(game)
     return g.select("source_id", game.alias("game"), refreshed.alias("refreshed"))
+
+
+# rows a user adds to the published policies, for the three queries below
+OWN_POLICY = (2.5, "own-burst-v1", None, "burst", 1800, 0.9)
+OWN_GAME = (-1.0, r"\bfortnite\b", "Fortnite", "Own")
+OWN_DETECTOR = (-1.0, "own-v1", "fortnite", 0.7, ["AUDIO_PEAK"], "OWN_REACTION")
+
+
+@query("clustering_rule_rows", f"""
+SELECT signal_id, policy_id, gap_ms FROM (
+  SELECT signal_id, p.policy_id, p.gap_ms, row_number() OVER (PARTITION BY signal_id ORDER BY p.ord) AS place FROM evidence_sql e
+  JOIN (SELECT * FROM (VALUES {PROFILE_ROWS}, (2.5, 'own-burst-v1', '.*', 'burst', 1800, 0.9)) AS v(ord, policy_id, game_re, event_re, gap_ms, low)) p
+    ON least(game_confidence, confidence) >= low AND regexp_matches(lower(game), game_re) AND regexp_matches(lower(event_type), event_re))
+WHERE place = 1""")
+def _(t):
+    table = rules.clustering_rules(t.spark).union(t.spark.createDataFrame([OWN_POLICY], rules.CLUSTERING))
+    rows = e.event_evidence(t.signal).join(t.media_source, "source_id")
+    fit = rules.clustering_of(F.col("game"), F.col("event_type"), F.least("game_confidence", "confidence"), table)
+    return rows.select("signal_id", fit.alias("p")).select("signal_id", "p.*")
+
+
+@query("game_rule_rows", """
+SELECT source_id, CASE WHEN own THEN 'Fortnite' WHEN confidence > 0 THEN game END AS game, CASE WHEN own THEN 'Own' ELSE edition END AS edition
+FROM (SELECT *, regexp_matches(regexp_replace(lower(filename), '[-_.]+', ' ', 'g'), '\\bfortnite\\b') AS own FROM identified_sql)""")
+def _(t):
+    table = rules.game_rules(t.spark).union(t.spark.createDataFrame([OWN_GAME], rules.GAMES))
+    return t.source.select("source_id", rules.game_of(F.col("filename"), table).alias("g")).select("source_id", "g.*")
+
+
+DETECTOR_ROWS = ", ".join(
+    f"({n}, '{name}', '{'|'.join(words)}', {low}, {needs}, '{outcome}')" for n, (name, words, low, needs, outcome) in enumerate(
+        (name, words, config.PROFILE_MIN_CONFIDENCE, needs, outcome)
+        for name, words, types, fallback, *_ in config.DETECTOR_PROFILES for needs, outcome in [*types, ([], fallback)]))
+
+
+@query("detector_rule_rows", f"""
+SELECT signal_id, profile, told AS event_type FROM (
+  SELECT signal_id, p.profile, p.told, row_number() OVER (PARTITION BY signal_id ORDER BY p.ord NULLS LAST) AS place FROM evidence_sql e
+  LEFT JOIN (SELECT * FROM (VALUES {DETECTOR_ROWS}, (-1, 'own-v1', 'fortnite', 0.7, ['AUDIO_PEAK'], 'OWN_REACTION'))
+      AS v(ord, profile, game_re, low, needs, told)) p
+    ON game_confidence >= low AND regexp_matches(lower(game), game_re) AND list_has_all([kind], needs))
+WHERE place = 1""")
+def _(t):
+    table = rules.detector_rules(t.spark).union(t.spark.createDataFrame([OWN_DETECTOR], rules.DETECTORS))
+    rows = e.event_evidence(t.signal).join(t.media_source, "source_id")
+    fit = rules.detected_type(F.col("game"), F.col("game_confidence"), F.array("kind"), table)
+    return rows.select("signal_id", fit.alias("d")).select("signal_id", "d.*")
+
+
+@query("sql_adaptive_samples", SAMPLE_SQL.format(limit=18) + "SELECT short_id, array_to_string(samples, ',') AS samples FROM f")
+def _(t):
+    table_functions.register(t.spark)
+    return t.spark.sql("""
+        SELECT short_id, array_join(CAST(sample_ms AS ARRAY<STRING>), ',') AS samples
+        FROM adaptive_samples(TABLE(SELECT short_id, start_ms, event_ms, end_ms FROM {pool}) PARTITION BY (short_id), 18)""", pool=t.pool)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from cliploom.functions import text, times
+from cliploom.functions import table_functions, text, times
 from cliploom.operators import planning as p
 from cliploom.operators import reporting as r
 from cliploom.operators import similarity as sim
@@ -221,11 +221,14 @@ def _(t):
         day(times.local_date("publish_at", "America/New_York")).alias("new_york"))
 
 
-@query("slot_instant", """
+SLOT_INSTANT_SQL = """
 WITH z AS (SELECT slot_id, DATE '2024-03-08' + CAST(slot_id % 5 AS INTEGER) AS d, split_part('01:30|02:30|12:00', '|', CAST(slot_id % 3 AS INTEGER) + 1) AS hm,
   split_part('America/New_York|Asia/Kathmandu|Africa/Accra', '|', CAST(slot_id // 15 % 3 AS INTEGER) + 1) AS tz FROM slot)
 SELECT slot_id, CASE WHEN tz = 'America/New_York' AND d = DATE '2024-03-10' AND hm = '02:30' THEN NULL
-  ELSE strftime((d + CAST(hm || ':00' AS TIME)) AT TIME ZONE tz AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') END AS planned_at FROM z""")
+  ELSE strftime((d + CAST(hm || ':00' AS TIME)) AT TIME ZONE tz AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') END AS planned_at FROM z"""
+
+
+@query("slot_instant", SLOT_INSTANT_SQL)
 def _(t):
     z = t.slot.selectExpr(
         "slot_id", "date_add(DATE'2024-03-08', CAST(slot_id % 5 AS INT)) AS d",
@@ -234,6 +237,17 @@ def _(t):
     return z.select("slot_id", stamp(times.slot_instant("d", F.col("hm"), F.col("tz"))).alias("planned_at"))
 
 
+@query("sql_slot_instants", SLOT_INSTANT_SQL)
+def _(t):
+    table_functions.register(t.spark)
+    return t.spark.sql("""
+        SELECT slot_id, date_format(planned_at, 'yyyy-MM-dd HH:mm:ss') AS planned_at FROM slot_instants(TABLE(
+          SELECT slot_id, date_add(DATE'2024-03-08', CAST(slot_id % 5 AS INT)) AS local_date,
+            split_part('01:30|02:30|12:00', '|', CAST(slot_id % 3 AS INTEGER) + 1) AS local_time,
+            split_part('America/New_York|Asia/Kathmandu|Africa/Accra', '|', CAST(slot_id div 15 % 3 AS INTEGER) + 1) AS zone
+          FROM {slots}) PARTITION BY slot_id)""", slots=t.slot)
+
+
 SETTINGS = {"similarity_threshold": 0.35, "max_source_per_day": 1, "cooldown_ms": 600000}
 
 
