@@ -79,17 +79,17 @@ def _(t):
 
 HORIZON_ROWS = "(VALUES ('1H', 1, true), ('6H', 6, true), ('24H', 24, false), ('72H', 72, false), ('7D', 168, false)) AS h(horizon, hours, exact)"
 DUCK_VIEWS["outcome_sql"] = f"""
-  WITH base AS (SELECT p.owner_id, p.video_id, short_id, publish_at, horizon, hours, exact,
+  WITH base AS MATERIALIZED (SELECT p.owner_id, p.video_id, short_id, publish_at, horizon, hours, exact,
       CAST(floor((epoch_us(TIMESTAMP '2024-01-31') - epoch_us(publish_at)) / 3600000000) AS BIGINT) AS age
     FROM publication p CROSS JOIN {HORIZON_ROWS} WHERE video_id IS NOT NULL),
-  act AS (SELECT b.short_id, b.horizon, count(*) AS n, max(report_date) AS report_through, sum(coalesce(views, 0)) AS views,
+  act AS MATERIALIZED (SELECT b.short_id, b.horizon, count(*) AS n, max(report_date) AS report_through, sum(coalesce(views, 0)) AS views,
       sum(coalesce(engaged_views, 0)) AS engaged_views, sum(coalesce(shares, 0)) AS shares, sum(coalesce(subs_gained, 0)) AS subs_gained,
       sum(watch_minutes) AS watch_minutes,
       sum(coalesce(avg_pct, 0) * coalesce(engaged_views, views, 0)) FILTER (coalesce(engaged_views, views, 0) > 0)
         / sum(coalesce(engaged_views, views, 0)) FILTER (coalesce(engaged_views, views, 0) > 0) AS avg_pct
     FROM base b JOIN latest_obs o ON o.owner_id = b.owner_id AND o.video_id = b.video_id AND o.scope = 'VIDEO'
       AND report_date BETWEEN CAST(publish_at AS DATE) AND CAST(publish_at + to_hours(hours) AS DATE) GROUP BY ALL),
-  rev AS (SELECT b.short_id, b.horizon, sum(coalesce(est_revenue, 0)) AS est_revenue
+  rev AS MATERIALIZED (SELECT b.short_id, b.horizon, sum(coalesce(est_revenue, 0)) AS est_revenue
     FROM base b JOIN latest_rev o ON o.owner_id = b.owner_id AND o.video_id = b.video_id AND o.scope = 'VIDEO' AND currency = 'USD'
       AND report_date BETWEEN CAST(publish_at AS DATE) AND CAST(publish_at + to_hours(hours) AS DATE) GROUP BY ALL),
   j AS (SELECT b.*, coalesce(n, 0) AS n, report_through, views, engaged_views, shares, subs_gained, watch_minutes, avg_pct, est_revenue,
