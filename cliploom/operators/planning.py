@@ -166,6 +166,10 @@ def campaign_range_join(campaigns: DataFrame, publications: DataFrame) -> DataFr
     ).filter(F.col("local_date").between(F.col("start_date"), F.col("end_date")))
 
 
+#: What the choice needs of an item besides the evidence for comparisons.
+SLIM = ["owner_id", "short_id", "source_hash", "event_ms", *ROLE_COLUMNS]
+
+
 def _compare_ids(pairs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
     """Attach evidence to (l, r) id pairs and reduce each to dup, ok (may stand side by side) and exc."""
     joined = pairs.join(sim.side(items, "a"), F.col("l") == F.col("a_short_id")).join(
@@ -196,11 +200,23 @@ def daily_slate(
     The slim results of both passes are checkpointed: each is read several times,
     and neither the conflict search nor the comparisons should run again for that.
     """
+    safe = cut_lineage(sim.history_anti_join(pool, history).select(*SLIM))
+    return _chosen(pool, pool.select("owner_id").distinct(), safe, _usage(history), previous, following, settings)
+
+
+def _usage(items: DataFrame) -> DataFrame:
+    return items.groupBy("owner_id", "source_hash").agg(F.count("*").alias("used"))
+
+
+def _chosen(
+    pool: DataFrame, owners: DataFrame, safe: DataFrame, used: DataFrame, previous: DataFrame, following: DataFrame,
+    settings: dict | None,
+) -> DataFrame:
+    """The choice of ``daily_slate`` for ``owners``, with the items known to be ``safe`` from their history and the number of
+    items that the history ``used`` of each source."""
     settings = {**SETTINGS, **(settings or {})}
     threshold = settings["similarity_threshold"]
     yes = F.lit(True)
-    slim = ["owner_id", "short_id", "source_hash", "event_ms", *ROLE_COLUMNS]
-    safe = cut_lineage(sim.history_anti_join(pool, history).select(*slim))
 
     # Pass 1: neighbours. The item before the day is also held against the one after it.
     around = previous.select("owner_id", F.col("short_id").alias("nb"), F.lit("P").alias("tag")).unionByName(
@@ -229,11 +245,10 @@ def daily_slate(
         "owner_id", F.col("short_id").alias("h_id"), F.col("source_hash").alias("h_source"),
         F.col("event_ms").alias("h_event"), F.col("p_ok").alias("ph_ok"),
     )
-    frame = pool.select("owner_id").distinct().join(hero, "owner_id", "left").join(gap_ok, "owner_id", "left").withColumns(
+    frame = owners.select("owner_id").join(hero, "owner_id", "left").join(gap_ok, "owner_id", "left").withColumns(
         {"ph_ok": F.coalesce("ph_ok", yes), "pn_ok": F.coalesce("pn_ok", yes)}
     )
 
-    used = history.groupBy("owner_id", "source_hash").agg(F.count("*").alias("used"))
     listed = known.join(used, ["owner_id", "source_hash"], "left").withColumn("used", F.coalesce("used", F.lit(0).cast("bigint")))
 
     def role(score: str) -> DataFrame:
@@ -338,27 +353,38 @@ def slate_rows(slates: DataFrame, scores: DataFrame, times_by_role: list[tuple[s
 
 
 def plan_days(
-    pool: DataFrame, history: DataFrame, days: list[str], following: DataFrame | None = None, settings: dict | None = None
+    pool: DataFrame, history: DataFrame, days: list[str], previous: DataFrame | None = None, following: DataFrame | None = None,
+    settings: dict | None = None, open_days: DataFrame | None = None,
 ) -> DataFrame:
     """Slates for consecutive days; each day's choices join the history of the next.
 
-    The loop is over calendar days only; every day plans all owners in one job.
+    ``open_days`` (owner_id, local_date), as from ``horizon_plan_dates``, tells which owners plan on which day; without it
+    all do. The loop is over calendar days only, all owners at once. The whole history is searched once: what is safe from it
+    stays so, and each day compares what is left with that day's choices alone, at most three per owner. ``previous`` of a day
+    is the last choice made before it.
     """
-    out, past = None, history
-    nobody = pool.limit(0)
-    previous = nobody
-    for name in days:
-        slate = cut_lineage(
-            daily_slate(pool, past, previous, following if following is not None else nobody, settings)
-            .withColumn("local_date", F.lit(name).cast("date"))
-        )
+    pool, nobody = cut_lineage(pool), pool.limit(0)
+    previous = nobody if previous is None else previous
+    following = nobody if following is None else following
+    safe, used, out = cut_lineage(sim.history_anti_join(pool, history).select(*SLIM)), _usage(history), None
+    for number, name in enumerate(days):
+        owners = pool.select("owner_id").distinct()
+        if open_days is not None:
+            today = open_days.filter(F.col("local_date") == F.lit(name).cast("date"))
+            owners = owners.join(today.select("owner_id"), "owner_id", "left_semi")
+        able = safe.join(owners, "owner_id", "left_semi")
+        slate = cut_lineage(_chosen(pool, owners, able, used, previous, following, settings).withColumn("local_date", F.lit(name).cast("date")))
         out = slate if out is None else out.unionByName(slate)
-        picked = slate.select(F.explode(F.array_compact(F.array("hero_id", "discovery_id", "engagement_id"))).alias("short_id"))
-        past = past.unionByName(pool.join(picked, "short_id", "left_semi"))
+        if number == len(days) - 1:
+            break
+        taken = slate.select(F.explode(F.array_compact(F.array("hero_id", "discovery_id", "engagement_id"))).alias("short_id"))
+        fresh = cut_lineage(pool.join(taken, "short_id", "left_semi"))
+        left = pool.join(safe.select("short_id"), "short_id", "left_semi")
+        safe = cut_lineage(safe.join(sim.history_conflicts(left, fresh), "short_id", "left_anti"))
+        used = cut_lineage(used.unionByName(_usage(fresh)).groupBy("owner_id", "source_hash").agg(F.sum("used").alias("used")))
         last = slate.select(F.coalesce("hero_id", "engagement_id", "discovery_id").alias("short_id")).filter("short_id IS NOT NULL")
-        fresh = pool.join(last, "short_id", "left_semi")
-        kept = previous.join(fresh.select("owner_id"), "owner_id", "left_anti")
-        previous = fresh.unionByName(kept)
+        latest = fresh.join(last, "short_id", "left_semi")
+        previous = cut_lineage(previous.join(latest.select("owner_id"), "owner_id", "left_anti").unionByName(latest.select(*previous.columns)))
     return out
 
 

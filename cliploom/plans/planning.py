@@ -275,43 +275,48 @@ def _clash(o, c):
     return f"({o}.short_id = {c}.short_id OR {q.duplicate(c, o)} OR {o}.source_hash = {c}.source_hash)"
 
 
-SLATE_SQL = f"""
-WITH hist AS MATERIALIZED (SELECT * FROM role_sql WHERE short_id // 20 % 5 = 0),
-pl AS MATERIALIZED (SELECT * FROM role_sql WHERE short_id // 20 % 5 <> 0),
-safe AS MATERIALIZED (SELECT * FROM pl c WHERE NOT EXISTS (SELECT 1 FROM hist h WHERE h.owner_id = c.owner_id AND {q.duplicate('c', 'h')})),
-prev AS MATERIALIZED (SELECT * FROM hist QUALIFY row_number() OVER (PARTITION BY owner_id ORDER BY short_id DESC) = 1),
-nxt AS MATERIALIZED (SELECT * FROM hist QUALIFY row_number() OVER (PARTITION BY owner_id ORDER BY short_id) = 1),
-owners AS (SELECT DISTINCT owner_id FROM pl),
-hero AS MATERIALIZED (SELECT c.* FROM safe c LEFT JOIN nxt n ON n.owner_id = c.owner_id WHERE {_pair('c', 'n')}
+def slate_day(k: str = "") -> str:
+    """One day's choice from the tables hist, safe, prev and owners of that day, pl and nxt: the last table is fin."""
+    return f"""
+hero{k} AS MATERIALIZED (SELECT c.* FROM safe{k} c LEFT JOIN nxt n ON n.owner_id = c.owner_id WHERE {_pair('c', 'n')}
   QUALIFY row_number() OVER (PARTITION BY c.owner_id ORDER BY c.hero DESC, c.short_id) = 1),
-dd AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY discovery DESC, short_id) AS place FROM safe QUALIFY place <= 100),
-ee AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY engagement DESC, short_id) AS place FROM safe QUALIFY place <= 100),
-used AS (SELECT owner_id, source_hash, count(*) AS n FROM hist GROUP BY ALL),
-d1 AS MATERIALIZED (SELECT d.*, {_pair('d', 'h')} AS dh, {_pair('d', 'n')} AS dn, h.short_id IS NOT NULL AS has_hero FROM dd d LEFT JOIN hero h ON h.owner_id = d.owner_id
-  LEFT JOIN prev p ON p.owner_id = d.owner_id LEFT JOIN nxt n ON n.owner_id = d.owner_id
+dd{k} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY discovery DESC, short_id) AS place FROM safe{k} QUALIFY place <= 100),
+ee{k} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY engagement DESC, short_id) AS place FROM safe{k} QUALIFY place <= 100),
+used{k} AS (SELECT owner_id, source_hash, count(*) AS n FROM hist{k} GROUP BY ALL),
+d1{k} AS MATERIALIZED (SELECT d.*, {_pair('d', 'h')} AS dh, {_pair('d', 'n')} AS dn, h.short_id IS NOT NULL AS has_hero FROM dd{k} d LEFT JOIN hero{k} h ON h.owner_id = d.owner_id
+  LEFT JOIN prev{k} p ON p.owner_id = d.owner_id LEFT JOIN nxt n ON n.owner_id = d.owner_id
   WHERE (h.short_id IS NULL OR NOT {_clash('h', 'd')}) AND {_pair('p', 'd')}),
-e1 AS MATERIALIZED (SELECT e.*, {_pair('e', 'h')} AS eh, {_pair('e', 'n')} AS en, {_pair('p', 'e')} AS pe, h.short_id IS NOT NULL AS has_hero FROM ee e LEFT JOIN hero h ON h.owner_id = e.owner_id
-  LEFT JOIN prev p ON p.owner_id = e.owner_id LEFT JOIN nxt n ON n.owner_id = e.owner_id
+e1{k} AS MATERIALIZED (SELECT e.*, {_pair('e', 'h')} AS eh, {_pair('e', 'n')} AS en, {_pair('p', 'e')} AS pe, h.short_id IS NOT NULL AS has_hero FROM ee{k} e LEFT JOIN hero{k} h ON h.owner_id = e.owner_id
+  LEFT JOIN prev{k} p ON p.owner_id = e.owner_id LEFT JOIN nxt n ON n.owner_id = e.owner_id
   WHERE h.short_id IS NULL OR NOT {_clash('h', 'e')}),
-combos AS (
+combos{k} AS (
   SELECT d.owner_id, d.short_id AS d_id, e.short_id AS e_id, d.place AS dp, e.place AS ep,
     2000 + d.discovery + e.engagement - 3 * (coalesce(ud.n, 0) + CASE WHEN d.source_hash = e.source_hash THEN 0 ELSE coalesce(ue.n, 0) END) AS score
-  FROM d1 d JOIN e1 e ON e.owner_id = d.owner_id LEFT JOIN used ud ON ud.owner_id = d.owner_id AND ud.source_hash = d.source_hash
-    LEFT JOIN used ue ON ue.owner_id = e.owner_id AND ue.source_hash = e.source_hash
+  FROM d1{k} d JOIN e1{k} e ON e.owner_id = d.owner_id LEFT JOIN used{k} ud ON ud.owner_id = d.owner_id AND ud.source_hash = d.source_hash
+    LEFT JOIN used{k} ue ON ue.owner_id = e.owner_id AND ue.source_hash = e.source_hash
   WHERE NOT {_clash('d', 'e')} AND {_ok('d', 'e')} AND CASE WHEN e.has_hero THEN eh ELSE en END
   UNION ALL
-  SELECT d.owner_id, d.short_id, NULL, place, 101, 1000 + discovery - 3 * coalesce(n, 0) FROM d1 d LEFT JOIN used u ON u.owner_id = d.owner_id AND u.source_hash = d.source_hash
+  SELECT d.owner_id, d.short_id, NULL, place, 101, 1000 + discovery - 3 * coalesce(n, 0) FROM d1{k} d LEFT JOIN used{k} u ON u.owner_id = d.owner_id AND u.source_hash = d.source_hash
   WHERE CASE WHEN has_hero THEN dh ELSE dn END
   UNION ALL
-  SELECT e.owner_id, NULL, e.short_id, 101, place, 1000 + engagement - 3 * coalesce(n, 0) FROM e1 e LEFT JOIN used u ON u.owner_id = e.owner_id AND u.source_hash = e.source_hash
+  SELECT e.owner_id, NULL, e.short_id, 101, place, 1000 + engagement - 3 * coalesce(n, 0) FROM e1{k} e LEFT JOIN used{k} u ON u.owner_id = e.owner_id AND u.source_hash = e.source_hash
   WHERE pe AND CASE WHEN has_hero THEN eh ELSE en END
   UNION ALL
-  SELECT o.owner_id, NULL, NULL, 101, 101, 0 FROM owners o LEFT JOIN hero h ON h.owner_id = o.owner_id LEFT JOIN prev p ON p.owner_id = o.owner_id LEFT JOIN nxt n ON n.owner_id = o.owner_id
+  SELECT o.owner_id, NULL, NULL, 101, 101, 0 FROM owners{k} o LEFT JOIN hero{k} h ON h.owner_id = o.owner_id LEFT JOIN prev{k} p ON p.owner_id = o.owner_id LEFT JOIN nxt n ON n.owner_id = o.owner_id
   WHERE CASE WHEN h.short_id IS NOT NULL THEN {_pair('p', 'h')} ELSE {_pair('p', 'n')} END),
-best AS (SELECT * FROM combos QUALIFY row_number() OVER (PARTITION BY owner_id ORDER BY score DESC, dp, ep) = 1),
-fin AS (SELECT o.owner_id, CASE WHEN b.d_id IS NULL AND b.e_id IS NULL AND NOT {_pair('p', 'h')} THEN NULL ELSE h.short_id END AS hero_id, b.d_id AS discovery_id, b.e_id AS engagement_id, round(b.score, 6) AS score
-  FROM owners o LEFT JOIN hero h ON h.owner_id = o.owner_id LEFT JOIN prev p ON p.owner_id = o.owner_id LEFT JOIN best b ON b.owner_id = o.owner_id)
-"""
+best{k} AS (SELECT * FROM combos{k} QUALIFY row_number() OVER (PARTITION BY owner_id ORDER BY score DESC, dp, ep) = 1),
+fin{k} AS (SELECT o.owner_id, CASE WHEN b.d_id IS NULL AND b.e_id IS NULL AND NOT {_pair('p', 'h')} THEN NULL ELSE h.short_id END AS hero_id, b.d_id AS discovery_id, b.e_id AS engagement_id, round(b.score, 6) AS score
+  FROM owners{k} o LEFT JOIN hero{k} h ON h.owner_id = o.owner_id LEFT JOIN prev{k} p ON p.owner_id = o.owner_id LEFT JOIN best{k} b ON b.owner_id = o.owner_id)"""
+
+
+SLATE_HEAD = f"""
+WITH hist AS MATERIALIZED (SELECT * FROM role_sql WHERE short_id // 20 % 5 = 0),
+pl AS MATERIALIZED (SELECT * FROM role_sql WHERE short_id // 20 % 5 <> 0),
+safe AS MATERIALIZED (SELECT * FROM pl c WHERE NOT EXISTS (SELECT 1 FROM hist h WHERE h.owner_id = c.owner_id AND {q.duplicate('c', 'h')})),
+prev AS MATERIALIZED (SELECT * FROM hist QUALIFY row_number() OVER (PARTITION BY owner_id ORDER BY short_id DESC) = 1),
+nxt AS MATERIALIZED (SELECT * FROM hist QUALIFY row_number() OVER (PARTITION BY owner_id ORDER BY short_id) = 1),
+owners AS (SELECT DISTINCT owner_id FROM pl)"""
+SLATE_SQL = f"{SLATE_HEAD},{slate_day()}\n"
 
 
 @query("daily_slate", SLATE_SQL + "SELECT owner_id, hero_id, discovery_id, engagement_id, CAST(score AS DOUBLE) AS score FROM fin")
@@ -332,6 +337,31 @@ def _(t):
     return rounded(rows.select("owner_id", "role", "local_time", stamp("planned_at").alias("planned_at"), "short_id", "score"), "score")
 
 
+LAST = "coalesce(f.hero_id, f.engagement_id, f.discovery_id)"
+DAYS_SQL = f"""{SLATE_HEAD},{slate_day()},
+picks AS MATERIALIZED (SELECT p.* FROM pl p JOIN fin f ON p.short_id IN (f.hero_id, f.discovery_id, f.engagement_id)),
+hist2 AS MATERIALIZED (SELECT * FROM hist UNION ALL SELECT * FROM picks),
+safe2 AS MATERIALIZED (SELECT * FROM pl c WHERE owner_id % 3 <> 0
+  AND NOT EXISTS (SELECT 1 FROM hist2 h WHERE h.owner_id = c.owner_id AND (h.short_id = c.short_id OR {q.duplicate('c', 'h')}))),
+prev2 AS MATERIALIZED (SELECT p.* FROM pl p JOIN fin f ON p.short_id = {LAST}
+  UNION ALL SELECT * FROM prev p WHERE NOT EXISTS (SELECT 1 FROM fin f WHERE f.owner_id = p.owner_id AND {LAST} IS NOT NULL)),
+owners2 AS (SELECT owner_id FROM owners WHERE owner_id % 3 <> 0),{slate_day('2')}
+"""
+
+
+@query("plan_days", DAYS_SQL + """
+SELECT owner_id, '2024-02-01' AS local_date, hero_id, discovery_id, engagement_id, CAST(score AS DOUBLE) AS score FROM fin
+UNION ALL SELECT owner_id, '2024-02-02', hero_id, discovery_id, engagement_id, CAST(score AS DOUBLE) FROM fin2""")
+def _(t):
+    """Two days; a third of the owners have no open slot on the second."""
+    pool, history, previous, following = slate_inputs(t)
+    days = ["2024-02-01", "2024-02-02"]
+    open_days = pool.select("owner_id").distinct().selectExpr("owner_id", "explode(array(DATE'2024-02-01', DATE'2024-02-02')) AS local_date").filter(
+        "local_date = DATE'2024-02-01' or owner_id % 3 <> 0")
+    out = p.plan_days(pool, history, days, previous, following, SETTINGS, open_days)
+    return rounded(out.withColumn("local_date", day("local_date")), "score")
+
+
 @query("evidence_objects", """
 SELECT short_id, CASE WHEN short_id % 3 = 0 THEN NULL ELSE array_to_string([game, '7', title], ',') END AS objects FROM short""")
 def _(t):
