@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, LongType, StructField, StructType
 
-from cliploom.llm.components import components, forest
+from cliploom.llm.components import components
 from cliploom.llm.storage import measured, stored
 from cliploom.llm.words import minima, parameters, set_digest, shingle_hashes, shingle_set, word_hashes
 
@@ -194,17 +194,20 @@ def _apart(how: Sketching):
         names = np.unique(bands, return_inverse=True)[1].reshape(bands.shape)
         component, n, band = batch["component"].to_numpy(), batch["n_shingles"].to_numpy(), int(batch["band"].iloc[0])
         rows, columns, one = _sides(batch)
-        kept, part = np.unique(component, return_inverse=True)
-        found_a, found_b = [], []
+        kept, own = np.unique(component, return_inverse=True)
+        part, found_a, found_b = own.copy(), [], []  # part: what the pairs found so far have joined
         for i in rows:
             js = columns[columns > i] if one else columns
             js = js[part[js] != part[i]]
             js = js[~(names[js, :band] == names[i, :band]).any(1)]
             js = _share(registers, i, js, n, how)
-            found_a.append(np.full(len(js), part[i]))
-            found_b.append(part[js])
-        a, b = forest(np.concatenate(found_a or [rows]), np.concatenate(found_b or [rows]), len(kept))
-        return pd.DataFrame({"a": kept[a], "b": kept[b]})
+            if len(js):
+                joined, first = np.unique(part[js], return_index=True)
+                found_a.append(np.full(len(joined), own[i]))
+                found_b.append(own[js[first]])
+                part[np.isin(part, joined)] = part[i]
+        none = np.empty(0, np.int64)
+        return pd.DataFrame({"a": kept[np.concatenate(found_a or [none])], "b": kept[np.concatenate(found_b or [none])]})
 
     return compare
 
@@ -218,13 +221,6 @@ def _joined(how: Sketching):
         part = np.unique(batch["component"].to_numpy(), return_inverse=True)[1]
         texts, sets = batch["text"].tolist(), {}
         rows, columns, one = _sides(batch)
-        parent = list(range(int(part.max()) + 1))
-
-        def root(k: int) -> int:
-            while parent[k] != k:
-                parent[k] = parent[parent[k]]
-                k = parent[k]
-            return k
 
         def shingles(k: int) -> np.ndarray:
             if k not in sets:
@@ -235,12 +231,11 @@ def _joined(how: Sketching):
         for i in rows:
             js = columns[columns > i] if one else columns
             for j in _share(registers, i, js[part[js] != part[i]], n, how):
-                a, b = root(part[i]), root(part[j])
-                if a == b:
+                if part[i] == part[j]:
                     continue
                 both = len(np.intersect1d(shingles(i), shingles(j), assume_unique=True))
                 if 100 * both >= how.percent * (n[i] + n[j] - both):
-                    parent[max(a, b)] = min(a, b)
+                    part[part == part[j]] = part[i]
                     found.append((rep[i], rep[j]))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
@@ -280,8 +275,8 @@ def _relabelled(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
 
 
 def _of(table: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """Rows of ``table`` whose rep is in ``ids``, written once."""
-    return stored(table.join(measured(stored(ids.distinct(), "ids")), "rep", "left_semi"), name)
+    """Rows of ``table`` whose rep is in ``ids`` (repeats allowed), written once."""
+    return stored(table.join(measured(stored(ids, "ids")), "rep", "left_semi"), name)
 
 
 def set_components(sets: DataFrame, texts: DataFrame, how: Sketching) -> DataFrame:
