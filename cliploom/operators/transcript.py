@@ -63,22 +63,30 @@ def excerpts(clips: DataFrame, words: DataFrame, limit: int = 4000) -> DataFrame
     )
 
 
-def transcript_assemble(words: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Full text of each transcript, built chunk by chunk; incomplete ones are marked and left empty.
+def transcript_chunks(words: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Text of every planned chunk, null without words, and whether all chunks of its transcript are done.
 
-    ``chunks`` carries the planned chunk numbers with their status.
-    """
+    ``chunks`` carries the planned chunk numbers with their status. A transcript of any length stays spread: only the words
+    of one chunk meet in a row."""
     texts = words.filter(F.trim("w") != "").groupBy("transcript_id", "chunk_index").agg(
         F.array_sort(F.collect_list(F.struct("start_ms", "pos", F.trim("w").alias("w")))).alias("__w")
     ).select("transcript_id", "chunk_index", F.array_join(F.transform("__w", lambda x: x["w"]), " ").alias("chunk_text"))
-    joined = chunks.join(texts, ["transcript_id", "chunk_index"], "left")
-    whole = joined.groupBy("transcript_id").agg(
-        F.count_if(F.col("status") != "SUCCEEDED").alias("__open"),
-        F.array_sort(F.collect_list(F.when(F.col("chunk_text").isNotNull(), F.struct("chunk_index", "chunk_text")))).alias("__c"),
+    done = chunks.groupBy(F.col("transcript_id").alias("__id")).agg((F.count_if(F.col("status") != "SUCCEEDED") == 0).alias("complete"))
+    told = chunks.join(texts, ["transcript_id", "chunk_index"], "left")
+    return told.join(done, F.col("transcript_id").eqNullSafe(F.col("__id"))).select(
+        "transcript_id", "chunk_index", "status", "complete", "chunk_text"
+    )
+
+
+def transcript_assemble(words: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Full text of each transcript as one row; incomplete ones are marked and left empty.
+
+    For transcripts too long for a row, read ``transcript_chunks`` in order instead."""
+    whole = transcript_chunks(words, chunks).groupBy("transcript_id", "complete").agg(
+        F.array_sort(F.collect_list(F.when(F.col("complete") & F.col("chunk_text").isNotNull(), F.struct("chunk_index", "chunk_text")))).alias("__c"),
     )
     return whole.select(
-        "transcript_id", (F.col("__open") == 0).alias("complete"),
-        F.when(F.col("__open") == 0, F.array_join(F.transform("__c", lambda x: x["chunk_text"]), " ")).alias("full_text"),
+        "transcript_id", "complete", F.when(F.col("complete"), F.array_join(F.transform("__c", lambda x: x["chunk_text"]), " ")).alias("full_text")
     )
 
 

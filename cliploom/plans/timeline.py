@@ -100,14 +100,27 @@ def _(t):
     return tr.chunk_word_assign(words, chunks)
 
 
+def planned_chunks(t):
+    status = F.when(F.col("conv_id") % 9 == 0, "FAILED").otherwise("SUCCEEDED")
+    return t.base("conversations").select(F.col("conv_id").alias("transcript_id"), F.col("turn").alias("chunk_index"), status.alias("status"))
+
+
+@query("transcript_chunks", """
+SELECT c.conv_id AS transcript_id, c.turn AS chunk_index, status, bool_and(status = 'SUCCEEDED') OVER (PARTITION BY c.conv_id) AS complete, txt AS chunk_text
+FROM (SELECT *, CASE WHEN conv_id % 9 = 0 AND turn % 2 = 0 THEN 'FAILED' ELSE 'SUCCEEDED' END AS status FROM conversations) c
+LEFT JOIN (SELECT transcript_id, chunk_index, string_agg(w, ' ' ORDER BY start_ms, pos) AS txt FROM word GROUP BY ALL) x
+  ON x.transcript_id = c.conv_id AND x.chunk_index = c.turn""")
+def _(t):
+    failed = F.when((F.col("transcript_id") % 9 == 0) & (F.col("chunk_index") % 2 == 0), "FAILED").otherwise("SUCCEEDED")
+    return tr.transcript_chunks(t.word, planned_chunks(t).withColumn("status", failed))
+
+
 @query("transcript_assemble", """
 SELECT c.conv_id AS transcript_id, bool_and(c.conv_id % 9 <> 0) AS complete, CASE WHEN bool_and(c.conv_id % 9 <> 0) THEN coalesce(string_agg(txt, ' ' ORDER BY turn), '') END AS full_text
 FROM conversations c LEFT JOIN (SELECT transcript_id, chunk_index, string_agg(w, ' ' ORDER BY start_ms, pos) AS txt FROM word GROUP BY ALL) x
   ON x.transcript_id = c.conv_id AND x.chunk_index = c.turn GROUP BY c.conv_id""")
 def _(t):
-    status = F.when(F.col("conv_id") % 9 == 0, "FAILED").otherwise("SUCCEEDED")
-    chunks = t.base("conversations").select(F.col("conv_id").alias("transcript_id"), F.col("turn").alias("chunk_index"), status.alias("status"))
-    return tr.transcript_assemble(t.word, chunks)
+    return tr.transcript_assemble(t.word, planned_chunks(t))
 
 
 @query("pending_chunks", """
