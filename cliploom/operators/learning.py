@@ -12,6 +12,7 @@ from cliploom.functions.numeric import (
     recommendation_delta, recommendation_direction, score_components,
 )
 from cliploom.operators.reporting import activity_weight, first_per_key, latest_observation, weighted_average
+from cliploom.session import small_or_keyed
 
 DIMENSIONS = [
     "game", "event_type", "duration_bucket", "posting_time", "day_of_week", "hook_type", "opening_frame_style",
@@ -158,9 +159,13 @@ def recency(now: Column, published: str = "publish_at") -> Column:
 
 
 def winsorize(records: DataFrame, by: list[str]) -> DataFrame:
+    """Scores held within their group's bounds.
+
+    The bounds, one row per group, are found first and counted: few go to every record where it lies, so that records are not
+    dealt to as few tasks as there are groups; many are joined by key, which spreads."""
     score = "performance_score"
     clipped = F.greatest(F.col("low"), F.least(F.col("high"), F.col(score)))
-    return records.join(winsor_bounds(records, by), by).withColumn("clipped", clipped)
+    return records.join(small_or_keyed(winsor_bounds(records, by)), by).withColumn("clipped", clipped)
 
 
 def segment_lift(records: DataFrame, now: Column, by: list[str], minimum: int = config.MIN_SAMPLE) -> DataFrame:
