@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from cliploom.functions import times
-from cliploom.operators import learning
+from cliploom.operators import learning, similarity
+from cliploom.sources.tables import Tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -52,3 +53,31 @@ def test_slot_instants_around_clock_changes(spark):
     assert hits.filter(~want.eqNullSafe(F.col("said"))).count() == 0
     assert hits.filter("said is null").count() > 0 and hits.count() == len(days) * len(zones) * 96
     assert "lambda" not in plan(said)
+
+
+def test_bands_of_the_conflict_search_are_slim(spark):
+    tables = Tables(spark, SF)
+    ready = similarity.comparable(tables.pool, tables.vector)
+    found = similarity.history_conflicts(ready.filter("short_id % 5 <> 0"), ready.filter("short_id % 5 = 0"))
+    lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    exploded = [line for line in lines if "Generate explode" in line and "band" in line]
+    assert exploded and not [line for line in exploded if any(w in line.split("], [band")[0] for w in ("concept_t", "norm", "reuse"))]
+    wide = [line for line in lines if "band" in line and "concept_t" in line]
+    assert not wide
+
+
+def test_items_without_a_vector_spread(spark):
+    items = spark.range(400).selectExpr(
+        "id AS short_id", "CASE WHEN id % 2 = 0 THEN id % 10 END AS vec_id", "'a' AS h0", "'b' AS h1", "'t' AS hook", "'t' AS title",
+        "'c' AS concept", "'e' AS event_type", "'x' AS transcript", "'o' AS objects")
+    vectors = spark.range(10).selectExpr("id AS vec_id", "1 AS model", "array(1.0D) AS v")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = similarity.comparable(items, vectors)
+        sizes = [len(p) for p in joined.filter("vec_id is null").rdd.glom().collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(sizes) == 200 and max(sizes) < 100
+    assert joined.filter("v is not null").count() == 200
