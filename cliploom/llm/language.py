@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from cliploom.llm.words import mixed
 
-#: At most about this many labelled documents of each language are learned from, drawn by a hash of the id.
-TRAIN_PER_LANGUAGE = 4000
+#: A task hands on the grams of a language's words when it holds so many different ones.
+HELD_WORDS = 200_000
+#: Evidence is told apart to so many decimals when its percentiles are taken, so that a language is at most some ten thousand values.
+EVIDENCE_DECIMALS = 3
 BUCKETS_LOG2 = 15
 GRAMS = (1, 2, 3, 4)
 SMOOTHING = 0.5
@@ -130,32 +132,41 @@ class LanguageModel:
         return np.bincount(owner, self.scripts.any(1)[_letter_table()[points]], len(words))
 
 
-def sampled(docs: DataFrame, bound: int = TRAIN_PER_LANGUAGE) -> DataFrame:
-    """Labelled documents, about ``bound`` of each language at most, the same on every run."""
+def sampled(docs: DataFrame, bound: int | None = None) -> DataFrame:
+    """Labelled documents: all, or about ``bound`` of each language at most, the same on every run."""
+    if bound is None:
+        return docs
     counts = docs.groupBy("lang").agg(F.count("*").alias("_n"))  # one row per language
     dice = F.xxhash64("doc_id", F.lit("train")).cast("double") / F.lit(2.0**64) + F.lit(0.5)
     return docs.join(F.broadcast(counts), "lang").filter(dice < F.lit(float(bound)) / F.col("_n"))
 
 
-def train(docs: DataFrame, bound: int = TRAIN_PER_LANGUAGE) -> LanguageModel:
-    """Learn from (doc_id, text, lang); rows without text or language teach nothing.
+def train(docs: DataFrame, bound: int | None = None) -> LanguageModel:
+    """Learn from all of (doc_id, text, lang), or ``bound`` documents of each language; rows without text or language teach nothing.
 
     Executors count gram buckets; the driver gets one row per language and bucket (at most languages x 32 768)."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[str, np.ndarray] = {}
+        held: dict[str, Counter] = {}
+
+        def add(lang: str, seen: Counter) -> None:
+            if not seen:
+                return
+            buckets, owner, letters, script = _grams(list(seen))
+            times = np.fromiter(seen.values(), np.float64, len(seen))
+            sums = totals.setdefault(lang, np.zeros((1 << BUCKETS_LOG2) + len(SCRIPTS) + 1))
+            sums[: 1 << BUCKETS_LOG2] += np.bincount(buckets, times[owner], 1 << BUCKETS_LOG2)
+            sums[1 << BUCKETS_LOG2 :] += np.bincount(script, times * letters, len(SCRIPTS) + 1)
+
         for batch in batches:
-            for lang, rows in batch.groupby("lang"):
-                seen = Counter()
-                for text in rows["text"]:
-                    seen.update(text.lower().split())
-                if not seen:
-                    continue
-                buckets, owner, letters, script = _grams(list(seen))
-                times = np.fromiter(seen.values(), np.float64, len(seen))
-                sums = totals.setdefault(lang, np.zeros((1 << BUCKETS_LOG2) + len(SCRIPTS) + 1))
-                sums[: 1 << BUCKETS_LOG2] += np.bincount(buckets, times[owner], 1 << BUCKETS_LOG2)
-                sums[1 << BUCKETS_LOG2 :] += np.bincount(script, times * letters, len(SCRIPTS) + 1)
+            for lang, text in zip(batch["lang"], batch["text"]):
+                seen = held.setdefault(lang, Counter())
+                seen.update(text.lower().split())
+                if len(seen) >= HELD_WORDS:
+                    add(lang, held.pop(lang))
+        for lang, seen in held.items():
+            add(lang, seen)
         for lang, sums in totals.items():
             at = np.flatnonzero(sums)
             yield pd.DataFrame({"lang": lang, "cell": at, "n": sums[at]})
@@ -300,14 +311,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
-def predict(docs: DataFrame, bound: int = TRAIN_PER_LANGUAGE) -> DataFrame:
+def predict(docs: DataFrame, bound: int | None = None) -> DataFrame:
     """Learn from the documents that are not held out and predict all: doc_id, held_out, lang_pred, score, share, spans."""
     model = train(docs.filter(~held_out(F.col("doc_id"))), bound)
     labelled = identify(docs.select("doc_id", "text"), model, ["doc_id"])
     return labelled.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "share", "spans")
 
 
-def evidence_limits(docs: DataFrame, model: LanguageModel, bound: int = TRAIN_PER_LANGUAGE) -> dict[str, float]:
+def evidence_limits(docs: DataFrame, model: LanguageModel, bound: int | None = None) -> dict[str, float]:
     """Least evidence of a long text in each language, from the labelled documents that ``train`` learns from.
 
     The driver gets one row per language."""
@@ -322,7 +333,8 @@ def evidence_limits(docs: DataFrame, model: LanguageModel, bound: int = TRAIN_PE
 
     labelled = docs.select("doc_id", "text", "lang").filter("text is not null and lang is not null")
     found = sampled(labelled, bound).select("text").mapInPandas(weigh, "lang string, evidence double")
-    levels = found.groupBy("lang").agg(F.percentile("evidence", [0.01, 0.5]).alias("at")).collect()
+    told = found.withColumn("evidence", F.round("evidence", EVIDENCE_DECIMALS))
+    levels = told.groupBy("lang").agg(F.percentile("evidence", [0.01, 0.5]).alias("at")).collect()
     return {r["lang"]: r["at"][1] - SPREADS * max(r["at"][1] - r["at"][0], LEAST_SPREAD) for r in levels}
 
 
