@@ -40,8 +40,8 @@ class Mining:
     #: Bits of the filter that tasks hold of the frequent phrases: its size never grows, and a false hit is counted
     #: and then found infrequent, so it costs time only.
     filter_bits: int = 1 << 26
-    #: Cells that occurrences are counted in before their phrases are: a phrase whose cell stays under ``least`` is infrequent.
-    #: Also of fixed size; two phrases in one cell cost time only.
+    #: Cells of each of two tables that occurrences are counted in before their phrases are: a phrase is infrequent if one of its
+    #: cells stays under ``least``. Also of fixed size; two phrases in one cell cost time only.
     cells: int = 1 << 22
 
 
@@ -307,34 +307,37 @@ def next_relation(relation: DataFrame, frequent, size: int) -> DataFrame:
 _SEGMENT = 1 << 12
 
 
-def _cells(lang: str, w: np.ndarray, found: np.ndarray, size: int, cells: int) -> np.ndarray:
-    """Cells of the phrases of ``size`` words that start at ``found``."""
+def _cells(lang: str, w: np.ndarray, found: np.ndarray, size: int, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both cells of the phrases of ``size`` words that start at ``found``; the second lies in a half of its own."""
     name = _tuple_names([np.full(len(found), _lang_names([lang])[0]), *[w[found + k] for k in range(size)]])
-    return (mixed(name ^ np.uint64(0xA5A5A5A5A5A5A5A5)) % np.uint64(cells)).astype(np.int64)
+    first, second = (mixed(name ^ np.uint64(salt)) % np.uint64(cells) for salt in (0xA5A5A5A5A5A5A5A5, 0x5BD1E995C6A4A793))
+    return first.astype(np.int64), second.astype(np.int64) + cells
 
 
 def crowded_cells(relation: DataFrame, size: int, how: Mining):
-    """A broadcast table of the cells that at least ``how.least`` marked occurrences fall into.
+    """A broadcast table of the cells, in two halves, that at least ``how.least`` marked occurrences fall into.
 
     A task counts into its own cells and hands on the segments it used; segments are added up in Spark, and one flag per
     cell reaches the driver."""
+    kind = np.min_scalar_type(how.least)  # no count passes it
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, any_ = np.zeros(how.cells, np.int32), False
+        held, any_ = np.zeros(2 * how.cells, kind), False
         for batch in batches:
             for lang, w, _, starts, own in _slices(batch):
                 found = np.flatnonzero(starts[:own])
                 if len(found):
                     any_ = True
-                    at, n = np.unique(_cells(lang, w, found, size, how.cells), return_counts=True)
-                    held[at] = np.minimum(held[at] + n, how.least)
+                    for cell in _cells(lang, w, found, size, how.cells):
+                        at, n = np.unique(cell, return_counts=True)
+                        held[at] = np.minimum(held[at] + n, how.least)
         if any_:
             parts = held.reshape(-1, min(_SEGMENT, how.cells))
             used = np.flatnonzero(parts.any(1))
             for at in range(0, len(used), 64):
                 some = used[at : at + 64]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(some.astype(np.int32)), pa.array([parts[k].astype("<i4").tobytes() for k in some], pa.binary())], names=["segment", "counts"]
+                    [pa.array(some.astype(np.int32)), pa.array([parts[k].tobytes() for k in some], pa.binary())], names=["segment", "counts"]
                 )
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,7 +346,7 @@ def crowded_cells(relation: DataFrame, size: int, how: Mining):
             [pa.array([at], pa.int32()), pa.array([np.packbits(total >= how.least).tobytes()], pa.binary())], names=["segment", "crowded"])
         for batch in batches:
             for segment, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
-                part = np.frombuffer(counts.as_buffer(), "<i4").astype(np.int64)
+                part = np.frombuffer(counts.as_buffer(), kind).astype(np.int64)
                 if segment == at:
                     total += part
                     continue
@@ -354,46 +357,123 @@ def crowded_cells(relation: DataFrame, size: int, how: Mining):
             yield flags()
 
     parts = relation.mapInArrow(count, "segment int, counts binary").repartition("segment").sortWithinPartitions("segment")
-    table = np.zeros((how.cells // min(_SEGMENT, how.cells), min(_SEGMENT, how.cells) // 8), np.uint8)
+    table = np.zeros((2 * how.cells // min(_SEGMENT, how.cells), min(_SEGMENT, how.cells) // 8), np.uint8)
     for row in parts.mapInArrow(add, "segment int, crowded binary").toArrow().to_pylist():  # one row per segment: fixed
         table[row["segment"]] = np.frombuffer(row["crowded"], np.uint8)
     return relation.sparkSession.sparkContext.broadcast(table.reshape(-1))
 
 
-def phrase_counts(relation: DataFrame, size: int, how: Mining, crowded) -> DataFrame:
-    """(lang, ws, n): phrases of ``size`` words that the relation marks, at least ``how.least`` times.
+def _summed(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows of the columns, in order, each with the sum of its counts."""
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    fresh = np.zeros(len(order), bool)
+    fresh[:1] = True
+    for column in columns:
+        fresh[1:] |= column[1:] != column[:-1]
+    first = np.flatnonzero(fresh)
+    return [c[first] for c in columns], np.add.reduceat(counts[order], first) if len(first) else counts[:0]
+
+
+class _Sums:
+    """Counts of phrases, added up whenever ``block`` rows more are held than were left the last time."""
+
+    def __init__(self, block: int):
+        self.block, self.parts, self.rows, self.least = block, [], 0, 0
 
-    Occurrences whose cell is not ``crowded`` cannot be of such a phrase and are not sent."""
+    def add(self, columns: list[np.ndarray], counts: np.ndarray) -> None:
+        self.parts.append((columns, counts))
+        self.rows += len(counts)
+        if self.rows >= self.least + self.block:
+            self.parts = [self.get()]
+            self.rows = self.least = len(self.parts[0][1])
+
+    def get(self) -> tuple[list[np.ndarray], np.ndarray]:
+        return _summed([np.concatenate(c) for c in zip(*(p[0] for p in self.parts))], np.concatenate([p[1] for p in self.parts]))
+
+
+def task_counts(relation: DataFrame, size: int, how: Mining, crowded) -> DataFrame:
+    """(lang, w0, w1 ..., n): what each task counts of the phrases of ``size`` words.
+
+    Occurrences with a cell that is not ``crowded`` cannot be of a frequent phrase and are not sent. Each part of the
+    relation is counted on its own, and a task adds up its parts and hands on a phrase once, unless it meets more than
+    2 ``block_rows`` of them. There are as many tasks as cores: if they grew in number with the input, as phrases do,
+    their counts would grow with its square."""
     names = [f"w{k}" for k in range(size)]
 
-    def flushed(labels: list[str], held: list[list[np.ndarray]]) -> pa.RecordBatch:
-        columns = [np.concatenate([part[c] for part in held]) for c in range(size + 1)]
-        rows, counts = _grouped(columns)
+    def packed(labels: list[str], sums: _Sums) -> pa.RecordBatch:
+        columns, counts = sums.get()  # in order of the language
+        edges = np.flatnonzero(np.concatenate(([True], columns[0][1:] != columns[0][:-1], [True])))
+        words = np.stack(columns[1:], 1).reshape(-1).view(np.int64)
+        return pa.RecordBatch.from_arrays([
+            pa.array([labels[k] for k in columns[0][edges[:-1]].tolist()], pa.string()),
+            pa.ListArray.from_arrays(pa.array((edges * size).astype(np.int32)), pa.array(words)),
+            pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(counts)),
+        ], names=["lang", "ws", "ns"])
+
+    def flushed(labels: list[str], sums: _Sums) -> pa.RecordBatch:
+        columns, counts = sums.get()
         return pa.RecordBatch.from_arrays([
-            pa.DictionaryArray.from_arrays(pa.array(columns[0][rows].astype(np.int32)), pa.array(labels, pa.string())).cast(pa.string()),
-            *[pa.array(c[rows].view(np.int64)) for c in columns[1:]], pa.array(counts.astype(np.int64)),
+            pa.DictionaryArray.from_arrays(pa.array(columns[0].astype(np.int32)), pa.array(labels, pa.string())).cast(pa.string()),
+            *[pa.array(c.view(np.int64)) for c in columns[1:]], pa.array(counts),
         ], names=["lang", *names, "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels: list[str] = []
-        held, rows, table = [], 0, crowded.value
+        held, rows, table, sums = [], 0, crowded.value, _Sums(how.block_rows)
+
+        def counted() -> None:
+            nonlocal held, rows
+            columns = [np.concatenate([part[c] for part in held]) for c in range(size + 1)]
+            first, counts = _grouped(columns)
+            sums.add([c[first] for c in columns], counts.astype(np.int64))
+            held, rows = [], 0
+
         for batch in batches:
             for lang, w, _, starts, own in _slices(batch):
                 if lang not in labels:
                     labels.append(lang)
                 found = np.flatnonzero(starts[:own])
-                cell = _cells(lang, w, found, size, how.cells)
-                found = found[(table[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 != 0]
+                both = [(table[c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 != 0 for c in _cells(lang, w, found, size, how.cells)]
+                found = found[both[0] & both[1]]
+                if not len(found):
+                    continue
                 held.append([np.full(len(found), labels.index(lang), np.uint64), *[w[found + k] for k in range(size)]])
                 rows += len(found)
                 if rows >= how.block_rows:
-                    yield flushed(labels, held)
-                    labels, held, rows = [], [], 0
+                    counted()
+                    if sums.least >= 2 * how.block_rows:
+                        yield packed(labels, sums)
+                        sums = _Sums(how.block_rows)
         if rows:
-            yield flushed(labels, held)
+            counted()
+        if sums.rows:
+            yield packed(labels, sums)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels: list[str] = []
+        sums = _Sums(how.block_rows)
+        for batch in batches:
+            for i, lang in enumerate(batch.column(0).to_pylist()):
+                if lang not in labels:
+                    labels.append(lang)
+                words, counts = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (1, 2))
+                sums.add([np.full(len(counts), labels.index(lang), np.uint64), *words.reshape(-1, size).T], counts)
+                if sums.least >= 2 * how.block_rows:
+                    yield flushed(labels, sums)
+                    sums = _Sums(how.block_rows)
+        if sums.rows:
+            yield flushed(labels, sums)
+
+    cores = max(1, relation.sparkSession.sparkContext.defaultParallelism)
+    parts = relation.mapInArrow(run, "lang string, ws array<bigint>, ns array<bigint>").coalesce(cores)
+    return parts.mapInArrow(merged, ", ".join(["lang string", *[f"{n} bigint" for n in names], "n bigint"]))
 
-    schema = ", ".join(["lang string", *[f"{n} bigint" for n in names], "n bigint"])
-    counted = relation.mapInArrow(run, schema).groupBy("lang", *names).agg(F.sum("n").alias("n")).filter(F.col("n") >= how.least)
+
+def phrase_counts(relation: DataFrame, size: int, how: Mining, crowded) -> DataFrame:
+    """(lang, ws, n): phrases of ``size`` words that the relation marks, at least ``how.least`` times."""
+    names = [f"w{k}" for k in range(size)]
+    counted = task_counts(relation, size, how, crowded).groupBy("lang", *names).agg(F.sum("n").alias("n")).filter(F.col("n") >= how.least)
     return counted.select("lang", F.array(*names).alias("ws"), "n")
 
 

@@ -148,6 +148,28 @@ def test_phrases_of_awkward_and_empty_tables(spark):
     assert phrases.collocations(empty(spark)).count() == 0
 
 
+def test_phrase_counts_leave_a_task_once(spark):
+    """However many blocks a task reads, it sends a phrase once, and the tasks do not grow in number with the input."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    rows = [("xx", " ".join(rng.choice("abcdefgh") for _ in range(400))) for _ in range(60)] + [("yy", "one two " * 300)]
+    texts = spark.createDataFrame(rows, "lang string, text string").repartition(40)
+    how = phrases.Mining(least=100, slice_words=50, block_bytes=1 << 12, block_rows=64, filter_bits=1 << 12, cells=1 << 8)
+    _, words, seed = phrases._frequent_words(texts, how)
+    held = phrases.Filter.of(words.select("lang", F.array("name").alias("ws"), "n"), 1, how.filter_bits)
+    relation = phrases.first_relation(texts, held, how, seed).localCheckpoint()
+    crowded = phrases.crowded_cells(relation, 2, how)
+    wide = Counter((lang, *pair) for lang, text in rows for pair in zip(text.split(), text.split()[1:]))
+    tasks, cores = relation.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism
+    sent = phrases.task_counts(relation, 2, how, crowded).agg(F.count("*"), F.sum("n")).first()
+    assert tasks > cores and sent[0] <= cores * len(wide) and sent[1] == sum(wide.values())
+    alone = phrases.task_counts(relation.repartition(1), 2, how, crowded).count()
+    assert alone == len(wide)
+    counted = phrases.phrase_counts(relation, 2, how, crowded).collect()
+    assert sorted(r.n for r in counted) == sorted(n for n in wide.values() if n >= 100)
+
+
 def plain_quality(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
