@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import array
 import functools
 import re
 import struct
+import sys
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -74,14 +78,23 @@ class Layout:
         ids = np.frombuffer(record, "<u2", tokens, at + struct.calcsize(_HEAD))
         return None if doc_id == -(2**63) else doc_id, number, ids.tolist()
 
-    def row(self, record: bytes) -> tuple:
-        """A stored record as a row of ``ROW``; everything but the bytes follows from its slot and head."""
-        slot, doc_id, seq, tokens = struct.unpack_from(_SLOT + _HEAD[1:], record)
-        shard, place = divmod(slot, self.shard_rows)
-        return (
-            slot, shard, place * self.stride, None if doc_id == -(2**63) else doc_id, seq, tokens,
-            bytearray(record[: self.stride - 1]),
-        )
+    def columns(self, stored: str) -> list:
+        """A stored record as the columns of ``ROW``; everything but the bytes follows from its slot and head."""
+        number = lambda at, size: F.conv(F.hex(F.substring(stored, at, size)), 16, -10).cast("long")
+        slot, doc_id = number(1, 8), number(9, 8)
+        return [
+            slot.alias("slot"), F.floor(slot / self.shard_rows).alias("shard"),
+            (slot % self.shard_rows * self.stride).alias("offset"), F.when(doc_id != -(2**63), doc_id).alias("doc_id"),
+            number(17, 4).cast("int").alias("seq"), number(21, 4).cast("int").alias("n_tokens"),
+            F.substring(stored, 1, self.stride - 1).alias("record"),
+        ]
+
+
+def _ids(numbers: list[int]) -> bytes:
+    out = array.array("H", numbers)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 @functools.lru_cache(maxsize=2)
@@ -97,28 +110,46 @@ def _speller(path: str):
 
     def spell(text: str) -> bytes:
         if len(text) < BLANKS or not endless.search(text):
-            return np.array(vocabulary.encode_ordinary(text), "<u2").tobytes()
-        return b"".join(np.array(vocabulary._encode_single_piece(w), "<u2").tobytes() for w in split.findall(text))
+            return _ids(vocabulary.encode_ordinary(text))
+        return b"".join(_ids(vocabulary._encode_single_piece(w)) for w in split.findall(text))
 
     return spell
 
 
+@functools.lru_cache(maxsize=2)
+def _counter(path: str):
+    """A function that counts the ids of a text."""
+    vocabulary, spell, endless = encoding(path), _speller(path), re.compile(rf"\s{{{BLANKS}}}")
+
+    def count(text: str) -> int:
+        if len(text) < BLANKS or not endless.search(text):
+            return len(vocabulary.encode_ordinary(text))
+        return len(spell(text)) // 2
+
+    return count
+
+
+def _cut(ids: bytes, doc_id: int | None, layout: Layout) -> Iterator[tuple[int, int, bytes]]:
+    """(number, tokens, head and padded ids) of each sequence of a document."""
+    pad, step = struct.pack("<H", PAD) * layout.sequence, 2 * layout.sequence
+    own = -(2**63) if doc_id is None else doc_id
+    for seq, at in enumerate(range(0, len(ids), step)):
+        piece = ids[at : at + step]
+        yield seq, len(piece) // 2, struct.pack(_HEAD, own, seq, len(piece) // 2) + piece + pad[len(piece) :]
+
+
 def sequences(docs: DataFrame, layout: Layout, path: str) -> DataFrame:
     """Records of all documents with their task and place in it: part, place, doc_id, seq, n_tokens, record."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         spell, part, place = _speller(path), TaskContext.get().partitionId(), 0
-        pad, step = np.array([PAD], "<u2").tobytes() * layout.sequence, 2 * layout.sequence
         names = ["part", "place", "doc_id", "seq", "n_tokens", "record"]
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 ids = spell(text) if text else b""
-                own = -(2**63) if doc_id is None else int(doc_id)
-                for seq, at in enumerate(range(0, len(ids), step)):
-                    piece = ids[at : at + step]
-                    head = struct.pack(_HEAD, own, seq, len(piece) // 2)
-                    rows.append((part, place, doc_id, seq, len(piece) // 2, head + piece + pad[len(piece) :]))
+                for seq, tokens, record in _cut(ids, None if doc_id is None else int(doc_id), layout):
+                    rows.append((part, place, doc_id, seq, tokens, record))
                     place += 1
                 if len(rows) >= 4096:
                     yield pd.DataFrame(rows, columns=names)
@@ -171,6 +202,58 @@ def training_order(
     return rows.repartitionByRange(partitions(docs.sparkSession), "slot").sortWithinPartitions("slot")
 
 
+def _recounted(docs: DataFrame, layout: Layout, key: int, path: str) -> tuple[DataFrame, int]:
+    """Shard, slot and record of every sequence, as ``training_order`` numbers them, and their number; no tokens are stored.
+
+    One pass counts the sequences of each task, a second spells the documents again with their slots. A task that meets
+    other documents than in the first pass, or another order, fails, so no slot is lost or used twice."""
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+
+    def spelled(batches: Iterator[pa.RecordBatch], spell) -> Iterator[tuple]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                yield from ((d, spell(t)) for d, t in zip(some.column(0).to_pylist(), some.column(1).to_pylist()) if t)
+
+    def named(seen: int, doc_id: int | None, n: int) -> int:
+        return zlib.crc32(f"{doc_id}:{n}".encode(), seen)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, total, seen = TaskContext.get().partitionId(), 0, 0
+        for doc_id, tokens in spelled(batches, _counter(path)):
+            n = -(-tokens // layout.sequence)
+            total, seen = total + n, named(seen, doc_id, n)
+        yield pa.RecordBatch.from_pydict({"part": [part], "n": [total], "seen": [seen]})
+
+    counted = sorted(tuple(r) for r in texts.mapInArrow(count, "part long, n long, seen long").collect())  # one row per task
+    first = np.cumsum([0, *(n for _, n, _ in counted)]).tolist()
+    known = docs.sparkSession.sparkContext.broadcast({part: (at, at + n, seen) for at, (part, n, seen) in zip(first, counted)})
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, end, before = known.value.get(TaskContext.get().partitionId(), (0, 0, 0))
+        seen, held = 0, []
+
+        def slotted() -> pa.RecordBatch:
+            slots = feistel(np.arange(at, at + len(held)), first[-1], key)
+            made = [struct.pack(_SLOT, slot) + record for slot, record in zip(slots.tolist(), held)]
+            return pa.RecordBatch.from_arrays([pa.array(slots), pa.array(made, pa.binary())], names=["slot", "record"])
+
+        for doc_id, ids in spelled(batches, _speller(path)):
+            size = len(held)
+            held.extend(record for _, _, record in _cut(ids, doc_id, layout))
+            seen = named(seen, doc_id, len(held) - size)
+            if len(held) >= 4096 and at + len(held) <= end:
+                yield slotted()
+                at, held = at + len(held), []
+        if at + len(held) != end or seen != before:
+            raise RuntimeError("the documents changed between two readings; store them before they are ordered")
+        if held:
+            yield slotted()
+
+    made = texts.mapInArrow(records, "slot long, record binary")
+    return made.select(F.floor(F.col("slot") / layout.shard_rows).alias("shard"), "slot", "record"), first[-1]
+
+
 def write_shards(rows: DataFrame, folder: str, shards: int | None = None) -> None:
     """One file per shard under ``folder``/shard=N, records at ``offset`` with the fixed stride.
 
@@ -210,7 +293,8 @@ def read_shards(spark: SparkSession, folder: str, layout: Layout = Layout(), fro
     if spark.read.format("binaryFile").load(folder).select("path").filter(shard >= first).isEmpty():
         return spark.createDataFrame([], ROW)
     records = spark.sparkContext.binaryRecords(f"{folder}/{_from_shard(first)}", layout.stride)
-    return spark.createDataFrame(records.map(layout.row), ROW, verifySchema=False).filter(F.col("slot") >= from_slot)
+    whole = spark.createDataFrame(records.map(lambda r: (bytearray(r),)), "stored binary", verifySchema=False)
+    return whole.select(*layout.columns("stored")).filter(F.col("slot") >= from_slot)
 
 
 def materialised(
@@ -219,10 +303,11 @@ def materialised(
 ) -> DataFrame:
     """``training_order`` written as shards to ``folder`` (a new one in the shared folder if none is named) and read from them.
 
-    Documents without tokens, or none at all, leave no shard and give no rows."""
+    ``docs`` are read twice and must come alike both times, as a table's rows do; their tokens are not stored besides the
+    shards. Documents without tokens, or none at all, leave no shard and give no rows."""
     spark = docs.sparkSession
     folder = folder or f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
-    rows, count = _slotted(docs, layout, key, path)
+    rows, count = _recounted(docs, layout, key, path)
     if not count:
         return spark.createDataFrame([], ROW)
     write_shards(rows, folder, -(-count // layout.shard_rows))

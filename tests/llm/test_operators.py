@@ -9,9 +9,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cliploom.llm import (
-    fingerprints, language, lattice, mixing, pieces, secrets, setsketch, sharding, site_lines, training_order, words,
+    fingerprints, language, lattice, mixing, pieces, secrets, setsketch, sharding, site_lines, storage, training_order, words,
 )
 from cliploom.llm.components import components as spark_components
 from tests.llm.frames import SF, awkward, components, empty, shingles
@@ -119,6 +120,25 @@ def test_training_order_round_trip(spark, tmp_path):
     assert training_order.materialised(empty(spark)).count() == 0
 
 
+def test_shards_need_no_table_of_tokens(spark, tmp_path):
+    from pathlib import Path
+
+    layout = training_order.Layout(sequence=16, shard_rows=64)
+    shared = Path(storage.shared_folder(spark).removeprefix("file:"))
+    before = {x.name for x in shared.iterdir()} if shared.exists() else set()
+    made = rows(training_order.materialised(awkward(spark), layout, folder=str(tmp_path / "made")))
+    assert ({x.name for x in shared.iterdir()} if shared.exists() else set()) == before
+    assert sorted(r["slot"] for r in made) == list(range(len(made)))
+    ids = spark.createDataFrame([(None, "one"), (-5, "two"), (2**62 + 1, "three " * 40)], "doc_id long, text string")
+    read = rows(training_order.materialised(ids, layout, folder=str(tmp_path / "ids")))
+    assert sorted((r["doc_id"] or 0, r["seq"]) for r in read) == [(-5, 0), (0, 0), (2**62 + 1, 0), (2**62 + 1, 1), (2**62 + 1, 2)]
+    assert [layout.unpack(bytes(r["record"]))[:2] for r in read] == [(r["doc_id"], r["seq"]) for r in read]
+    changing = F.udf(lambda i: random.SystemRandom().choice("abc") * 20 + f" {random.SystemRandom().random()}").asNondeterministic()
+    docs = spark.range(20, numPartitions=2).select(F.col("id").alias("doc_id"), changing("id").alias("text"))
+    with pytest.raises(Exception, match="changed between two readings"):
+        training_order.materialised(docs, layout, folder=str(tmp_path / "changed"))
+
+
 def test_resuming_opens_no_earlier_shard():
     for first in (0, 7, 9, 10, 199, 1234567890 % 10**9):
         pattern = training_order._from_shard(first)[len("shard={") : -1].split(",")
