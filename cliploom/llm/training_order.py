@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import array
-import functools
-import re
 import struct
-import sys
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -19,7 +15,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cliploom.llm.secrets import TOKENIZERS, VOCABULARY, encoding
+from cliploom.llm.secrets import TOKENIZERS, VOCABULARY
+from cliploom.llm.spelling import counted, slices, spelled
 from cliploom.llm.storage import as_text, partitions, shared_folder, stored
 from cliploom.llm.words import mixed
 
@@ -28,8 +25,6 @@ PAD = 50256
 SHARD_ROWS = 65536
 ROUNDS = 6
 KEY = 20_240_601
-#: Whole texts go to the tokenizer unless a stretch of blanks this long would exhaust its pattern search.
-BLANKS = 50_000
 #: Most tasks that write shards; beyond it a task writes several.
 WRITERS = 20_000
 _SLOT = ">q"
@@ -90,43 +85,9 @@ class Layout:
         ]
 
 
-def _ids(numbers: list[int]) -> bytes:
-    out = array.array("H", numbers)
-    if sys.byteorder == "big":
-        out.byteswap()
-    return out.tobytes()
-
-
-@functools.lru_cache(maxsize=2)
 def _speller(path: str):
-    """A function that spells a text as two-byte ids.
-
-    The tokenizer takes the whole text; one with an endless stretch of blanks is split into words first, with the same
-    pattern, so the ids are the same."""
-    import regex
-
-    vocabulary = encoding(path)
-    split, endless = regex.compile(vocabulary._pat_str), re.compile(rf"\s{{{BLANKS}}}")
-
-    def spell(text: str) -> bytes:
-        if len(text) < BLANKS or not endless.search(text):
-            return _ids(vocabulary.encode_ordinary(text))
-        return b"".join(_ids(vocabulary._encode_single_piece(w)) for w in split.findall(text))
-
-    return spell
-
-
-@functools.lru_cache(maxsize=2)
-def _counter(path: str):
-    """A function that counts the ids of a text."""
-    vocabulary, spell, endless = encoding(path), _speller(path), re.compile(rf"\s{{{BLANKS}}}")
-
-    def count(text: str) -> int:
-        if len(text) < BLANKS or not endless.search(text):
-            return len(vocabulary.encode_ordinary(text))
-        return len(spell(text)) // 2
-
-    return count
+    """A function that spells a text as two-byte ids."""
+    return lambda text: spelled(next(slices(pa.array([text]))), path)[0]
 
 
 def _cut(ids: bytes, doc_id: int | None, layout: Layout) -> Iterator[tuple[int, int, bytes]]:
@@ -138,16 +99,21 @@ def _cut(ids: bytes, doc_id: int | None, layout: Layout) -> Iterator[tuple[int,
         yield seq, len(piece) // 2, struct.pack(_HEAD, own, seq, len(piece) // 2) + piece + pad[len(piece) :]
 
 
+def _along(doc_ids, texts: pa.Array, spell, path: str) -> Iterator[tuple]:
+    """Each document's number with what ``spell`` makes of its text, a slice at a time."""
+    made = (x for some in slices(texts) for x in spell(some, path))
+    return zip(doc_ids, made, strict=True)
+
+
 def sequences(docs: DataFrame, layout: Layout, path: str) -> DataFrame:
     """Records of all documents with their task and place in it: part, place, doc_id, seq, n_tokens, record."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        spell, part, place = _speller(path), TaskContext.get().partitionId(), 0
+        part, place = TaskContext.get().partitionId(), 0
         names = ["part", "place", "doc_id", "seq", "n_tokens", "record"]
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ids = spell(text) if text else b""
+            for doc_id, ids in _along(batch["doc_id"], pa.Array.from_pandas(batch["text"], type=pa.string()), spelled, path):
                 for seq, tokens, record in _cut(ids, None if doc_id is None else int(doc_id), layout):
                     rows.append((part, place, doc_id, seq, tokens, record))
                     place += 1
@@ -209,25 +175,23 @@ def _recounted(docs: DataFrame, layout: Layout, key: int, path: str) -> tuple[Da
     other documents than in the first pass, or another order, fails, so no slot is lost or used twice."""
     texts = docs.select(F.col("doc_id").cast("long"), "text")
 
-    def spelled(batches: Iterator[pa.RecordBatch], spell) -> Iterator[tuple]:
+    def read(batches: Iterator[pa.RecordBatch], spell) -> Iterator[tuple]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                yield from ((d, spell(t)) for d, t in zip(some.column(0).to_pylist(), some.column(1).to_pylist()) if t)
+            yield from _along(batch.column(0).to_pylist(), batch.column(1), spell, path)
 
     def named(seen: int, doc_id: int | None, n: int) -> int:
         return zlib.crc32(f"{doc_id}:{n}".encode(), seen)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, total, seen = TaskContext.get().partitionId(), 0, 0
-        for doc_id, tokens in spelled(batches, _counter(path)):
-            n = -(-tokens // layout.sequence)
+        for doc_id, tokens in read(batches, counted):
+            n = -(-int(tokens) // layout.sequence)
             total, seen = total + n, named(seen, doc_id, n)
         yield pa.RecordBatch.from_pydict({"part": [part], "n": [total], "seen": [seen]})
 
-    counted = sorted(tuple(r) for r in texts.mapInArrow(count, "part long, n long, seen long").collect())  # one row per task
-    first = np.cumsum([0, *(n for _, n, _ in counted)]).tolist()
-    known = docs.sparkSession.sparkContext.broadcast({part: (at, at + n, seen) for at, (part, n, seen) in zip(first, counted)})
+    tallies = sorted(tuple(r) for r in texts.mapInArrow(count, "part long, n long, seen long").collect())  # one row per task
+    first = np.cumsum([0, *(n for _, n, _ in tallies)]).tolist()
+    known = docs.sparkSession.sparkContext.broadcast({part: (at, at + n, seen) for at, (part, n, seen) in zip(first, tallies)})
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, end, before = known.value.get(TaskContext.get().partitionId(), (0, 0, 0))
@@ -238,7 +202,7 @@ def _recounted(docs: DataFrame, layout: Layout, key: int, path: str) -> tuple[Da
             made = [struct.pack(_SLOT, slot) + record for slot, record in zip(slots.tolist(), held)]
             return pa.RecordBatch.from_arrays([pa.array(slots), pa.array(made, pa.binary())], names=["slot", "record"])
 
-        for doc_id, ids in spelled(batches, _speller(path)):
+        for doc_id, ids in read(batches, spelled):
             size = len(held)
             held.extend(record for _, _, record in _cut(ids, doc_id, layout))
             seen = named(seen, doc_id, len(held) - size)
