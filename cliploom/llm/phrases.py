@@ -32,8 +32,9 @@ class Mining:
     least: int = 100
     longest: int = 5
     top: int = 2000
-    #: Words of a slice of the relation; each carries the next words too, so phrases across its end are seen.
-    slice_words: int = 1 << 15
+    #: Words of a slice of the relation; each carries the next words too, so phrases across its end are seen. Slices are short, as
+    #: Spark's readers hold thousands of rows at once.
+    slice_words: int = 1 << 7
     #: Bytes of text that are taken apart at once, and occurrences that are counted at once.
     block_bytes: int = 1 << 19
     block_rows: int = 1 << 18
@@ -232,14 +233,15 @@ class Filter:
 _SLICE = "lang string, w array<bigint>, follows array<boolean>, starts array<boolean>, own int"
 
 
-def _slice_batch(lang: str, w: np.ndarray, place: np.ndarray, starts: np.ndarray, own: int) -> pa.RecordBatch:
-    """One row of the relation."""
-    one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+def _slice_batch(langs: pa.Array, edges: np.ndarray, w: np.ndarray, place: np.ndarray, starts: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+    """Rows of the relation: slice ``i`` holds the words from ``edges[i]`` to ``edges[i + 1]``."""
+    several = lambda values: pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(values))
     follows = np.diff(place, prepend=place[:1]) == 1  # all that matters of the places: which words stand next to each other
-    return pa.RecordBatch.from_arrays([
-        pa.array([lang], pa.string()), one(pa.array(w.view(np.int64))), one(pa.array(follows)), one(pa.array(starts)),
-        pa.array([own], pa.int32()),
-    ], names=["lang", "w", "follows", "starts", "own"])
+    follows[edges[:-1]] = False
+    return pa.RecordBatch.from_arrays(
+        [langs, several(w.view(np.int64)), several(follows), several(starts), pa.array(own.astype(np.int32))],
+        names=["lang", "w", "follows", "starts", "own"],
+    )
 
 
 def _next_to(place: np.ndarray) -> np.ndarray:
@@ -269,37 +271,75 @@ def first_relation(texts: DataFrame, frequent, how: Mining, seed: int) -> DataFr
             for k, label in enumerate(langs):
                 w, p = name[edges[k] : edges[k + 1]], place[edges[k] : edges[k + 1]]
                 w, p, starts, _ = _pruned(w, p, _next_to(p), 2)
-                for at in range(0, len(w), how.slice_words):
-                    to = min(len(w), at + how.slice_words)
-                    past = min(len(w), to + how.longest - 1)
-                    yield _slice_batch(label, w[at:past], p[at:past], starts[at:past], to - at)
+                if len(w):
+                    at = np.arange(0, len(w), how.slice_words)
+                    to = np.minimum(len(w), at + how.slice_words)
+                    ends = np.cumsum(np.minimum(len(w), to + how.longest - 1) - at)
+                    lengths = np.diff(ends, prepend=0)
+                    pick = np.arange(ends[-1]) + np.repeat(at - ends + lengths, lengths)
+                    yield _slice_batch(pa.array([label] * len(at), pa.string()), np.append(0, ends), w[pick], p[pick], starts[pick], to - at)
 
     return texts.mapInArrow(run, _SLICE)
 
 
-def _slices(batch: pa.RecordBatch):
-    """Rows of the relation as arrays."""
-    labels, own = batch.column(0).to_pylist(), batch.column(4).to_pylist()
-    for i, lang in enumerate(labels):
-        w, follows, starts = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (1, 2, 3))
-        yield lang, w.view(np.uint64), np.cumsum(np.where(follows.astype(bool), 1, 2)), starts.astype(bool), own[i]
+@dataclass
+class _Block:
+    """Consecutive slices as arrays: of each word the language's number, place (no slice begins next to the one before), mark,
+    whether it is the slice's own, and where its slice ends; ``langs``, ``edges`` and ``own`` are of the slices."""
+
+    langs: pa.Array
+    edges: np.ndarray
+    own: np.ndarray
+    lang: np.ndarray
+    w: np.ndarray
+    place: np.ndarray
+    starts: np.ndarray
+    mine: np.ndarray
+    end: np.ndarray
+
+
+def _blocks(batch: pa.RecordBatch, words: int) -> Iterator[_Block]:
+    """Rows of the relation, as many at a time as hold ``words`` words, at least one."""
+    langs, own = batch.column(0), batch.column(4).to_numpy(zero_copy_only=False)
+    coded = langs.dictionary_encode()
+    names = _lang_names(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)] if len(batch) else []
+    offsets, at = [batch.column(c).offsets.to_numpy(zero_copy_only=False) for c in (1, 2, 3)], 0
+    while at < len(batch):
+        to = max(at + 1, int(np.searchsorted(offsets[0], offsets[0][at] + words, "right")) - 1)
+        w, follows, starts = (
+            batch.column(c).values.slice(o[at], o[to] - o[at]).to_numpy(zero_copy_only=False) for c, o in zip((1, 2, 3), offsets)
+        )
+        edges = (offsets[0][at : to + 1] - offsets[0][at]).astype(np.int64)
+        lengths = np.diff(edges)
+        yield _Block(
+            langs.slice(at, to - at), edges, own[at:to], np.repeat(names[at:to], lengths), w.view(np.uint64),
+            np.cumsum(np.where(follows.astype(bool), 1, 2)), starts.astype(bool),
+            np.arange(len(w)) < np.repeat(edges[:-1] + own[at:to], lengths), np.repeat(edges[1:], lengths),
+        )
+        at = to
     pa.default_memory_pool().release_unused()
 
 
-def next_relation(relation: DataFrame, frequent, size: int) -> DataFrame:
+def next_relation(relation: DataFrame, frequent, size: int, how: Mining = Mining()) -> DataFrame:
     """Merge-join of the occurrences of frequent phrases of ``size`` words with those one position later: ``R(size + 1)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = frequent.value
-        for batch in batches:
-            for lang, w, place, starts, own in _slices(batch):
-                found = np.flatnonzero(starts[: len(starts) - size + 1])
-                alive = np.zeros(len(w), bool)
-                alive[found[Filter.hits(table, np.full(len(found), _lang_names([lang])[0]), [w[found + k] for k in range(size)])]] = True
-                joined = alive & _next_to(place) & np.append(alive[1:], False)
-                if joined.any():
-                    w, place, joined, cover = _pruned(w, place, joined, size + 1)
-                    yield _slice_batch(lang, w, place, joined, int(cover[:own].sum()))
+        for block in (b for batch in batches for b in _blocks(batch, how.block_rows)):
+            found = np.flatnonzero(block.starts)
+            found = found[found + size <= block.end[found]]
+            alive = np.zeros(len(block.w), bool)
+            alive[found[Filter.hits(table, block.lang[found], [block.w[found + k] for k in range(size)])]] = True
+            joined = alive & _next_to(block.place) & np.append(alive[1:], False)
+            marks = np.append(0, np.cumsum(joined & block.mine))
+            used = marks[block.edges[1:]] > marks[block.edges[:-1]]
+            if used.any():
+                joined &= np.repeat(used, np.diff(block.edges))
+                w, place, starts, cover = _pruned(block.w, block.place, joined, size + 1)
+                kept = np.append(0, np.cumsum(cover))
+                own = kept[block.edges[:-1] + block.own] - kept[block.edges[:-1]]
+                edges = np.append(0, kept[block.edges[1:]][used])
+                yield _slice_batch(block.langs.filter(pa.array(used)), edges, w, place, starts, own[used])
 
     return relation.mapInArrow(run, _SLICE)
 
@@ -307,13 +347,19 @@ def next_relation(relation: DataFrame, frequent, size: int) -> DataFrame:
 _SEGMENT = 1 << 12
 
 
-def _cells(lang: str, w: np.ndarray, found: np.ndarray, size: int, cells: int) -> tuple[np.ndarray, np.ndarray]:
-    """Both cells of the phrases of ``size`` words that start at ``found``; the second lies in a half of its own."""
-    name = _tuple_names([np.full(len(found), _lang_names([lang])[0]), *[w[found + k] for k in range(size)]])
+def _cells(columns: list[np.ndarray], cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both cells of the phrases in ``columns`` (language number and words); the second lies in a half of its own."""
+    name = _tuple_names(columns)
     first, second = (mixed(name ^ np.uint64(salt)) % np.uint64(cells) for salt in (0xA5A5A5A5A5A5A5A5, 0x5BD1E995C6A4A793))
     return first.astype(np.int64), second.astype(np.int64) + cells
 
 
+def _marked(block: _Block, size: int) -> list[np.ndarray]:
+    """Language number and words of the phrases of ``size`` words that the block's own words start."""
+    found = np.flatnonzero(block.starts & block.mine)
+    return [block.lang[found], *[block.w[found + k] for k in range(size)]]
+
+
 def crowded_cells(relation: DataFrame, size: int, how: Mining):
     """A broadcast table of the cells, in two halves, that at least ``how.least`` marked occurrences fall into.
 
@@ -323,14 +369,13 @@ def crowded_cells(relation: DataFrame, size: int, how: Mining):
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, any_ = np.zeros(2 * how.cells, kind), False
-        for batch in batches:
-            for lang, w, _, starts, own in _slices(batch):
-                found = np.flatnonzero(starts[:own])
-                if len(found):
-                    any_ = True
-                    for cell in _cells(lang, w, found, size, how.cells):
-                        at, n = np.unique(cell, return_counts=True)
-                        held[at] = np.minimum(held[at] + n, how.least)
+        for block in (b for batch in batches for b in _blocks(batch, how.block_rows)):
+            columns = _marked(block, size)
+            if len(columns[0]):
+                any_ = True
+                for cell in _cells(columns, how.cells):
+                    at, n = np.unique(cell, return_counts=True)
+                    held[at] = np.minimum(held[at] + n, how.least)
         if any_:
             parts = held.reshape(-1, min(_SEGMENT, how.cells))
             used = np.flatnonzero(parts.any(1))
@@ -363,18 +408,6 @@ def crowded_cells(relation: DataFrame, size: int, how: Mining):
     return relation.sparkSession.sparkContext.broadcast(table.reshape(-1))
 
 
-def _summed(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """The distinct rows of the columns, in order, each with the sum of its counts."""
-    order = np.lexsort(columns[::-1])
-    columns = [c[order] for c in columns]
-    fresh = np.zeros(len(order), bool)
-    fresh[:1] = True
-    for column in columns:
-        fresh[1:] |= column[1:] != column[:-1]
-    first = np.flatnonzero(fresh)
-    return [c[first] for c in columns], np.add.reduceat(counts[order], first) if len(first) else counts[:0]
-
-
 class _Sums:
     """Counts of phrases, added up whenever ``block`` rows more are held than were left the last time."""
 
@@ -382,92 +415,79 @@ class _Sums:
         self.block, self.parts, self.rows, self.least = block, [], 0, 0
 
     def add(self, columns: list[np.ndarray], counts: np.ndarray) -> None:
-        self.parts.append((columns, counts))
+        self.parts.append([*columns, counts])
         self.rows += len(counts)
         if self.rows >= self.least + self.block:
             self.parts = [self.get()]
-            self.rows = self.least = len(self.parts[0][1])
-
-    def get(self) -> tuple[list[np.ndarray], np.ndarray]:
-        return _summed([np.concatenate(c) for c in zip(*(p[0] for p in self.parts))], np.concatenate([p[1] for p in self.parts]))
+            self.rows = self.least = len(self.parts[0][0])
+
+    def get(self) -> list[np.ndarray]:
+        """The distinct rows and the sums of their counts. Columns are put together one by one and their parts let go; a clash
+        of hashes can only split a group."""
+        parts, columns = self.parts, []
+        for c in range(len(parts[0])):
+            columns.append(np.concatenate([p[c] for p in parts]))
+            for p in parts:
+                p[c] = None
+        self.parts = []
+        order, fresh = np.argsort(_tuple_names(columns[:-1])), np.zeros(len(columns[0]), bool)
+        fresh[:1] = True
+        for c, column in enumerate(columns):
+            columns[c] = column = column[order]
+            if c < len(columns) - 1:
+                fresh[1:] |= column[1:] != column[:-1]
+        first = np.flatnonzero(fresh)
+        columns[-1] = np.add.reduceat(columns[-1], first) if len(first) else columns[-1]
+        for c in range(len(columns) - 1):
+            columns[c] = columns[c][first]
+        return columns
+
+
+#: Rows that a task hands on at once.
+_SENT_ROWS = 1 << 16
 
 
 def task_counts(relation: DataFrame, size: int, how: Mining, crowded) -> DataFrame:
     """(lang, w0, w1 ..., n): what each task counts of the phrases of ``size`` words.
 
-    Occurrences with a cell that is not ``crowded`` cannot be of a frequent phrase and are not sent. Each part of the
-    relation is counted on its own, and a task adds up its parts and hands on a phrase once, unless it meets more than
-    2 ``block_rows`` of them. There are as many tasks as cores: if they grew in number with the input, as phrases do,
-    their counts would grow with its square."""
+    Occurrences with a cell that is not ``crowded`` cannot be of a frequent phrase and are not sent. A task reads its parts of
+    the relation as one stream, adds up blocks of it and hands on a phrase once, unless it meets more than 2 ``block_rows`` of
+    them: what it holds is bounded by that, however many pass the cells. There are as many tasks as cores: if they grew in
+    number with the input, as phrases do, their counts would grow with its square."""
     names = [f"w{k}" for k in range(size)]
 
-    def packed(labels: list[str], sums: _Sums) -> pa.RecordBatch:
-        columns, counts = sums.get()  # in order of the language
-        edges = np.flatnonzero(np.concatenate(([True], columns[0][1:] != columns[0][:-1], [True])))
-        words = np.stack(columns[1:], 1).reshape(-1).view(np.int64)
-        return pa.RecordBatch.from_arrays([
-            pa.array([labels[k] for k in columns[0][edges[:-1]].tolist()], pa.string()),
-            pa.ListArray.from_arrays(pa.array((edges * size).astype(np.int32)), pa.array(words)),
-            pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(counts)),
-        ], names=["lang", "ws", "ns"])
-
-    def flushed(labels: list[str], sums: _Sums) -> pa.RecordBatch:
-        columns, counts = sums.get()
-        return pa.RecordBatch.from_arrays([
-            pa.DictionaryArray.from_arrays(pa.array(columns[0].astype(np.int32)), pa.array(labels, pa.string())).cast(pa.string()),
-            *[pa.array(c.view(np.int64)) for c in columns[1:]], pa.array(counts),
-        ], names=["lang", *names, "n"])
+    def flushed(labels: dict[int, str], sums: _Sums) -> Iterator[pa.RecordBatch]:
+        columns = sums.get()
+        for at in range(0, len(columns[0]), _SENT_ROWS):
+            lang, *words, n = (c[at : at + _SENT_ROWS] for c in columns)
+            known, codes = np.unique(lang, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([
+                pa.DictionaryArray.from_arrays(pa.array(codes.astype(np.int32)), pa.array([labels[k] for k in known.tolist()], pa.string())).cast(pa.string()),
+                *[pa.array(c.view(np.int64)) for c in words], pa.array(n),
+            ], names=["lang", *names, "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labels: list[str] = []
-        held, rows, table, sums = [], 0, crowded.value, _Sums(how.block_rows)
-
-        def counted() -> None:
-            nonlocal held, rows
-            columns = [np.concatenate([part[c] for part in held]) for c in range(size + 1)]
-            first, counts = _grouped(columns)
-            sums.add([c[first] for c in columns], counts.astype(np.int64))
-            held, rows = [], 0
-
+        labels: dict[int, str] = {}
+        table, sums = crowded.value, _Sums(how.block_rows)
         for batch in batches:
-            for lang, w, _, starts, own in _slices(batch):
-                if lang not in labels:
-                    labels.append(lang)
-                found = np.flatnonzero(starts[:own])
-                both = [(table[c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 != 0 for c in _cells(lang, w, found, size, how.cells)]
-                found = found[both[0] & both[1]]
-                if not len(found):
+            said = batch.column(0).unique().to_pylist()
+            labels.update(zip(_lang_names(said).tolist(), said))
+            for block in _blocks(batch, how.block_rows):
+                columns = _marked(block, size)
+                both = [(table[c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 != 0 for c in _cells(columns, how.cells)]
+                columns = [c[both[0] & both[1]] for c in columns]
+                if not len(columns[0]):
                     continue
-                held.append([np.full(len(found), labels.index(lang), np.uint64), *[w[found + k] for k in range(size)]])
-                rows += len(found)
-                if rows >= how.block_rows:
-                    counted()
-                    if sums.least >= 2 * how.block_rows:
-                        yield packed(labels, sums)
-                        sums = _Sums(how.block_rows)
-        if rows:
-            counted()
-        if sums.rows:
-            yield packed(labels, sums)
-
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labels: list[str] = []
-        sums = _Sums(how.block_rows)
-        for batch in batches:
-            for i, lang in enumerate(batch.column(0).to_pylist()):
-                if lang not in labels:
-                    labels.append(lang)
-                words, counts = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (1, 2))
-                sums.add([np.full(len(counts), labels.index(lang), np.uint64), *words.reshape(-1, size).T], counts)
+                first, counts = _grouped(columns)
+                sums.add([c[first] for c in columns], counts.astype(np.int64))
                 if sums.least >= 2 * how.block_rows:
-                    yield flushed(labels, sums)
+                    yield from flushed(labels, sums)
                     sums = _Sums(how.block_rows)
         if sums.rows:
-            yield flushed(labels, sums)
+            yield from flushed(labels, sums)
 
     cores = max(1, relation.sparkSession.sparkContext.defaultParallelism)
-    parts = relation.mapInArrow(run, "lang string, ws array<bigint>, ns array<bigint>").coalesce(cores)
-    return parts.mapInArrow(merged, ", ".join(["lang string", *[f"{n} bigint" for n in names], "n bigint"]))
+    return relation.coalesce(cores).mapInArrow(run, ", ".join(["lang string", *[f"{n} bigint" for n in names], "n bigint"]))
 
 
 def phrase_counts(relation: DataFrame, size: int, how: Mining, crowded) -> DataFrame:
@@ -499,7 +519,7 @@ def frequent_phrases(docs: DataFrame, how: Mining) -> tuple[DataFrame, DataFrame
     kept, relation = [phrases], None
     for size in range(1, how.longest):
         held = Filter.of(kept[-1], size, how.filter_bits)
-        found = first_relation(texts, held, how, seed) if size == 1 else next_relation(relation, held, size)
+        found = first_relation(texts, held, how, seed) if size == 1 else next_relation(relation, held, size, how)
         relation = stored(found, f"occurrences-{size + 1}")
         held.unpersist()
         crowded = crowded_cells(relation, size + 1, how)
